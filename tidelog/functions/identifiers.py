@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tidelog.functions.text import trimmed
 
+_CANONICAL = r"\A[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\z"
 # Five hexadecimal groups; short groups are padded with zeros.
 _UUID_SHAPE = r"(?i)\A([0-9a-f]{1,8})-([0-9a-f]{1,4})-([0-9a-f]{1,4})-([0-9a-f]{1,4})-([0-9a-f]{1,12})\z"
 _UUID_GROUPS = (8, 4, 4, 4, 12)
@@ -27,7 +28,8 @@ def canonical_uuid(value: Column) -> Column:
         F.lpad(F.regexp_extract(value, _UUID_SHAPE, i + 1), width, "0")
         for i, width in enumerate(_UUID_GROUPS)
     ]
-    return F.when(value.rlike(_UUID_SHAPE), F.lower(F.concat_ws("-", *parts)))
+    return F.when(value.rlike(_CANONICAL), value).when(
+        value.rlike(_UUID_SHAPE), F.lower(F.concat_ws("-", *parts)))
 
 
 def ensure_event_id(value: Column, instant: Column) -> Column:

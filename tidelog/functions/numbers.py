@@ -1,7 +1,8 @@
 """Text to whole numbers.
 
-A plain cast is too generous (it takes ``'1.5 '`` or a trailing newline), so
-the shape is checked first and out-of-range values fall through ``try_cast``.
+A plain cast is too generous (it takes ``'1.5'``), so the shape is checked
+first; out-of-range values fall through ``try_cast``, which also does the
+trimming.
 """
 
 from __future__ import annotations
@@ -9,14 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidelog.functions.text import trimmed
-
 WHOLE_NUMBER = r"\A[+-]?[0-9]+\z"
+WHOLE_NUMBER_WITH_BLANKS = r"\A[\x00-\x20]*[+-]?[0-9]+[\x00-\x20]*\z"
 
 
 def long_or_null(value: Column) -> Column:
-    text = trimmed(value)
-    return F.when(text.rlike(WHOLE_NUMBER), text.try_cast("bigint"))
+    return F.when(value.rlike(WHOLE_NUMBER_WITH_BLANKS), value.try_cast("bigint"))
 
 
 def long_or_zero(value: Column) -> Column:

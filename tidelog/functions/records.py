@@ -1,6 +1,6 @@
 from __future__ import annotations
 
-from functools import reduce
+import json
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -9,9 +9,17 @@ from tidelog.catalogue import RECORD_TYPES, SERVICE, Catalogue
 from tidelog.functions.text import is_blank, trimmed
 
 
-def text_map(entries: dict) -> Column:
-    """A constant map column; Spark folds it to one literal."""
-    return F.create_map(*[F.lit(x) for pair in entries.items() for x in pair])
+def constant(table: dict) -> Column:
+    """A lookup table (name -> text, number or list of texts) that Spark folds to one literal.
+
+    Written as JSON so that it is one small expression to build and to analyse.
+    """
+    sample = next(iter(table.values()))
+    if isinstance(sample, (list, tuple)):
+        kind = "array<string>"
+    else:
+        kind = "bigint" if isinstance(sample, int) else "string"
+    return F.from_json(F.lit(json.dumps(table)), f"map<string,{kind}>")
 
 
 def parse_activity_type(value: Column, catalogue: Catalogue = SERVICE) -> Column:
@@ -20,22 +28,15 @@ def parse_activity_type(value: Column, catalogue: Catalogue = SERVICE) -> Column
     return F.when(name.isin(*catalogue.activities), name)
 
 
+def record_type_of(activity: Column, catalogue: Catalogue = SERVICE) -> Column:
+    """Record type of a known activity, OTHER for null."""
+    return F.coalesce(constant(catalogue.record_type_of)[activity], F.lit("OTHER"))
+
+
 def coarse_record_type(activity: Column, attrs: Column, catalogue: Catalogue = SERVICE) -> Column:
     """Record type of the activity, of ``attrs.type`` if there is none, else OTHER."""
-    known = F.coalesce(
-        parse_activity_type(activity, catalogue),
-        parse_activity_type(attrs["type"], catalogue),
-    )
-    groups: dict[str, list[str]] = {}
-    for name, record_type in catalogue.record_type_of.items():
-        groups.setdefault(record_type, []).append(name)
-    groups.pop("OTHER", None)
-    branches = reduce(
-        lambda acc, item: acc.when(known.isin(*item[1]), F.lit(item[0])),
-        groups.items(),
-        F,
-    )
-    return branches.otherwise(F.lit("OTHER"))
+    known = F.coalesce(parse_activity_type(activity, catalogue), parse_activity_type(attrs["type"], catalogue))
+    return record_type_of(known, catalogue)
 
 
 def normalize_record_type(value: Column) -> Column:

@@ -5,14 +5,13 @@ import datetime as dt
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidelog.functions.text import trimmed
-
-# Date, optional time of day (T or space), optional fraction, optional zone.
+# Date, optional time of day (T or space), optional fraction, optional zone;
+# the cast that follows does the trimming.
 _TIMESTAMP_SHAPE = (
-    r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}"
-    r"([ T][0-9]{2}:[0-9]{2}(:[0-9]{2}(\.[0-9]{1,9})?)?(Z|[+-][0-9]{2}:?[0-9]{2})?)?\z"
+    r"\A[\x00-\x20]*[0-9]{4}-[0-9]{2}-[0-9]{2}"
+    r"([ T][0-9]{2}:[0-9]{2}(:[0-9]{2}(\.[0-9]{1,9})?)?(Z|[+-][0-9]{2}:?[0-9]{2})?)?[\x00-\x20]*\z"
 )
-_EPOCH_SECONDS = r"\A[0-9]{9,10}\z"
+_EPOCH_SECONDS = r"\A[\x00-\x20]*[0-9]{9,10}[\x00-\x20]*\z"
 
 
 def to_second(value: Column) -> Column:
@@ -29,10 +28,9 @@ def bucket_start(value: Column, interval: str | None = "minute") -> Column:
 
 def parse_timestamp(value: Column) -> Column:
     """ISO instant, ``yyyy-MM-dd HH:mm:ss``, its T form, or epoch seconds; else null."""
-    text = trimmed(value)
     return (
-        F.when(text.rlike(_TIMESTAMP_SHAPE), text.try_cast("timestamp"))
-        .when(text.rlike(_EPOCH_SECONDS), F.timestamp_seconds(text.try_cast("bigint")))
+        F.when(value.rlike(_TIMESTAMP_SHAPE), value.try_cast("timestamp"))
+        .when(value.rlike(_EPOCH_SECONDS), F.timestamp_seconds(value.try_cast("bigint")))
     )
 
 

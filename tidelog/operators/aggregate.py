@@ -96,16 +96,18 @@ def top_then_chart(df: DataFrame, select: Callable[[DataFrame], DataFrame] = lam
     """The ``top_n`` most frequent keys of the selected events, charted by a second key.
 
     The table is read once: counts per (key, chart value) feed both the ranking
-    and the chart, and Spark reuses their shuffle. The ranking has at most
-    ``top_n`` rows, which bounds what is broadcast.
+    and the chart, and Spark reuses their shuffle. That is also why the ranking
+    is joined rather than used as a semi-join, which Spark would push below the
+    count and so scan the table again. The ranking has at most ``top_n``
+    distinct keys, which bounds what is broadcast.
     """
-    chosen = select(df)
-    cells = chosen.groupBy(
-        grouping_key(df, top_by).alias("key"), grouping_key(df, chart_by).alias("chart"),
+    key = grouping_key(df, top_by)
+    cells = select(df).filter(key.isNotNull()).groupBy(
+        key.alias("key"), grouping_key(df, chart_by).alias("chart"),
     ).agg(F.count("*").alias("events"))
     ranking = cells.groupBy("key").agg(F.sum("events").alias("total"))
     top = ranking.orderBy(F.col("total").desc(), "key").limit(clamp(top_n, 1000)).select("key")
-    return cells.join(F.broadcast(top), "key", "left_semi").orderBy(
+    return cells.join(F.broadcast(top), "key").orderBy(
         F.col("events").desc(), "key", "chart").limit(clamp(limit, 5000))
 
 

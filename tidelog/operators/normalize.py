@@ -9,7 +9,9 @@ from tidelog.catalogue import SERVICE, SIMULATOR, Catalogue
 from tidelog.functions.attributes import normalize_attrs
 from tidelog.functions.identifiers import ensure_event_id
 from tidelog.functions.numbers import long_or_zero
-from tidelog.functions.records import coarse_record_type, normalize_record_type, parse_activity_type
+from tidelog.functions.records import (
+    coarse_record_type, normalize_record_type, parse_activity_type, record_type_of,
+)
 from tidelog.functions.text import is_blank
 from tidelog.functions.times import as_instant, parse_timestamp, to_second
 
@@ -48,11 +50,13 @@ def to_event_rows(records: DataFrame, as_of=None, catalogue: Catalogue = SERVICE
         F.col("eventId").alias("_id"),
         attrs.alias("attrs"),
     )
-    typed = staged.withColumn("attrs", with_type_entry(F.col("attrs"), F.col("_activity")))
+    known = F.coalesce(F.col("_activity"), parse_activity_type(F.col("attrs")["type"], catalogue))
+    typed = staged.withColumns({
+        "attrs": with_type_entry(F.col("attrs"), F.col("_activity")), "_known": known})
     return typed.select(
         "event_time",
         "ingest_time",
-        coarse_record_type(F.col("_activity"), F.col("attrs"), catalogue).alias("record_type"),
+        record_type_of(F.col("_known"), catalogue).alias("record_type"),
         ensure_event_id(F.col("_id"), F.col("event_time")).alias("event_id"),
         long_or_zero(F.col("attrs")["user_id"]).alias("user_id"),
         long_or_zero(F.col("attrs")["chat_id"]).alias("chat_id"),

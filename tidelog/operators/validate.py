@@ -7,35 +7,35 @@ from pyspark.sql import functions as F
 
 from tidelog.catalogue import SERVICE, Catalogue
 from tidelog.functions.numbers import long_or_null
-from tidelog.functions.records import parse_activity_type
+from tidelog.functions.records import constant, parse_activity_type
 from tidelog.functions.text import is_blank, trimmed
 
 ERROR = "error"
 
 
-def _constant(value) -> Column:
-    """Nested Python dicts and lists as one foldable constant column."""
-    if isinstance(value, dict):
-        return F.create_map(*[x for k, v in value.items() for x in (F.lit(k), _constant(v))])
-    if isinstance(value, (list, tuple)):
-        return F.array(*[F.lit(x) for x in value])
-    return F.lit(value)
+# A flag value, blanks around it allowed.
+_FLAG = r"(?i)\A[\x00-\x20]*(1|0|true|false)[\x00-\x20]*\z"
 
 
 def _value_is_wrong(key: Column, value: Column, catalogue: Catalogue) -> Column:
+    """Whether a value does not fit its attribute; null and blank values fit.
+
+    Runs once per attribute of every record, so the cheap tests on the value as
+    it is come first and trimming is left to the few that fail them.
+    """
     by_kind: dict[str, list[str]] = {}
     for name, spec in catalogue.attributes.items():
         by_kind.setdefault(spec.kind, []).append(name)
     enums = {n: a.allowed for n, a in catalogue.attributes.items() if a.allowed}
-    text = trimmed(value)
+    allowed = constant(enums)[key]
     wrong = (
-        F.when(key.isin(*by_kind["long"]), long_or_null(text).isNull())
-        .when(key.isin(*by_kind["flag"]),
-              ~((text == "1") | (text == "0") | F.lower(text).isin("true", "false")))
-        .when(key.isin(*enums), ~F.array_contains(_constant(enums)[key], text))
+        F.when(key.isin(*by_kind["long"]), long_or_null(value).isNull())
+        .when(key.isin(*enums),
+              ~(F.array_contains(allowed, value) | F.array_contains(allowed, trimmed(value))))
+        .when(key.isin(*by_kind["flag"]), ~value.rlike(_FLAG))
         .otherwise(F.lit(False))
     )
-    return value.isNotNull() & (text != "") & wrong
+    return value.isNotNull() & wrong & (trimmed(value) != "")
 
 
 def validate(records: DataFrame, catalogue: Catalogue = SERVICE) -> DataFrame:
@@ -51,12 +51,13 @@ def validate(records: DataFrame, catalogue: Catalogue = SERVICE) -> DataFrame:
         "_uid": F.col("_attrs")["user_id"],
     }).withColumn("_type", F.coalesce("_field", "_attr"))
 
-    allowed = _constant({a: catalogue.allowed_keys(a) for a in catalogue.activities})[F.col("_type")]
+    resolved = resolved.withColumn(
+        "_allowed", constant({a: catalogue.allowed_keys(a) for a in catalogue.activities})[F.col("_type")])
     offending = F.map_keys(F.map_filter(
         F.col("_attrs"),
-        lambda k, v: ~F.array_contains(allowed, k) | _value_is_wrong(k, v, catalogue),
+        lambda k, v: ~F.array_contains(F.col("_allowed"), k) | _value_is_wrong(k, v, catalogue),
     ))
-    named = resolved.withColumns({"_bad": F.array_min(offending), "_allowed": allowed})
+    named = resolved.withColumn("_bad", F.array_min(offending))
 
     bad, value = F.col("_bad"), F.col("_attrs")[F.col("_bad")]
     enum_names = [n for n, a in catalogue.attributes.items() if a.allowed]
@@ -82,7 +83,7 @@ def validate(records: DataFrame, catalogue: Catalogue = SERVICE) -> DataFrame:
 
 def unknown_attributes(activity: Column, attrs: Column, catalogue: Catalogue = SERVICE) -> Column:
     """Attribute keys the activity may not carry."""
-    allowed = _constant({a: catalogue.allowed_keys(a) for a in catalogue.activities})[activity]
+    allowed = constant({a: catalogue.allowed_keys(a) for a in catalogue.activities})[activity]
     return F.array_except(F.transform(F.map_keys(attrs), F.lower), allowed)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidelog.catalogue import SERVICE
-from tidelog.functions.records import text_map
+from tidelog.functions.records import constant
 from tidelog.session import prepare
 
 # Activity type, record type for each source event type.
@@ -59,23 +59,30 @@ def adapt(source: DataFrame) -> DataFrame:
         "event_time": F.date_trunc("second", F.col("ts").cast("timestamp")),
     })
     k = F.col("k")
-    signup, click, purchase, error = (kind == x for x in ("signup", "click", "purchase", "error"))
+    signup, purchase, error = (kind == x for x in ("signup", "purchase", "error"))
     in_chat = kind.isin("click", "view", "error")
+    lang = _pick(SERVICE.attributes["lang"].allowed, k)
+    origin = _pick(SERVICE.attributes["source"].allowed, k)
+    # Every source event type has a fixed set of attributes.
     attrs = {
-        "type": text_map(ACTIVITY_OF)[kind],
-        "lang": F.when(kind.isin("signup", "click", "error"), _pick(SERVICE.attributes["lang"].allowed, k)),
-        "source": F.when(in_chat, _pick(SERVICE.attributes["source"].allowed, k)),
-        "moderation_score": F.when(error, k.cast("string")),
-        "terminal_type": F.when(signup, F.when(k % 10 == 0, "BASIC").otherwise("ONEME")),
-        "user_active_status": F.when(signup, F.when(k % 5 == 0, "0").otherwise("1")),
-        "gender": F.when(signup, (k % 2).cast("string")),
-        "user_device_type": F.when(signup, F.when(F.col("user_id") % 2 == 0, "ANDROID").otherwise("IOS")),
-        "org_hash": F.when(signup, _pick(ORG_HASHES, k)),
-        "amount_cents": F.when(purchase, F.bround(F.col("value") * 100).cast("bigint").cast("string")),
-        "payload": F.when(click, F.repeat(F.lit("x"), (k % 50 + 20).cast("int"))),
+        "signup": {
+            "lang": lang,
+            "terminal_type": F.when(k % 10 == 0, "BASIC").otherwise("ONEME"),
+            "user_active_status": F.when(k % 5 == 0, "0").otherwise("1"),
+            "gender": (k % 2).cast("string"),
+            "user_device_type": F.when(F.col("user_id") % 2 == 0, "ANDROID").otherwise("IOS"),
+            "org_hash": _pick(ORG_HASHES, k),
+        },
+        "click": {"lang": lang, "source": origin, "payload": F.repeat(F.lit("x"), (k % 50 + 20).cast("int"))},
+        "view": {"source": origin},
+        "purchase": {"amount_cents": F.bround(F.col("value") * 100).cast("bigint").cast("string")},
+        "error": {"lang": lang, "source": origin, "moderation_score": k.cast("string")},
     }
+    attr_map = F
+    for name, values in attrs.items():
+        entries = {"type": F.lit(ACTIVITY_OF[name]), **values}
+        attr_map = attr_map.when(kind == name, F.create_map(*[x for n, v in entries.items() for x in (F.lit(n), v)]))
     record_type = F.when(signup, "SYSTEM").when(purchase, "PURCHASE").when(error, "MODERATION").otherwise("MESSAGE")
-    pairs = [x for name, value in attrs.items() for x in (F.lit(name), value)]
     zero = F.lit(0).cast("bigint")
     return base.select(
         "event_time",
@@ -85,10 +92,19 @@ def adapt(source: DataFrame) -> DataFrame:
         "user_id",
         F.when(in_chat, k + 1).otherwise(zero).alias("chat_id"),
         F.when(in_chat, F.col("event_id")).otherwise(zero).alias("message_id"),
-        F.map_filter(F.create_map(*pairs), lambda key, v: v.isNotNull()).alias("attrs"),
+        attr_map.alias("attrs"),
     )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for costly work on a table that is only one or two file splits.
+
+    A table with at least as many splits as cores is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def event_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adapt(source_events(spark, sf_dir))
 
@@ -102,7 +118,7 @@ def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     source = source_events(spark, sf_dir).withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
     k, kind = F.col("k"), F.col("event_type")
-    activity = text_map(ACTIVITY_OF)[kind]
+    activity = constant(ACTIVITY_OF)[kind]
     click, purchase, chat = kind == "click", kind == "purchase", kind.isin("click", "view", "error")
     pairs = {
         "USER_ID": F.when(k == 3, " ").when(k == 5, "u-5").otherwise(

@@ -9,16 +9,11 @@ from tidelog.catalogue import RECORD_TYPES, SERVICE, Catalogue
 from tidelog.functions.text import is_blank, trimmed
 
 
-def constant(table: dict) -> Column:
-    """A lookup table (name -> text, number or list of texts) that Spark folds to one literal.
+def constant(table: dict, kind: str = "string") -> Column:
+    """A lookup table from names to values of type ``kind`` that Spark folds to one literal.
 
     Written as JSON so that it is one small expression to build and to analyse.
     """
-    sample = next(iter(table.values()))
-    if isinstance(sample, (list, tuple)):
-        kind = "array<string>"
-    else:
-        kind = "bigint" if isinstance(sample, int) else "string"
     return F.from_json(F.lit(json.dumps(table)), f"map<string,{kind}>")
 
 

@@ -27,7 +27,7 @@ def _value_is_wrong(key: Column, value: Column, catalogue: Catalogue) -> Column:
     for name, spec in catalogue.attributes.items():
         by_kind.setdefault(spec.kind, []).append(name)
     enums = {n: a.allowed for n, a in catalogue.attributes.items() if a.allowed}
-    allowed = constant(enums)[key]
+    allowed = constant(enums, "array<string>")[key]
     wrong = (
         F.when(key.isin(*by_kind["long"]), long_or_null(value).isNull())
         .when(key.isin(*enums),
@@ -38,52 +38,80 @@ def _value_is_wrong(key: Column, value: Column, catalogue: Catalogue) -> Column:
     return value.isNotNull() & wrong & (trimmed(value) != "")
 
 
-def validate(records: DataFrame, catalogue: Catalogue = SERVICE) -> DataFrame:
-    """Add ``error``: null for a good record, else the first reason it is refused.
+def _let(body, **values: Column) -> Column:
+    """``body`` of a struct of values, each computed once.
+
+    Spark copies a column's expression to every place that uses it when it
+    pushes filters down; a lambda argument is computed once and stays put.
+    """
+    bound = F.struct(*[v.alias(n) for n, v in values.items()])
+    return F.transform(F.array(bound), body)[0]
+
+
+def refusal(activity: Column, event_time: Column, attrs: Column, catalogue: Catalogue = SERVICE) -> Column:
+    """First reason the record is refused, null for a good one.
 
     Attribute keys count as lower-cased, colliding keys as their last value.
     Several bad attributes: the alphabetically first one is named.
     """
-    attrs = F.transform_keys(F.col("attrs"), lambda k, v: F.lower(k))
-    resolved = records.withColumn("_attrs", attrs).withColumns({
-        "_field": parse_activity_type(F.col("activityType"), catalogue),
-        "_attr": parse_activity_type(F.col("_attrs")["type"], catalogue),
-        "_uid": F.col("_attrs")["user_id"],
-    }).withColumn("_type", F.coalesce("_field", "_attr"))
-
-    resolved = resolved.withColumn(
-        "_allowed", constant({a: catalogue.allowed_keys(a) for a in catalogue.activities})[F.col("_type")])
-    offending = F.map_keys(F.map_filter(
-        F.col("_attrs"),
-        lambda k, v: ~F.array_contains(F.col("_allowed"), k) | _value_is_wrong(k, v, catalogue),
-    ))
-    named = resolved.withColumn("_bad", F.array_min(offending))
-
-    bad, value = F.col("_bad"), F.col("_attrs")[F.col("_bad")]
+    allowed_by_type = constant({a: catalogue.allowed_keys(a) for a in catalogue.activities}, "array<string>")
     enum_names = [n for n, a in catalogue.attributes.items() if a.allowed]
-    reason = (
-        F.when(F.col("_attrs").isNull(), F.lit("attrs required"))
-        .when(F.col("_field") != F.col("_attr"),
-              F.concat(F.lit("activityType and attrs.type mismatch: "), "_field", F.lit(" vs "), "_attr"))
-        .when(F.col("_type").isNull(), F.lit("activity type required (activityType or attrs.type)"))
-        .when(F.col("eventTime").isNull(), F.lit("eventTime required"))
-        .when(is_blank(F.col("_uid")), F.lit("user_id required in attrs"))
-        .when(long_or_null(F.col("_uid")).isNull(), F.lit("user_id must be a number"))
-        .when(F.col("_allowed").isNull(),
-              F.concat(F.lit("no schema for activity type: "), "_type"))
-        .when(bad.isNotNull() & ~F.array_contains("_allowed", bad),
-              F.concat(F.lit("Unknown attribute for "), "_type", F.lit(": "), bad))
-        .when(bad.isin(*enum_names),
-              F.concat(F.lit("Attribute "), F.upper(bad), F.lit(": value '"), trimmed(value),
-                       F.lit("' not in allowed set")))
-        .when(bad.isNotNull(), F.concat(F.lit("Invalid "), F.upper(bad), F.lit(": "), value))
-    )
-    return named.select(*[F.col(c) for c in records.columns], reason.alias(ERROR))
+
+    def with_types(r: Column) -> Column:
+        return _let(
+            with_bad_key,
+            attrs=r["attrs"], time=r["time"], field=r["field"], uid=r["attrs"]["user_id"],
+            attr=parse_activity_type(r["attrs"]["type"], catalogue))
+
+    def with_bad_key(r: Column) -> Column:
+        known = F.coalesce(r["field"], r["attr"])
+
+        def bad_key(s: Column) -> Column:
+            return F.array_min(F.map_keys(F.map_filter(
+                s["attrs"],
+                lambda k, v: ~F.array_contains(s["allowed"], k) | _value_is_wrong(k, v, catalogue))))
+
+        checked = _let(
+            lambda s: _let(
+                attribute_reason, attrs=s["attrs"], type=s["type"], allowed=s["allowed"], bad=bad_key(s)),
+            attrs=r["attrs"], type=known, allowed=allowed_by_type[known])
+        return (
+            F.when(r["attrs"].isNull(), F.lit("attrs required"))
+            .when(r["field"] != r["attr"], F.concat(
+                F.lit("activityType and attrs.type mismatch: "), r["field"], F.lit(" vs "), r["attr"]))
+            .when(known.isNull(), F.lit("activity type required (activityType or attrs.type)"))
+            .when(r["time"].isNull(), F.lit("eventTime required"))
+            .when(is_blank(r["uid"]), F.lit("user_id required in attrs"))
+            .when(long_or_null(r["uid"]).isNull(), F.lit("user_id must be a number"))
+            .otherwise(checked)
+        )
+
+    def attribute_reason(s: Column) -> Column:
+        bad, value = s["bad"], s["attrs"][s["bad"]]
+        return (
+            F.when(s["allowed"].isNull(), F.concat(F.lit("no schema for activity type: "), s["type"]))
+            .when(bad.isNull(), F.lit(None).cast("string"))
+            .when(~F.array_contains(s["allowed"], bad),
+                  F.concat(F.lit("Unknown attribute for "), s["type"], F.lit(": "), bad))
+            .when(bad.isin(*enum_names), F.concat(
+                F.lit("Attribute "), F.upper(bad), F.lit(": value '"), trimmed(value),
+                F.lit("' not in allowed set")))
+            .otherwise(F.concat(F.lit("Invalid "), F.upper(bad), F.lit(": "), value))
+        )
+
+    return _let(with_types, attrs=F.transform_keys(attrs, lambda k, v: F.lower(k)), time=event_time,
+                field=parse_activity_type(activity, catalogue))
+
+
+def validate(records: DataFrame, catalogue: Catalogue = SERVICE) -> DataFrame:
+    """Add ``error``: null for a good record, else the first reason it is refused."""
+    reason = refusal(F.col("activityType"), F.col("eventTime"), F.col("attrs"), catalogue)
+    return records.withColumn(ERROR, reason)
 
 
 def unknown_attributes(activity: Column, attrs: Column, catalogue: Catalogue = SERVICE) -> Column:
     """Attribute keys the activity may not carry."""
-    allowed = constant({a: catalogue.allowed_keys(a) for a in catalogue.activities})[activity]
+    allowed = constant({a: catalogue.allowed_keys(a) for a in catalogue.activities}, "array<string>")[activity]
     return F.array_except(F.transform(F.map_keys(attrs), F.lower), allowed)
 
 

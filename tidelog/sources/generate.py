@@ -93,25 +93,24 @@ def row_ids(spark: SparkSession, n: int, partitions: int | None = None) -> DataF
     return spark.range(0, n, 1, partitions) if partitions else spark.range(n)
 
 
-def value_rule(name: str, catalogue: Catalogue) -> tuple[tuple[str, ...] | None, str, int, int]:
-    """How an attribute's value is made: (pool, prefix, low, count).
-
-    Either one of a pool, or a number of ``count`` values from ``low`` behind a prefix.
-    """
+def _rule(name: str, seed: int, catalogue: Catalogue) -> dict:
+    """How an attribute's value is made: one of a pool, or a number behind a prefix."""
     spec = catalogue.attributes[name]
     pools = {
         "org_hash": ORG_HASHES, "country_code": COUNTRY_CODES, "timezone": TIMEZONES, "mime_type": MIME_TYPES,
-        "platform_version": tuple(f"{a}.{b}" for a in range(8, 16) for b in range(10)),
-        "app_version": tuple(f"3.{a}.{b}" for a in range(10) for b in range(21)),
+        "platform_version": [f"{a}.{b}" for a in range(8, 16) for b in range(10)],
+        "app_version": [f"3.{a}.{b}" for a in range(10) for b in range(21)],
     }
-    if spec.kind == "flag":
-        return ("1", "0"), "", 0, 0
-    if spec.allowed or name in pools:
-        return spec.allowed or pools[name], "", 0, 0
+    rule = {"name": name, "salt": salt_of(name, seed)}
+    pool = ("1", "0") if spec.kind == "flag" else spec.allowed or pools.get(name)
+    if pool:
+        return {**rule, "pool": list(pool), "count": len(pool)}
     if spec.kind == "long":
-        return None, "", *LONG_RANGES.get(name, (0, 10_000))
-    ranges = {"session_id": ("sess-", 100_000, 900_000), "product_id": ("prod-", 1, 200)}
-    return None, *ranges.get(name, ("val-", 0, 10_000))
+        prefix, (low, count) = "", LONG_RANGES.get(name, (0, 10_000))
+    else:
+        prefix, low, count = {"session_id": ("sess-", 100_000, 900_000), "product_id": ("prod-", 1, 200)}.get(
+            name, ("val-", 0, 10_000))
+    return {**rule, "prefix": prefix, "low": low, "count": count}
 
 
 def generate_events(ids: DataFrame, seed: int = 42, catalogue: Catalogue = SERVICE, as_of=None,
@@ -124,30 +123,24 @@ def generate_events(ids: DataFrame, seed: int = 42, catalogue: Catalogue = SERVI
     draw = Draws(F.col(id_column), seed)
     now = as_instant(as_of)
     back = F.make_dt_interval(secs=draw.below("timestamp", 86_400).cast("decimal(18,6)"))
-    names = sorted({a for extras in catalogue.extras.values() for a in extras})
-    rules = {n: value_rule(n, catalogue) for n in names}
-    pool, prefix, low, count, salt = (
-        constant({n: r[0] for n, r in rules.items() if r[0]}),
-        constant({n: r[1] for n, r in rules.items()}),
-        constant({n: r[2] for n, r in rules.items()}),
-        constant({n: len(r[0]) if r[0] else r[3] for n, r in rules.items()}),
-        constant({n: salt_of(n, seed) for n in names}),
-    )
+    rules = {activity: [_rule(name, seed, catalogue) for name in extras]
+             for activity, extras in catalogue.extras.items()}
+    rule_type = "struct<name:string,salt:bigint,pool:array<string>,prefix:string,low:bigint,count:bigint>"
 
-    def value(name: Column) -> Column:
-        number = mixed(F.col("_row"), salt[name]) % count[name]
-        return F.coalesce(F.get(pool[name], number.cast("int")),
-                          F.concat(prefix[name], (number + low[name]).cast("string")))
+    def value(rule: Column) -> Column:
+        number = mixed(F.col("_row"), rule["salt"]) % rule["count"]
+        return F.when(rule["pool"].isNotNull(), F.get(rule["pool"], number.cast("int"))).otherwise(
+            F.concat(rule["prefix"], (number + rule["low"]).cast("string")))
 
     staged = ids.select(
         F.col(id_column).alias("_row"), draw.pick("type", catalogue.activities).alias("activityType"),
         F.date_trunc("second", now - back).alias("eventTime"), F.date_trunc("second", now).alias("ingestTime"),
         draw.digits("user_id", *LONG_RANGES["user_id"]).alias("_user"),
-    ).withColumn("_names", constant(catalogue.extras)[F.col("activityType")])
+    ).withColumn("_rules", constant(rules, f"array<{rule_type}>")[F.col("activityType")])
     fixed = [F.lit("type"), F.col("activityType"), F.lit("user_id"), F.col("_user")]
     if catalogue is SIMULATOR:
         fixed += [F.lit("timestamp"), F.unix_millis("eventTime").cast("string")]
-    attrs = F.map_concat(F.create_map(*fixed), F.map_from_arrays("_names", F.transform("_names", value)))
+    attrs = F.map_concat(F.create_map(*fixed), F.map_from_arrays(F.col("_rules.name"), F.transform("_rules", value)))
     return staged.select(
         "activityType", "eventTime", "ingestTime", F.col("_row").cast("string").alias("eventId"), attrs.alias("attrs"))
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidelog.catalogue import SERVICE
+from tidelog.functions.attributes import HOT_PREFIX
 from tidelog.functions.records import constant
 from tidelog.session import prepare
 
@@ -51,8 +52,12 @@ def _pick(values, index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index % len(values) + 1).cast("int"))
 
 
-def adapt(source: DataFrame) -> DataFrame:
-    """The event table of SURVEY's data model, ids kept as numbers."""
+def adapt(source: DataFrame, hot: tuple[str, ...] = ()) -> DataFrame:
+    """The stored event table, ids kept as numbers.
+
+    ``hot`` names attributes to give as columns of their own too, as a table
+    with materialized hot columns has them.
+    """
     kind = F.col("event_type")
     base = source.withColumns({
         "k": F.get_json_object("props", "$.k").cast("bigint"),
@@ -78,9 +83,9 @@ def adapt(source: DataFrame) -> DataFrame:
         "purchase": {"amount_cents": F.bround(F.col("value") * 100).cast("bigint").cast("string")},
         "error": {"lang": lang, "source": origin, "moderation_score": k.cast("string")},
     }
+    attrs = {name: {"type": F.lit(ACTIVITY_OF[name]), **values} for name, values in attrs.items()}
     attr_map = F
-    for name, values in attrs.items():
-        entries = {"type": F.lit(ACTIVITY_OF[name]), **values}
+    for name, entries in attrs.items():
         attr_map = attr_map.when(kind == name, F.create_map(*[x for n, v in entries.items() for x in (F.lit(n), v)]))
     record_type = F.when(signup, "SYSTEM").when(purchase, "PURCHASE").when(error, "MODERATION").otherwise("MESSAGE")
     zero = F.lit(0).cast("bigint")
@@ -93,9 +98,18 @@ def adapt(source: DataFrame) -> DataFrame:
         F.when(in_chat, k + 1).otherwise(zero).alias("chat_id"),
         F.when(in_chat, F.col("event_id")).otherwise(zero).alias("message_id"),
         attr_map.alias("attrs"),
+        *[_one_attribute(attrs, key).alias(HOT_PREFIX + key) for key in hot],
     )
 
 
+def _one_attribute(attrs: dict[str, dict[str, Column]], key: str) -> Column:
+    value = F
+    for name, entries in attrs.items():
+        if key in entries:
+            value = value.when(F.col("event_type") == name, entries[key])
+    return value.otherwise(F.lit(""))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores for costly work on a table that is only one or two file splits.
 
@@ -105,13 +119,19 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def event_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return adapt(source_events(spark, sf_dir))
+def event_table(spark: SparkSession, sf_dir: str, hot: tuple[str, ...] = ()) -> DataFrame:
+    return adapt(source_events(spark, sf_dir), hot)
+
+
+def uuid_of(number: Column) -> Column:
+    """A UUID text that ends in the number."""
+    return F.concat(F.lit("00000000-0000-7000-8000-"), F.lower(F.lpad(F.hex(number), 12, "0")))
 
 
 def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as incoming records, with mixed-case keys and a few defects by ``k``.
 
+    The id is a UUID made of the event id, blank if k is a multiple of 7.
     k=3 no user id, k=5 user id is text, k=7 no activity anywhere, k=9 wrong
     activity in attrs, k=11 no event time, k=13 (clicks) a bad message length,
     k=15 (clicks) an unknown language, k=17 no attributes at all.
@@ -141,6 +161,6 @@ def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when((k % 2 == 1) & (k != 7), activity).alias("activityType"),
         F.when(k != 11, time_text).alias("eventTime"),
         time_text.alias("ingestTime"),
-        F.col("event_id").cast("string").alias("eventId"),
+        F.when(k % 7 == 0, "").otherwise(uuid_of(F.col("event_id"))).alias("eventId"),
         F.when(k != 17, entries).alias("attrs"),
     )

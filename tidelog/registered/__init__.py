@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("reads", "aggregates", "records")
+MODULES = ("reads", "aggregates", "records", "tables", "streams", "measures", "preparation")
 
 
 def load():

@@ -148,14 +148,14 @@ def generate_events(ids: DataFrame, seed: int = 42, catalogue: Catalogue = SERVI
 def generate_mix(ids: DataFrame, seed: int = 42, weights: dict[str, int] | None = None, as_of=None,
                  id_column: str = "id") -> DataFrame:
     """Weighted record types with free attributes, of varying number, per type."""
-    draw = Draws(F.col(id_column), seed)
+    draw = Draws(F.col("_row"), seed)
     weights = weights or MIX_WEIGHTS
     now = as_instant(as_of)
     roll, bound, record_type = F.col("_roll"), 0, F
     for name, weight in weights.items():
         bound += weight
         record_type = record_type.when(roll < bound, F.lit(name))
-    base = ids.withColumn("_roll", draw.below("record_type", sum(weights.values()))).withColumn(
+    base = ids.select(F.col(id_column).alias("_row")).withColumn("_roll", draw.below("record_type", sum(weights.values()))).withColumn(
         "record_type", record_type)
 
     def numbered(prefix: str, low: int, count: int) -> Column:
@@ -165,7 +165,7 @@ def generate_mix(ids: DataFrame, seed: int = 42, weights: dict[str, int] | None
                            lambda i: F.concat(F.lit(prefix + "_"), i.cast("string")))
         keys = F.when(size > 0, keys).otherwise(F.array().cast("array<string>"))
         return F.map_from_arrays(keys, F.transform(keys, lambda k: F.lpad(F.hex(
-            mixed(F.col(id_column), F.crc32(F.encode(k, "UTF-8")))), 8, "0")))
+            mixed(F.col("_row"), F.crc32(F.encode(k, "UTF-8")))), 8, "0")))
 
     def entries(**values: Column) -> Column:
         return F.create_map(*[x for k, v in values.items() for x in (F.lit(k), v)])
@@ -216,10 +216,10 @@ def generate_bulk(ids: DataFrame, seed: int = 42, as_of=None, id_column: str = "
     """Plain event-table rows with language, source and a payload."""
     from tidelog.functions.identifiers import uuid7
 
-    draw = Draws(F.col(id_column), seed)
+    draw = Draws(F.col("_row"), seed)
     now = as_instant(as_of)
     back = F.make_dt_interval(secs=draw.below("event_time", 86_400).cast("decimal(18,6)"))
-    rows = ids.select(
+    rows = ids.select(F.col(id_column).alias("_row")).select(
         F.date_trunc("second", now - back).alias("event_time"),
         F.date_trunc("second", now).alias("ingest_time"),
         draw.pick("record_type", BULK_TYPES).alias("record_type"),
@@ -237,13 +237,13 @@ def generate_bulk(ids: DataFrame, seed: int = 42, as_of=None, id_column: str = "
 
 def generate_legacy(ids: DataFrame, seed: int = 42, as_of=None, id_column: str = "id") -> DataFrame:
     """Flat nine-field events; only purchases have an amount."""
-    draw = Draws(F.col(id_column), seed)
+    draw = Draws(F.col("_row"), seed)
     kind = draw.pick("eventType", LEGACY_TYPES)
-    digest = F.md5(F.concat_ws(":", F.col(id_column).cast("string"), F.lit(str(seed))))
+    digest = F.md5(F.concat_ws(":", F.col("_row").cast("string"), F.lit(str(seed))))
     event_id = F.concat_ws("-", F.substring(digest, 1, 8), F.substring(digest, 9, 4),
                            F.concat(F.lit("4"), F.substring(digest, 14, 3)),
                            F.concat(F.lit("a"), F.substring(digest, 18, 3)), F.substring(digest, 21, 12))
-    return ids.select(
+    return ids.select(F.col(id_column).alias("_row")).select(
         event_id.alias("eventId"),
         kind.alias("eventType"),
         F.concat(F.lit("user-"), draw.digits("userId", 1, 5_000)).alias("userId"),
@@ -252,6 +252,6 @@ def generate_legacy(ids: DataFrame, seed: int = 42, as_of=None, id_column: str =
                     draw.digits("ip4", 1, 254)).alias("ipAddress"),
         F.when(kind == "purchase", (draw.below("amount", 499_901) + 100) / 100.0).alias("amount"),
         F.lit("offline-perf").alias("source"),
-        F.col(id_column).cast("bigint").alias("index"),
+        F.col("_row").cast("bigint").alias("index"),
         F.date_format(as_instant(as_of), "yyyy-MM-dd'T'HH:mm:ss'+00:00'").alias("timestamp"),
     )

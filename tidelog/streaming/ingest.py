@@ -146,10 +146,3 @@ def publish_stream(events: DataFrame, checkpoint: str, fmt: str = "kafka", optio
         messages = messages.select("value")
     return messages.writeStream.format(fmt).options(**(options or {})).outputMode("append").option(
         "checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
-
-
-def stream_totals(df: DataFrame, table: str, checkpoint: str, mode: str = "complete",
-                  trigger: dict | None = None) -> StreamingQuery:
-    """Keep an aggregated stream (rates, increases) in a named in-memory table."""
-    return df.writeStream.format("memory").queryName(table).outputMode(mode).option(
-        "checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -12,7 +12,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.operators.percentiles import exact_percentiles
+from tidelog.operators.percentiles import exact_percentiles, null_safe_join
 
 _UNITS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400}
 
@@ -106,17 +106,16 @@ def latency_summary(df: DataFrame, by: str | list[str] | None = None, value: str
     def shown(column: Column) -> Column:
         return column if digits is None else F.bround(column, digits)
 
-    basics = [F.count(value).alias("count"),
-              shown(F.sum(F.col(value).cast("decimal(30,6)")).cast("double") / F.count(value)).alias("avg_ms")]
+    basics = {
+        "count": F.count("_v"),
+        "avg_ms": shown(F.sum(F.col("_v").cast("decimal(30,6)")).cast("double") / F.count("_v")),
+    }
     if approximate:
-        return df.groupBy(*keys).agg(*basics, *[
-            shown(F.percentile_approx(value, p / 100.0, 10000)).alias(n) for n, p in names.items()])
-    averages = df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(*basics)
-    ranked = exact_percentiles(df, keys, value, names, rule)
-    if not keys:
-        averages, ranked = averages.withColumn("_one", F.lit(1)), ranked.withColumn("_one", F.lit(1))
-    joined = averages.join(ranked, keys or ["_one"])
-    return joined.select(*keys, "count", "avg_ms", *[shown(F.col(n)).alias(n) for n in names])
+        rows = df.select(*keys, F.col(value).alias("_v"))
+        return rows.groupBy(*keys).agg(*[c.alias(n) for n, c in basics.items()], *[
+            shown(F.percentile_approx("_v", p / 100.0, 10000)).alias(n) for n, p in names.items()])
+    ranked = exact_percentiles(df, keys, value, names, rule, basics)
+    return ranked.select(*keys, *basics, *[shown(F.col(n)).alias(n) for n in names])
 
 
 def stage_summary(df: DataFrame, stage: str = "stage", ok: str = "ok", time: str = "at",
@@ -137,7 +136,7 @@ def stage_summary(df: DataFrame, stage: str = "stage", ok: str = "ok", time: str
         "success_rate": F.col("ok") / F.col("attempted"),
     })
     latency = latency_summary(df, stage, "latency_ms", rule, digits=None).drop("count", "avg_ms")
-    return totals.join(latency, stage, "left")
+    return null_safe_join(totals, latency, [stage])
 
 
 def compare_variants(df: DataFrame, variants: list[str], by: str = "query", variant: str = "variant",
@@ -161,7 +160,5 @@ def payload_stats(df: DataFrame, payload: str = "message") -> DataFrame:
     long = sizes.select(F.explode(F.create_map(
         F.lit("payload_bytes"), F.col("payload_bytes"), F.lit("custom_fields"), F.col("custom_fields"),
     )).alias("metric", "v")).filter(F.col("v").isNotNull())
-    stats = long.groupBy("metric").agg(
-        F.count("*").alias("count"), F.min("v").alias("min_value"), F.avg("v").alias("avg_value"),
-        F.max("v").alias("max_value"))
-    return stats.join(exact_percentiles(long, ["metric"], "v", {"p50": 50.0, "p95": 95.0}), "metric")
+    return exact_percentiles(long, ["metric"], "v", {"p50": 50.0, "p95": 95.0}, extras={
+        "count": F.count("_v"), "min_value": F.min("_v"), "avg_value": F.avg("_v"), "max_value": F.max("_v")})

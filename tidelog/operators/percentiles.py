@@ -1,10 +1,11 @@
 """Exact order statistics per group without sorting a group in one task.
 
 ``row_number`` over a group would pull a hot group, perhaps a third of the
-table, into one task. Here equal values collapse to one counted row first;
-approximate quantiles then cut every group into buckets, bucket sizes tell
-which buckets hold the wanted ranks, and only those buckets are ordered. The
-quantiles only balance the buckets, so the answers stay exact.
+table, into one task. Here a first pass takes approximate quantiles a little
+below and above each wanted one; their error is bounded, so the wanted value is
+surely between them. A second pass counts what lies below and keeps only the
+values between, with equal values as one counted row. That small rest, some
+thousandths of the group, is ordered, and the answers are exact.
 """
 
 from __future__ import annotations
@@ -14,8 +15,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 128
-_ACCURACY = 2000
+# percentile_approx is at most n/ACCURACY ranks off; the margin is three times that.
+ACCURACY = 10_000
+MARGIN = 3.0 / ACCURACY
 
 
 def rank_index(total: Column, p: float, rule: str) -> Column:
@@ -34,46 +36,54 @@ def rank_index(total: Column, p: float, rule: str) -> Column:
 
 
 def exact_percentiles(df: DataFrame, by: list[str], value: str, percents: dict[str, float],
-                      rule: str = "floor", buckets: int = BUCKETS) -> DataFrame:
+                      rule: str = "floor", extras: dict[str, Column] | None = None,
+                      small: int = ACCURACY) -> DataFrame:
     """One row per group with a column per entry of ``percents`` (name -> percentile).
 
-    Null values are not counted.
+    ``extras`` are further aggregates of the group, over its value column
+    ``_v``; they come out of the first pass. Null values are not counted. Groups of at most ``small`` rows are ordered
+    as a whole, since there the margin is less than a rank.
     """
     keys = by or ["_all"]
-    source = df if by else df.withColumn("_all", F.lit(0))
-    counts = source.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(
-        F.count("*").alias("_n"))
-    cuts = F.percentile_approx("_v", [i / buckets for i in range(1, buckets)], _ACCURACY)
-    groups = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"), cuts.alias("_cuts"))
-    groups = groups.select(*keys, "_cuts", F.array(*[
-        rank_index(F.col("_total"), p, rule) for p in percents.values()]).alias("_ranks"))
-    # Number of cut points up to the value: grows with the value, whatever the cuts are.
-    bucket = F.aggregate("_cuts", F.lit(0), lambda acc, c: acc + (c <= F.col("_v")).cast("int"))
-    placed = counts.join(groups, keys).select(*keys, "_v", "_n", "_ranks", bucket.alias("_b"))
+    source = df.select(*(by or [F.lit(0).alias("_all")]), F.col(value).alias("_v")).filter(F.col("_v").isNotNull())
+    marks = [min(max(p / 100.0 + side, 0.0), 1.0) for p in percents.values() for side in (-MARGIN, MARGIN)]
+    groups = source.groupBy(*keys).agg(
+        F.count("*").alias("_total"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
+        F.percentile_approx("_v", marks, ACCURACY).alias("_marks"),
+        *[c.alias(n) for n, c in (extras or {}).items()])
+    is_small, total = F.col("_total") <= small, F.col("_total")
+    bounds = groups.select(*keys, *(extras or {}), *[c for i, p in enumerate(percents.values()) for c in (
+        F.when(is_small, F.col("_min")).otherwise(F.col("_marks")[2 * i]).alias(f"_lo{i}"),
+        F.when(is_small, F.col("_max")).otherwise(F.col("_marks")[2 * i + 1]).alias(f"_hi{i}"),
+        rank_index(total, p, rule).alias(f"_rank{i}"))])
 
-    sizes = placed.groupBy(*keys, "_b").agg(F.sum("_n").alias("_size"), F.first("_ranks").alias("_ranks"))
-    up_to = Window.partitionBy(*keys).orderBy("_b")
-    spans = sizes.withColumn("_end", F.sum("_size").over(up_to)).withColumn(
-        "_start", F.col("_end") - F.col("_size"))
-    wanted = spans.filter(F.exists("_ranks", lambda r: (r >= F.col("_start")) & (r < F.col("_end")))).select(
-        *keys, "_b", "_start")
+    numbers = range(len(percents))
+    inside = [(F.col("_v") >= F.col(f"_lo{i}")) & (F.col("_v") <= F.col(f"_hi{i}")) for i in numbers]
+    # One value per group each, so grouping by them too changes nothing and carries them along.
+    carried = list(extras or {})
+    limits = carried + [f"{name}{i}" for i in numbers for name in ("_lo", "_hi", "_rank")]
+    cells = null_safe_join(source, bounds, keys).groupBy(
+        *keys, *limits, F.when(reduce(lambda a, b: a | b, inside), F.col("_v")).alias("_x"),
+    ).agg(F.count("*").alias("_n"), *[F.count_if(F.col("_v") < F.col(f"_lo{i}")).alias(f"_below{i}") for i in numbers])
 
-    within = Window.partitionBy(*keys, "_b").orderBy("_v")
-    ordered = placed.join(wanted, [*keys, "_b"]).withColumn("_upto", F.sum("_n").over(within) + F.col("_start"))
-    begin = F.col("_upto") - F.col("_n")
-    picks = []
-    for i, name in enumerate(percents):
-        rank = F.col("_ranks")[i]
-        picks.append(F.max(F.when((rank >= begin) & (rank < F.col("_upto")), F.col("_v"))).alias(name))
-    out = ordered.groupBy(*keys).agg(*picks)
+    whole = Window.partitionBy(*keys)
+    started = cells.withColumns({f"_start{i}": F.sum(f"_below{i}").over(whole) for i in numbers})
+    wanted = F.array(*[F.struct(
+        F.lit(i).alias("i"), F.col(f"_start{i}").alias("start"), F.col(f"_rank{i}").alias("rank"),
+        ((F.col("_x") >= F.col(f"_lo{i}")) & (F.col("_x") <= F.col(f"_hi{i}"))).alias("inside")) for i in numbers])
+    exploded = started.filter(F.col("_x").isNotNull()).select(
+        *keys, *carried, "_x", "_n", F.explode(wanted).alias("_w")).select(
+        *keys, *carried, "_x", "_n", "_w.*").filter("inside")
+    up_to = Window.partitionBy(*keys, "i").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
+    reached = exploded.withColumn("_upto", F.col("start") + F.sum("_n").over(up_to)).filter(
+        F.col("_upto") > F.col("rank"))
+    out = reached.groupBy(*keys, *carried).agg(*[
+        F.min(F.when(F.col("i") == i, F.col("_x"))).alias(name) for i, name in enumerate(percents)])
     return out if by else out.drop("_all")
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Equi-join in which null group keys meet each other."""
-    if not keys:
-        return left.withColumn("_one", F.lit(1)).join(right.withColumn("_one", F.lit(1)), "_one").drop("_one")
-    on = reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
-    return left.join(right, on).select(*[left[k] for k in keys],
-                                       *[left[c] for c in left.columns if c not in keys],
-                                       *[right[c] for c in right.columns if c not in keys])
+    right = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
+    return left.join(right, on).drop(*[f"_r_{k}" for k in keys])

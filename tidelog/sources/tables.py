@@ -137,30 +137,37 @@ def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     k=15 (clicks) an unknown language, k=17 no attributes at all.
     """
     source = source_events(spark, sf_dir).withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
-    k, kind = F.col("k"), F.col("event_type")
+    k = F.col("k")
+    time_text = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    # The lambda parses k once per row, wherever Spark moves the map to.
+    attrs = F.transform(F.array(F.struct("k", "event_id", "user_id", "event_type", "value")), _messy_attrs)[0]
+    return source.select(
+        F.when((k % 2 == 1) & (k != 7), constant(ACTIVITY_OF)[F.col("event_type")]).alias("activityType"),
+        F.when(k != 11, time_text).alias("eventTime"),
+        time_text.alias("ingestTime"),
+        F.when(k % 7 == 0, "").otherwise(uuid_of(F.col("event_id"))).alias("eventId"),
+        attrs.alias("attrs"),
+    )
+
+
+def _messy_attrs(row: Column) -> Column:
+    k, kind = row["k"], row["event_type"]
     activity = constant(ACTIVITY_OF)[kind]
     click, purchase, chat = kind == "click", kind == "purchase", kind.isin("click", "view", "error")
     pairs = {
         "USER_ID": F.when(k == 3, " ").when(k == 5, "u-5").otherwise(
-            F.concat(F.lit(" "), F.col("user_id").cast("string"))),
+            F.concat(F.lit(" "), row["user_id"].cast("string"))),
         "Type": F.when(k == 9, "LOGOUT").when(k % 4 == 0, F.lower(activity)).when(k % 4 == 2, activity),
         "chat_id": F.when(chat, (k + 1).cast("string")),
-        "Message_Id": F.when(chat, F.col("event_id").cast("string")),
+        "Message_Id": F.when(chat, row["event_id"].cast("string")),
         "message_length": F.when(click, F.when(k == 13, "long").otherwise((k + 20).cast("string"))),
         "LANG": F.when(click, F.when(k == 15, "xx").otherwise(_pick(SERVICE.attributes["lang"].allowed, k))),
         "is_reply": F.when(click, F.when(k % 3 == 0, "TRUE").otherwise("0")),
-        "amount_cents": F.when(purchase, F.bround(F.col("value") * 100).cast("bigint").cast("string")),
+        "amount_cents": F.when(purchase, F.bround(row["value"] * 100).cast("bigint").cast("string")),
         "session_id": F.when(kind == "signup", F.concat(F.lit("s-"), k.cast("string"))),
         "gender": F.when((kind == "signup") & (k >= 50), "1"),
         "moderation_score": F.when(kind == "error", k.cast("string")),
     }
     entries = F.map_filter(
         F.create_map(*[x for n, v in pairs.items() for x in (F.lit(n), v)]), lambda n, v: v.isNotNull())
-    time_text = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    return source.select(
-        F.when((k % 2 == 1) & (k != 7), activity).alias("activityType"),
-        F.when(k != 11, time_text).alias("eventTime"),
-        time_text.alias("ingestTime"),
-        F.when(k % 7 == 0, "").otherwise(uuid_of(F.col("event_id"))).alias("eventId"),
-        F.when(k != 17, entries).alias("attrs"),
-    )
+    return F.when(k != 17, entries)

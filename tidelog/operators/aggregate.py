@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.functions.attributes import attribute_text, lookup_attribute
@@ -148,7 +148,6 @@ def attr_count_report(df: DataFrame) -> DataFrame:
 
 
 def with_share(counts: DataFrame, name: str, scale: float = 1.0) -> DataFrame:
-    """Add each row's share of the total count; for results with one row per type."""
-    total = counts.agg(F.sum("count").alias("_total")).withColumn("_one", F.lit(1))
-    joined = counts.withColumn("_one", F.lit(1)).join(F.broadcast(total), "_one")
-    return joined.withColumn(name, F.col("count") * scale / F.col("_total")).drop("_one", "_total")
+    """Add each row's share of the total; for a finished count with a row per record type."""
+    total = F.sum("count").over(Window.partitionBy(F.lit(0)))
+    return counts.withColumn(name, F.col("count") * scale / total)

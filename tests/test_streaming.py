@@ -2,7 +2,6 @@ import json
 import os
 
 import pytest
-from pyspark.sql import functions as F
 
 from tidelog.operators import measure
 from tidelog.operators.prepare import dedup_stream

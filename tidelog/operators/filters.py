@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from tidelog.functions.attributes import attribute_text
 from tidelog.functions.json_text import check_name
-from tidelog.functions.numbers import long_or_null
 from tidelog.functions.records import normalize_record_type
 from tidelog.functions.times import as_instant
 from tidelog.catalogue import SERVICE, Catalogue

@@ -45,7 +45,10 @@ def exact_percentiles(df: DataFrame, by: list[str], value: str, percents: dict[s
     as a whole, since there the margin is less than a rank.
     """
     keys = by or ["_all"]
-    source = df.select(*(by or [F.lit(0).alias("_all")]), F.col(value).alias("_v")).filter(F.col("_v").isNotNull())
+    source = df.select(*by, F.col(value).alias("_v")).filter(F.col("_v").isNotNull())
+    if not by:
+        # One group for all rows. Not a literal, which Spark would drop from the join below.
+        source = source.withColumn("_all", F.col("_v").isNull())
     marks = [min(max(p / 100.0 + side, 0.0), 1.0) for p in percents.values() for side in (-MARGIN, MARGIN)]
     groups = source.groupBy(*keys).agg(
         F.count("*").alias("_total"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
@@ -82,8 +85,8 @@ def exact_percentiles(df: DataFrame, by: list[str], value: str, percents: dict[s
     return out if by else out.drop("_all")
 
 
-def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Equi-join in which null group keys meet each other."""
     right = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
     on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
-    return left.join(right, on).drop(*[f"_r_{k}" for k in keys])
+    return left.join(right, on, how).drop(*[f"_r_{k}" for k in keys])

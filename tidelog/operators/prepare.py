@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelog.operators.percentiles import null_safe_join
 from tidelog.session import materialize
 
 DUPLICATE_KEYS = ("user_id", "type", "event_time")
@@ -66,12 +67,13 @@ def capacity_trim(df: DataFrame, key: str = "user_id", max_bytes: int = 4096, mo
 
     ``strict`` stops at the first row that does not fit. ``greedy`` skips it and
     goes on to older rows that still fit. ``tie`` orders rows of the same time
-    and must tell them apart.
+    and must tell them apart. Row sizes are worked out once and stored, so this
+    runs jobs before it returns.
     """
-    sizes = df.select(
+    sizes = materialize(df.select(
         F.col(key).alias("_key"), F.col(time).alias("_time"), F.col(tie).alias("_tie"),
         (event_json_bytes() if size is None else size).alias("_size"),
-        F.lit(max_bytes).cast("bigint").alias("_budget"))
+        F.lit(max_bytes).cast("bigint").alias("_budget")), "trim-sizes")
     if mode == "strict":
         cut = _cutoffs(sizes)
         rows = df.join(cut, F.col(key).eqNullSafe(F.col("_key")), "left")
@@ -91,33 +93,26 @@ def _position() -> Column:
 def _cutoffs(sizes: DataFrame) -> DataFrame:
     """Per key the newest row that no longer fits, for keys that have one.
 
-    A running sum over a whole key would order a hot key in one task. Sizes are
-    summed per hour first, which shows the one hour per key in which the budget
-    runs out; that hour is looked at by second, and only that second by row.
+    A running sum over a whole key would order a hot key in one task. Rows are
+    range-partitioned in their order instead, which spreads a hot key, even a
+    hot second of it, over many parts. The parts are stored with their number,
+    sums per key and part show the part in which a key's budget runs out, and
+    only that part of the key is summed row by row.
     """
-    staged = sizes.withColumns({"_hour": F.date_trunc("hour", "_time"), "_second": F.date_trunc("second", "_time")})
-    hour = _crossing(staged, ["_key"], "_hour", F.first(F.lit(0).cast("bigint")))
-    in_hour = staged.join(hour, ["_key", "_hour"])
-    second = _crossing(in_hour, ["_key", "_hour"], "_second", F.first("_base"))
-    in_second = in_hour.drop("_base").join(second, ["_key", "_hour", "_second"])
-    newest = Window.partitionBy("_key", "_second").orderBy(F.col("_time").desc(), F.col("_tie").desc()).rowsBetween(
-        Window.unboundedPreceding, 0)
-    over = in_second.withColumn("_sum", F.col("_base") + F.sum("_size").over(newest)).filter(
-        F.col("_sum") > F.col("_budget"))
+    newest = [F.col("_time").desc(), F.col("_tie").desc()]
+    parts = materialize(
+        sizes.repartitionByRange(F.col("_key"), *newest).withColumn("_part", F.spark_partition_id()), "trim-parts")
+    sums = parts.groupBy("_key", "_part").agg(F.sum("_size").alias("_sum"), F.first("_budget").alias("_limit"))
+    by_part = Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)
+    running = sums.withColumn("_end", F.sum("_sum").over(by_part)).withColumn("_base", F.col("_end") - F.col("_sum"))
+    crossing = running.filter((F.col("_end") > F.col("_limit")) & (F.col("_base") <= F.col("_limit")))
+    rows = null_safe_join(parts, crossing.select("_key", "_part", "_base"), ["_key", "_part"])
+    by_row = Window.partitionBy("_key", "_part").orderBy(*newest).rowsBetween(Window.unboundedPreceding, 0)
+    over = rows.withColumn("_used", F.col("_base") + F.sum("_size").over(by_row)).filter(
+        F.col("_used") > F.col("_budget"))
     return over.groupBy("_key").agg(F.max(_position()).alias("_cut"))
 
 
-def _crossing(rows: DataFrame, keys: list[str], unit: str, base: Column) -> DataFrame:
-    """Per key the time unit in which its budget runs out, with the bytes of newer units."""
-    sums = rows.groupBy(*keys, unit).agg(
-        F.sum("_size").alias("_sum"), F.first("_budget").alias("_limit"), base.alias("_from"))
-    newest = Window.partitionBy(*keys).orderBy(F.col(unit).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    running = sums.withColumn("_end", F.col("_from") + F.sum("_sum").over(newest))
-    start = F.col("_end") - F.col("_sum")
-    return running.filter((F.col("_end") > F.col("_limit")) & (start <= F.col("_limit"))).select(
-        *keys, unit, start.alias("_base"))
-
-
 def _greedy(sizes: DataFrame) -> DataFrame:
     """Rounds of the strict rule: each goes on below the row that did not fit.
 
@@ -127,17 +122,17 @@ def _greedy(sizes: DataFrame) -> DataFrame:
     end when no key has a row that fits.
     """
     columns = sizes.columns
-    rest = materialize(sizes.filter(F.col("_size") <= F.col("_budget")), "trim-sizes")
+    rest = sizes.filter(F.col("_size") <= F.col("_budget"))
     kept = None
     while True:
         cut = materialize(_cutoffs(rest), "trim-cut")
-        placed = rest.join(cut, "_key", "left")
+        placed = null_safe_join(rest, cut, ["_key"], "left")
         fits = F.col("_cut").isNull() | (_position() > F.col("_cut"))
         picked = placed.filter(fits).select(*columns)
         kept = picked if kept is None else kept.unionByName(picked)
         spent = picked.groupBy("_key").agg(F.sum("_size").alias("_spent"))
         left = F.col("_budget") - F.coalesce("_spent", F.lit(0))
-        older = placed.filter(~fits).join(spent, "_key", "left").withColumn("_budget", left)
+        older = null_safe_join(placed.filter(~fits), spent, ["_key"], "left").withColumn("_budget", left)
         rest = materialize(older.filter(F.col("_size") <= F.col("_budget")).select(*columns), "trim-rest")
         if rest.isEmpty():
             return kept

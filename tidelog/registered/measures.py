@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidelog.operators import measure, validate
 from tidelog.operators.normalize import to_event_rows
-from tidelog.registered.base import AS_OF, EVENTS_SQL, RECORDS_SQL, register
+from tidelog.registered.base import AS_OF, RECORDS_SQL, register
 from tidelog.sources.tables import event_table, raw_records, source_events
 
 

@@ -8,11 +8,11 @@ from tidelog.operators import search, validate
 from tidelog.operators.aggregate import group_attr
 from tidelog.operators.filters import time_range
 from tidelog.plans.scenarios import type_mix
-from tidelog.registered.base import EVENTS_SQL, RECORDS_SQL, attrs_text, register
+from tidelog.registered.base import RECORDS_SQL, attrs_text, register
 from tidelog.session import scratch_path
 from tidelog.sources import files, layout
 from tidelog.sources.generate import generate_legacy
-from tidelog.sources.tables import event_table, raw_records, source_events, uuid_of
+from tidelog.sources.tables import event_table, raw_records, source_events
 
 
 def _stored(spark, sf_dir, label, **options):

@@ -154,9 +154,8 @@ def payload_stats(df: DataFrame, payload: str = "message") -> DataFrame:
     """Distribution of payload bytes and of custom fields: count, min, avg, max, p50, p95."""
     from tidelog.operators.aggregate import custom_fields
 
-    sizes = df.select(F.octet_length(F.col(payload)).alias("payload_bytes"),
-                      custom_fields(F.col(payload)).alias("custom_fields"))
-    # One counted row per (metric, value) keeps the second pass small.
+    sizes = df.select(F.octet_length(F.col(payload)).cast("bigint").alias("payload_bytes"),
+                      custom_fields(F.col(payload)).cast("bigint").alias("custom_fields"))
     long = sizes.select(F.explode(F.create_map(
         F.lit("payload_bytes"), F.col("payload_bytes"), F.lit("custom_fields"), F.col("custom_fields"),
     )).alias("metric", "v")).filter(F.col("v").isNotNull())

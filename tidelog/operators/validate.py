@@ -106,7 +106,8 @@ def refusal(activity: Column, event_time: Column, attrs: Column, catalogue: Cata
 def validate(records: DataFrame, catalogue: Catalogue = SERVICE) -> DataFrame:
     """Add ``error``: null for a good record, else the first reason it is refused."""
     reason = refusal(F.col("activityType"), F.col("eventTime"), F.col("attrs"), catalogue)
-    return records.withColumn(ERROR, reason)
+    # Exploded from a one-element array, so that a filter on the reason does not work it out again.
+    return records.select("*", F.explode(F.array(reason)).alias(ERROR))
 
 
 def unknown_attributes(activity: Column, attrs: Column, catalogue: Catalogue = SERVICE) -> Column:

@@ -30,7 +30,10 @@ def read_stream(spark: SparkSession, fmt: str = "kafka", options: dict[str, str]
 def split_broken(raw: DataFrame, schema: T.StructType = STREAM_SCHEMA) -> tuple[DataFrame, DataFrame]:
     """Parsed rows, and the text of messages that are not JSON of this shape."""
     shape = T.StructType(schema.fields + [T.StructField(BROKEN, T.StringType())])
-    parsed = raw.select("value", F.from_json("value", shape, {"columnNameOfCorruptRecord": BROKEN}).alias("row"))
+    row = F.from_json("value", shape, {"columnNameOfCorruptRecord": BROKEN})
+    # Exploding a one-element array parses a message once. As a plain column the parse would be
+    # copied into every later filter and field access that Spark moves below it.
+    parsed = raw.select("value", F.explode(F.array(row)).alias("row"))
     broken = F.col("row").isNull() | F.col(f"row.{BROKEN}").isNotNull()
     good = parsed.filter(~broken).select(*[F.col(f"row.`{f.name}`") for f in schema.fields])
     return good, parsed.filter(broken).select("value", F.lit("broken message").alias(ERROR))

@@ -1,208 +1,150 @@
-"""Byte-level BPE encoding and decoding with Spark's own functions.
-
-A word is a match of the tokenizer's pattern. Merges are folded over the byte ids of a word: at each step the adjacent
-pair with the lowest rank, leftmost first, becomes one id. Ranks of pairs are a literal: all pairs that the vocabulary
-allows lie in one flat table, the row of the left id displaced so that rows do not overlap. A word that is a token
-itself needs no merge. Words that are frequent over the whole corpus are encoded once, as distinct words, and looked
-up in a literal table of at most ``FREQUENT`` entries; all others are encoded where they stand. Nothing is shuffled
-but counts of distinct words. Decoding looks up the bytes of each id and concatenates the pieces.
-
-Null texts count as empty and give no ids. Repeated rows are encoded alike, an empty table stays empty, further columns
-pass through ``encode``. Texts may be of any length; the fold costs the square of a single word's length, so a run of
-many thousand letters without a break is slow, yet right.
+"""Byte-level BPE encoding and decoding.
+
+A word is a match of the tokenizer's pattern. Merges are folded over the bytes of each distinct word: at each step the
+adjacent pair with the lowest rank, leftmost first, becomes one piece, until no pair has a rank. A word that is a token
+itself needs no merge. Each task keeps the ids of the words it has met, up to ``CACHE`` of them, so that a word is
+folded once and looked up from then on. Decoding looks up the bytes of each id and concatenates the pieces. Both are
+column functions over Arrow batches: no shuffle, and no state beyond the cache.
+
+Null texts count as empty and give no ids; null id arrays decode to no bytes. Repeated rows are encoded alike, an empty
+table stays empty, further columns are left alone. Texts and words may be of any length: words over ``LONG`` bytes are
+merged with a heap, in n log n.
 """
 
 from __future__ import annotations
 
 import base64
-import json
-import random
+import heapq
 import struct
-import zlib
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import regex
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import let, materialize
-
-# Most words in the literal table of encoded frequent words.
-FREQUENT = 1 << 17
+# Words whose ids a Python worker keeps.
+CACHE = 1_000_000
+LONG = 400
 _NONE = 1 << 30
 
 
-def java_pattern(pattern: str) -> str:
-    """The tokenizer's pattern with white space as Unicode has it."""
-    return pattern.replace(r"\s", r"\p{IsWhite_Space}").replace(r"\S", r"\P{IsWhite_Space}")
-
-
 @lru_cache(maxsize=4)
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as file:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
 
 
-@lru_cache(maxsize=4)
-def _pair_table(path: str) -> tuple[list[int], list[int]]:
-    """Row starts by left id, and slots holding (left id << 16 | merged id) or -1.
-
-    Rows are placed from the longest on at the first free random start.
-    """
-    ranks = read_ranks(path)
-    rows: dict[int, dict[int, int]] = {}
-    for token, rank in ranks.items():
-        for cut in range(1, len(token)):
-            left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
-            if left is not None and right is not None:
-                rows.setdefault(left, {})[right] = rank
-    width = max(ranks.values()) + 1
-    size = 1 << (2 * sum(map(len, rows.values()))).bit_length()
-    slots, starts, draw = np.full(size + width, -1, dtype=np.int64), [0] * width, random.Random(7)
-    for left, row in sorted(rows.items(), key=lambda x: (-len(x[1]), x[0])):
-        columns = np.fromiter(row, dtype=np.int64)
-        while True:
-            start = draw.randrange(size)
-            if (slots[start + columns] < 0).all():
-                break
-        starts[left] = start
-        slots[start + columns] = (left << 16) | np.fromiter(row.values(), dtype=np.int64)
-    return starts, slots.tolist()
-
-
-def _array(values, kind: str) -> Column:
-    """A literal array; parsed once, when the plan is optimized."""
-    return F.from_json(F.lit(json.dumps(list(values))), f"array<{kind}>")
-
-
-def _fold(ids: Column, starts: Column, slots: Column) -> Column:
-    """Ids after all merges."""
-
-    def rank(a: Column, b: Column) -> Column:
-        return let(slots[starts[a] + b],
-                   lambda x: F.when(F.shiftright(x, 16) == a, x.bitwiseAND(F.lit(65535)).cast("int")).otherwise(_NONE))
-
-    def merge(s: Column, m: Column, p: Column) -> Column:
-        old, ranks = s["ids"], s["ranks"]
-        left = F.when(p > 1, F.array(rank(old[p - 2], m))).otherwise(F.array().cast("array<int>"))
-        right = F.when(p + 1 < F.size(old), F.array(rank(m, old[p + 1]))).otherwise(F.array().cast("array<int>"))
-        return F.struct(
-            F.concat(F.slice(old, 1, p - 1), F.array(m), F.slice(old, p + 2, F.size(old))).alias("ids"),
-            F.concat(F.slice(ranks, 1, F.greatest(p - 2, F.lit(0))), left, right,
-                     F.slice(ranks, p + 2, F.size(old))).alias("ranks"))
-
-    def step(s: Column, _: Column) -> Column:
-        return let(F.array_min(s["ranks"]), lambda m: F.when(m == _NONE, s).otherwise(
-            let(F.array_position(s["ranks"], m).cast("int"), lambda p: merge(s, m, p))))
-
-    ranks = F.transform(F.sequence(F.lit(0), F.size(ids) - 2), lambda i: rank(ids[i], ids[i + 1]))
-    start = F.struct(ids.alias("ids"), ranks.alias("ranks"))
-    folded = F.aggregate(F.sequence(F.lit(2), F.size(ids)), start, step, lambda s: s["ids"])
-    return F.when(F.size(ids) < 2, ids).otherwise(folded)
-
-
-def encode_word(word: Column, path: str) -> Column:
+def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Ids of one word."""
-    ranks = read_ranks(path)
-    starts, slots = _pair_table(path)
-    of_byte = _array([ranks[bytes([i])] for i in range(256)], "int")
-    chars = F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), "")
-    return let(_array(starts, "int"), lambda st: let(_array(slots, "bigint"), lambda sl: let(of_byte, lambda by: let(
-        F.transform(chars, lambda c: by[F.ascii(c)]), lambda ids: _fold(ids, st, sl)))))
-
-
-def _whole(path: str) -> dict[str, list[int]]:
-    """Tokens that merges do not reach from their bytes; as a word of its own such a token is still one id."""
-    ranks, out = read_ranks(path), {}
-    starts, slots = _pair_table(path)
-    for token, rank in ranks.items():
-        ids = [ranks[bytes([b])] for b in token]
-        while len(ids) > 1:
-            pairs = [slots[starts[a] + b] & 65535 if slots[starts[a] + b] >> 16 == a else _NONE
-                     for a, b in zip(ids, ids[1:])]
-            best = min(pairs)
-            if best == _NONE:
-                break
-            at = pairs.index(best)
-            ids[at:at + 2] = [best]
-        if len(ids) > 1:
-            try:
-                out[token.decode("utf-8")] = [rank]
-            except UnicodeDecodeError:
-                continue  # no word is such bytes
+    if word in ranks:
+        return [ranks[word]]
+    if len(word) > LONG:
+        return _merge_long(word, ranks)
+    pieces = [word[i:i + 1] for i in range(len(word))]
+    pairs = [ranks.get(word[i:i + 2], _NONE) for i in range(len(word) - 1)]
+    while pairs:
+        best = min(pairs)
+        if best == _NONE:
+            break
+        at = pairs.index(best)
+        pieces[at:at + 2] = [pieces[at] + pieces[at + 1]]
+        del pairs[at]
+        if at:
+            pairs[at - 1] = ranks.get(pieces[at - 1] + pieces[at], _NONE)
+        if at < len(pairs):
+            pairs[at] = ranks.get(pieces[at] + pieces[at + 1], _NONE)
+    return [ranks[p] for p in pieces]
+
+
+def _merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The same with a heap of pairs; a piece is known by the place of its first byte."""
+    n = len(word)
+    end, before = list(range(1, n + 1)), list(range(-1, n - 1))  # of the piece that starts at a place
+    heap: list[tuple[int, int, int]] = []
+
+    def push(a: int) -> None:
+        if a >= 0 and end[a] < n and (rank := ranks.get(word[a:end[end[a]]])) is not None:
+            heapq.heappush(heap, (rank, a, end[end[a]]))
+
+    for i in range(n - 1):
+        push(i)
+    while heap:
+        _, a, stop = heapq.heappop(heap)
+        if end[a] < 0 or end[a] >= n or end[end[a]] != stop or end[a] == stop:
+            continue  # one of the two has been merged meanwhile
+        gone = end[a]
+        end[gone], end[a] = -1, stop
+        if stop < n:
+            before[stop] = a
+        push(a)
+        push(before[a])
+    out, a = [], 0
+    while a < n:
+        out.append(ranks[word[a:end[a]]])
+        a = end[a]
     return out
 
 
-def frequent_words(pieces: DataFrame, most: int = FREQUENT) -> DataFrame:
-    """Words of the ``words`` arrays at or over the lowest count that at most ``most`` words reach."""
-    counts = pieces.select(F.explode("words").alias("word")).groupBy("word").count().filter("count > 1")
-    counts = materialize(counts, "bpe-counts")
-    # A row for each count that occurs, highest first; no more than ``most`` of them can matter.
-    levels = counts.groupBy("count").agg(F.count("*").alias("n")).orderBy(F.col("count").desc()).limit(most).collect()
-    total, least = 0, None
-    for count, n in levels:
-        total += n
-        if total > most:
-            break
-        least = count
-    return counts.filter(F.col("count") >= least if least is not None else F.lit(False)).select("word")
+class _Words(dict):
+    """Packed ids by word, filled as words come."""
 
+    def __init__(self, path: str):
+        super().__init__()
+        self.ranks = read_ranks(path)
 
-def split_words(text: Column, pattern: str) -> Column:
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(java_pattern(pattern)), 0)
+    def __missing__(self, word: str) -> bytes:
+        ids = merge(word.encode(), self.ranks)
+        packed = struct.pack(f"<{len(ids)}I", *ids)
+        if len(self) < CACHE:
+            self[word] = packed
+        return packed
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """``docs`` with an array of ids for each text."""
-    pieces = docs.select(split_words(docs[text_col], pattern).alias("words"))
-    done = frequent_words(pieces).select("word", encode_word(F.col("word"), path).alias("ids")).collect()
-    table = _whole(path) | {r["word"]: list(r["ids"]) for r in done}
-    known = {w: [read_ranks(path)[w.encode()]] if w.encode() in read_ranks(path) else ids for w, ids in table.items()}
-    return docs.withColumn("__words", split_words(docs[text_col], pattern)).withColumn(
-        ids_col, _lookup(F.col("__words"), known, path)).drop("__words")
+@lru_cache(maxsize=4)
+def _words_of(path: str) -> _Words:
+    return _Words(path)
 
 
-def _lookup(found: Column, known: dict[str, list[int]], path: str) -> Column:
-    """Ids of an array of words: from the table of known words, else folded."""
+@lru_cache(maxsize=4)
+def _pieces_of(path: str) -> list[bytes]:
     ranks = read_ranks(path)
-    starts, slots = _pair_table(path)
-    size = 1 << max(1, len(known)).bit_length()
-    buckets: list[list[dict]] = [[] for _ in range(size)]
-    for word, ids in known.items():
-        buckets[_bucket(word, size)].append({"w": word, "i": ids})
-    of_byte = _array([ranks[bytes([i])] for i in range(256)], "int")
-    table = F.from_json(F.lit(json.dumps(buckets)), "array<array<struct<w string, i array<int>>>>")
+    pieces = [b""] * (max(ranks.values()) + 1)
+    for piece, rank in ranks.items():
+        pieces[rank] = piece
+    return pieces
 
-    def one(word: Column, tb: Column, st: Column, sl: Column, by: Column) -> Column:
-        bucket = tb[F.pmod(F.crc32(F.encode(word, "UTF-8")), F.lit(size)).cast("int")]
-        hit = F.get(F.filter(bucket, lambda x: x["w"] == word), F.lit(0))["i"]
-        chars = F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), "")
-        return F.coalesce(hit, let(F.transform(chars, lambda c: by[F.ascii(c)]), lambda ids: _fold(ids, st, sl)))
 
-    return let(table, lambda tb: let(_array(starts, "int"), lambda st: let(_array(slots, "bigint"), lambda sl: let(
-        of_byte, lambda by: F.flatten(F.transform(found, lambda w: one(w, tb, st, sl, by)))))))
+def encode(text: Column, path: str, pattern: str) -> Column:
+    """Array of token ids of a text."""
 
+    @F.arrow_udf("array<int>")
+    def ids(texts: pa.Array) -> pa.Array:
+        known, split = _words_of(path), regex.compile(pattern).findall
+        packed = [b"".join([known[w] for w in split(t)]) if t else b"" for t in texts.to_pylist()]
+        ends = np.cumsum([0] + [len(p) // 4 for p in packed], dtype=np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), dtype=np.int32)))
 
-def _bucket(word: str, size: int) -> int:
-    return zlib.crc32(word.encode()) % size
+    return ids(text)
 
 
-def _hex_tables(path: str) -> tuple[Column, Column]:
-    """Literal arrays by id: hex of the token's bytes, and hex of the id as little-endian 32 bits."""
-    tokens = sorted((rank, token) for token, rank in read_ranks(path).items())
-    by_id = [""] * (tokens[-1][0] + 1)
-    for rank, token in tokens:
-        by_id[rank] = token.hex()
-    return _array(by_id, "string"), _array([struct.pack("<I", i).hex() for i in range(len(by_id))], "string")
+def decode(ids: Column, path: str) -> Column:
+    """Bytes of an array of token ids."""
 
+    @F.arrow_udf("binary")
+    def texts(arrays: pa.Array) -> pa.Array:
+        piece = _pieces_of(path)
+        return pa.array([b"".join([piece[i] for i in a]) if a else b"" for a in arrays.to_pylist()], pa.binary())
 
-def decode(ids: Column, path: str) -> Column:
-    """Bytes of an array of ids."""
-    pieces, _ = _hex_tables(path)
-    return F.unhex(let(pieces, lambda p: F.array_join(F.transform(ids, lambda i: p[i]), "")))
+    return texts(ids)
 
 
-def id_bytes(ids: Column, path: str) -> Column:
+def pack(ids: Column) -> Column:
     """The ids as little-endian unsigned 32-bit integers."""
-    _, packed = _hex_tables(path)
-    return F.unhex(let(packed, lambda p: F.array_join(F.transform(ids, lambda i: p[i]), "")))
+
+    @F.arrow_udf("binary")
+    def packed(arrays: pa.Array) -> pa.Array:
+        return pa.array([np.asarray(a or [], dtype="<u4").tobytes() for a in arrays.to_pylist()], pa.binary())
+
+    return packed(ids)

@@ -6,10 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import byte_bpe, mixing, quality
-from tidelog.llm.common import read
+from tidelog.llm import byte_bpe, mixing, quality, token_files
+from tidelog.llm.common import pick, read
 from tidelog.llm.sql import ORACLES  # noqa: F401
+from tidelog.session import scratch_path
 
+WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -23,13 +25,20 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_path(spark, "token-files")
+    token_files.write(read(spark, sf_dir, "documents"), folder, public_tokenizers.path(WORD_BPE), end_id=1)
+    return token_files.digest(token_files.read_ids(spark, folder))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(BYTE_BPE)
-    ids = byte_bpe.encode(read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
-    return ids.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(byte_bpe.id_bytes(F.col("ids"), path), 256).alias("ids_sha256"),
-        F.sha2(byte_bpe.decode(F.col("ids"), path), 256).alias("decoded_sha256"))
+    docs = pick(read(spark, sf_dir, "documents"), "doc_id", "text")
+    ids = byte_bpe.encode(docs.text, path, public_tokenizers.PATTERN)
+    packed = docs.select("doc_id", byte_bpe.pack(ids).alias("packed"), byte_bpe.decode(ids, path).alias("decoded"))
+    return packed.select(
+        "doc_id", (F.octet_length("packed") / 4).cast("long").alias("n_tokens"),
+        F.sha2("packed", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op3_mix_sources, op7_quality_rules, op8_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op3_mix_sources, op5_token_files, op7_quality_rules, op8_byte_bpe)}

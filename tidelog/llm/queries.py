@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import byte_bpe, mixing, quality, token_files
+from tidelog.llm import byte_bpe, mixing, pii, quality, token_files, vp_tree
 from tidelog.llm.common import pick, read
 from tidelog.llm.sql import ORACLES  # noqa: F401
 from tidelog.session import scratch_path
@@ -15,6 +15,10 @@ WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE = "byte_bpe_multi_50k.tiktoken"
 
 
+def op2_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vp_tree.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken")
@@ -25,6 +29,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(read(spark, sf_dir, "documents")))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "token-files")
     token_files.write(read(spark, sf_dir, "documents"), folder, public_tokenizers.path(WORD_BPE), end_id=1)
@@ -41,4 +49,4 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("packed", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op3_mix_sources, op5_token_files, op7_quality_rules, op8_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op2_nearest_vectors, op3_mix_sources, op4_personal_data, op5_token_files, op7_quality_rules, op8_byte_bpe)}

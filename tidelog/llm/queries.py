@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import byte_bpe, mixing, pii, quality, token_files, vp_tree
+from tidelog.llm import byte_bpe, gru_lm, mixing, pii, quality, token_files, vp_tree
 from tidelog.llm.common import pick, read
 from tidelog.llm.sql import ORACLES  # noqa: F401
 from tidelog.session import scratch_path
@@ -49,4 +49,9 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("packed", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_nearest_vectors, op3_mix_sources, op4_personal_data, op5_token_files, op7_quality_rules, op8_byte_bpe)}
+def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gru_lm.score(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_nearest_vectors, op3_mix_sources, op4_personal_data, op5_token_files, op7_quality_rules, op8_byte_bpe,
+    op9_language_model)}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import byte_bpe, gru_lm, mixing, pii, quality, token_files, vp_tree
+from tidelog.llm import byte_bpe, gru_lm, mixing, pii, quality, token_files, toxicity, vp_tree
 from tidelog.llm.common import pick, read
 from tidelog.llm.sql import ORACLES  # noqa: F401
 from tidelog.session import scratch_path
@@ -24,6 +24,14 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 4 == 2
+    model = toxicity.train(docs, labels.filter(~held_out))
+    return toxicity.tag(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.CUT).cast("int").alias("predicted"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measure(read(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -53,5 +61,5 @@ def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gru_lm.score(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_nearest_vectors, op3_mix_sources, op4_personal_data, op5_token_files, op7_quality_rules, op8_byte_bpe,
+QUERIES = {f.__name__: f for f in (op2_nearest_vectors, op3_mix_sources, op4_personal_data, op5_token_files, op6_toxicity, op7_quality_rules, op8_byte_bpe,
     op9_language_model)}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import byte_bpe, gru_lm, mixing, pii, quality, token_files, toxicity, vp_tree
+from tidelog.llm import byte_bpe, gru_lm, jaccard_join, mixing, pii, quality, token_files, toxicity, vp_tree
 from tidelog.llm.common import pick, read
 from tidelog.llm.sql import ORACLES  # noqa: F401
 from tidelog.session import scratch_path
@@ -61,5 +61,9 @@ def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gru_lm.score(read(spark, sf_dir, "documents"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.components(read(spark, sf_dir, "documents"), n_words=3, percent=90)
+
+
 QUERIES = {f.__name__: f for f in (op2_nearest_vectors, op3_mix_sources, op4_personal_data, op5_token_files, op6_toxicity, op7_quality_rules, op8_byte_bpe,
-    op9_language_model)}
+    op9_language_model, op10_jaccard_join)}

@@ -76,7 +76,7 @@ def _prefix(n: int, percent: int) -> int:
 
 def _part(percent: int) -> int:
     """Hashes below this are ordered by rarity."""
-    return min(_TOP, int(_TOP * 2 * (100 - percent) / 100))
+    return min(_TOP - 1, int(_TOP * 2 * (100 - percent) / 100))
 
 
 def _shingle(docs: DataFrame, n_words: int, percent: int, whole: bool) -> DataFrame:

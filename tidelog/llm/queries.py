@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import byte_bpe, gru_lm, jaccard_join, mixing, pii, quality, token_files, toxicity, vp_tree
+from tidelog.llm import byte_bpe, gru_lm, jaccard_join, mixing, pii, quality, suffix_dedup, token_files, toxicity, vp_tree
 from tidelog.llm.common import pick, read
 from tidelog.llm.sql import ORACLES  # noqa: F401
 from tidelog.session import scratch_path
@@ -15,6 +15,11 @@ WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE = "byte_bpe_multi_50k.tiktoken"
 
 
+def op1_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove(read(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vp_tree.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -65,5 +70,6 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.components(read(spark, sf_dir, "documents"), n_words=3, percent=90)
 
 
-QUERIES = {f.__name__: f for f in (op2_nearest_vectors, op3_mix_sources, op4_personal_data, op5_token_files, op6_toxicity, op7_quality_rules, op8_byte_bpe,
-    op9_language_model, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (
+    op1_repeated_bytes, op2_nearest_vectors, op3_mix_sources, op4_personal_data, op5_token_files, op6_toxicity,
+    op7_quality_rules, op8_byte_bpe, op9_language_model, op10_jaccard_join)}

@@ -219,19 +219,22 @@ class Trainer:
 
 def score_docs(w: dict, docs: list[np.ndarray]) -> np.ndarray:
     """Natural log probability of each document's network ids, state carried across windows."""
+    if not docs:
+        return np.zeros(0)
     order = np.argsort([-len(d) for d in docs], kind="stable")
     lengths = np.array([len(docs[i]) for i in order])
+    starts = np.cumsum(lengths) - lengths
+    # All documents end to end, targets and the tokens before them; windows are cut out of these by place.
+    flat = np.concatenate([*[docs[i] for i in order], np.zeros(WINDOW, dtype=np.int64)])
+    before = np.concatenate([[0], flat[:-1]])
+    before[starts] = 0
     total, h = np.zeros(len(docs)), np.zeros((len(docs), HIDDEN), dtype=np.float32)
-    for t in range(0, int(lengths[0]) if len(docs) else 0, WINDOW):
+    steps = np.arange(WINDOW)
+    for t in range(0, int(lengths[0]), WINDOW):
         live = int((lengths > t).sum())
-        ys = np.full((live, WINDOW), -1)
-        xs = np.zeros((live, WINDOW), dtype=np.int64)
-        for lane in range(live):
-            d = docs[order[lane]]
-            part = d[t:t + WINDOW]
-            ys[lane, :len(part)] = part
-            before = d[t - 1:t + WINDOW - 1] if t else np.concatenate([[0], d[:WINDOW - 1]])
-            xs[lane, :len(part)] = before[:len(part)]
+        at = starts[:live, None] + t + steps
+        xs = before[at]
+        ys = np.where(t + steps < lengths[:live, None], flat[at], -1)
         h, states = h[:live], []
         for s in range(min(WINDOW, int(lengths[0]) - t)):
             h, _ = _step(w, xs[:, s], h)
@@ -355,7 +358,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 hot = ranks[ranks >= 0]
                 ids.append(np.where(ranks >= 0, vocabulary.net[ranks], vocabulary.tail))
                 rest.append([(x.decode(), n) for x, n in Counter(
-                    found[i] for i in np.flatnonzero(ranks < 0)).items()])
+                    [found[i] for i in np.flatnonzero(ranks < 0).tolist()]).items()])
                 rows.append((len(found), int((vocabulary.count[hot] > 0).sum()), float(log[hot].sum()),
                              float(vocabulary.share[hot].sum())))
             logs = score_docs(w, ids) / np.log(10)

@@ -37,7 +37,7 @@ PERCENT = 80
 # Lists up to this length are compared whole at once.
 SHORT = 16
 # Ranges of the suffix filter.
-RANGES = 16
+RANGES = 64
 # Up to this many candidate classes their ids are broadcast; beyond, they are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 # Words whose hashes a task keeps.
@@ -70,6 +70,12 @@ def tokens(text: str | None, n_words: int, known: dict) -> np.ndarray:
     return np.unique(x >> np.uint64(1)).astype(np.int64)
 
 
+def _ranges(s: np.ndarray) -> np.ndarray:
+    """Counts by range of the hash; where one does not fit, none of them bounds anything."""
+    counts = np.bincount(s >> 57, minlength=RANGES)
+    return (counts if counts.max() < 1 << 15 else np.full(RANGES, (1 << 15) - 1)).astype(np.int16)
+
+
 def _prefix(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
@@ -91,16 +97,16 @@ def _shingle(docs: DataFrame, n_words: int, percent: int, whole: bool) -> DataFr
         for part in parts:
             sets = [tokens(t, n_words, known) for t in part.column("text").to_pylist()]
             kept = sets if whole else [s[:max(int(np.searchsorted(s, low)), _prefix(len(s), percent))] for s in sets]
-            ranges = [np.bincount(s >> 59, minlength=RANGES) for s in sets]
+            ranges = [_ranges(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [part.column("id"), part.column("row_key"), pa.array([len(s) for s in sets], pa.int64()),
                  pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets],
                           pa.binary()),
-                 pa.array(kept, pa.list_(pa.int64())), pa.array(ranges, pa.list_(pa.int32()))],
+                 pa.array(kept, pa.list_(pa.int64())), pa.array(ranges, pa.list_(pa.int16()))],
                 names=["id", "row_key", "n", "cls", "tokens", "ranges"])
 
     return docs.select("id", "text", "row_key").mapInArrow(
-        batches, f"id {kind}, row_key bigint, n bigint, cls binary, tokens array<bigint>, ranges array<int>")
+        batches, f"id {kind}, row_key bigint, n bigint, cls binary, tokens array<bigint>, ranges array<smallint>")
 
 
 def _index(classes: DataFrame, percent: int) -> DataFrame:
@@ -135,7 +141,7 @@ def _may_be_similar(a: str, b: str, percent: int) -> Column:
 
     position = F.least(ia, ib) + 1 + F.least(na - ia - 1, nb - ib - 1)
     both = F.zip_with(F.col(f"{a}.ranges"), F.col(f"{b}.ranges"), lambda s, x: F.least(s, x))
-    suffix = F.aggregate(both, F.lit(0), lambda s, x: s + x)
+    suffix = F.aggregate(both, F.lit(0), lambda s, x: s + x.cast("int"))
     return length & enough(position) & enough(suffix)
 
 

@@ -26,7 +26,7 @@ from tidelog.registered.aggregates import HEAVY_HOT  # noqa: E402
 from tidelog.registered.base import AS_OF, FROM, TO  # noqa: E402
 from tidelog.sources import files, layout  # noqa: E402
 from tidelog.sources.generate import generate_bulk, generate_events, row_ids  # noqa: E402
-from tidelog.sources.tables import adapt, source_events, spread  # noqa: E402
+from tidelog.sources.tables import adapt, source_events  # noqa: E402
 from tidelog.streaming import ingest  # noqa: E402
 
 
@@ -97,7 +97,7 @@ def main() -> None:
         rows_per_sec[name] = round(rows / seconds[name])
 
     source = source_events(spark, sf_dir)
-    events = adapt(spread(source))
+    events = adapt(source)
     rows = events.count()
     hot = layout.DEFAULT_HOT_COLUMNS + tuple(layout.HotColumn("attr_" + k, k) for k in HEAVY_HOT)
     for name in layout.LAYOUTS:

@@ -98,3 +98,24 @@ def test_bad_search_filters(spark):
         search.search(events, {"la ng": "ru"})
     quoted = search.search(events, {"lang": "ru' OR '1'='1"})
     assert quoted.count() == 0
+
+
+def test_hot_filters_are_pushed(spark, tmp_path):
+    from tidelog.operators import filters
+    from tidelog.plans.scenarios import heavy_registrations
+    from tidelog.registered.base import AS_OF
+    from tidelog.sources.tables import event_table
+
+    path = str(tmp_path / "pushed")
+    layout.write_events(event_table(spark, "/root/testdata/sf0.001"), path, hot=HEAVY_HOT)
+    table = spark.read.parquet(path)
+
+    def pushed(frame):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        return plan[plan.index("PushedFilters"):].split("\n")[0]
+
+    assert "EqualTo(attr_gender,0)" in pushed(filters.filter_attr(table, "gender", "0"))
+    assert "EqualTo(attr_gender,1)" in pushed(filters.filter_query_string(table, "gender=1"))
+    assert "attr_type" in pushed(filters.filter_types(table, "MESSAGE_SENT,REGISTRATION"))
+    heavy = pushed(heavy_registrations(table, as_of=AS_OF))
+    assert all(f"attr_{key}" in heavy for key in ("type", "gender") if f"attr_{key}" in table.columns)

@@ -37,6 +37,26 @@ def attribute_text(df: DataFrame, key: str) -> Column:
     return lookup_attribute(key)
 
 
+def attribute_equals(df: DataFrame, key: str, value: str) -> Column:
+    """Whether the attribute's text is ``value``.
+
+    On a stored column this is the plain comparison that Parquet can be asked for; only the empty text, which also
+    stands for a missing one, needs the null check.
+    """
+    return attribute_in(df, key, [value])
+
+
+def attribute_in(df: DataFrame, key: str, values) -> Column:
+    """Whether the attribute's text is one of ``values``; see ``attribute_equals``."""
+    values = list(values)
+    stored = df.schema[HOT_PREFIX + key].dataType.simpleString() if HOT_PREFIX + key in df.columns else None
+    if stored != "string":
+        return lookup_attribute(key).isin(*values)
+    column = F.col(HOT_PREFIX + key)
+    listed = column == values[0] if len(values) == 1 else column.isin(*values)
+    return column.isNull() | listed if "" in values else listed
+
+
 def flag_value(text: Column) -> Column:
     return (text == "1") | (F.lower(text) == "true")
 

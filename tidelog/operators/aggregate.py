@@ -12,12 +12,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.functions.attributes import attribute_text, lookup_attribute
+from tidelog.functions.attributes import attribute_equals, attribute_text, lookup_attribute
 from tidelog.functions.json_text import check_name
 from tidelog.functions.records import normalize_record_type
 from tidelog.functions.text import is_blank
 from tidelog.functions.times import bucket_start
-from tidelog.operators.filters import clamp, last_days, time_range
+from tidelog.operators.filters import first_rows, last_days, time_range
+
+# Most ranked keys that are broadcast.
+BROADCAST_KEYS = 100_000
 
 
 def time_buckets(df: DataFrame, interval: str | None = "minute", limit: int | None = None,
@@ -34,11 +37,11 @@ def time_buckets(df: DataFrame, interval: str | None = "minute", limit: int | No
     return out.orderBy(F.col("bucket").desc(), F.col("count").desc(), "record_type").limit(limit)
 
 
-def analytics(df: DataFrame, start=None, end=None, interval: str = "minute", limit: int = 1000,
+def analytics(df: DataFrame, start=None, end=None, interval: str = "minute", limit: int | None = 1000,
               as_of=None, per_second: bool = False) -> DataFrame:
     """Newest time buckets of the range, by default of the last hour."""
     return time_buckets(time_range(df, start, end, hours=1, as_of=as_of), interval,
-                        clamp(limit, 5000), per_second)
+                        limit, per_second)
 
 
 def recent_buckets(df: DataFrame, days: int, interval: str, limit: int, as_of=None) -> DataFrame:
@@ -62,7 +65,7 @@ def distinct_count(column: Column, exact: bool) -> Column:
 def attr_users(df: DataFrame, lang: str, exact: bool = False) -> DataFrame:
     """Events and users of one language."""
     value = attribute_text(df, "lang")
-    return df.filter(value == lang).groupBy(value.alias("lang")).agg(
+    return df.filter(attribute_equals(df, "lang", lang)).groupBy(value.alias("lang")).agg(
         F.count("*").alias("count"), distinct_count(F.col("user_id"), exact).alias("users"))
 
 
@@ -90,24 +93,25 @@ def group_by_attribute(df: DataFrame, name: str, count_only: bool = True) -> Dat
 
 
 def top_then_chart(df: DataFrame, select: Callable[[DataFrame], DataFrame] = lambda d: d,
-                   top_by: str = "USER_ID", top_n: int = 50, chart_by: str = "TIMESTAMP",
-                   limit: int = 5000) -> DataFrame:
+                   top_by: str = "USER_ID", top_n: int | None = 50, chart_by: str = "TIMESTAMP",
+                   limit: int | None = 5000) -> DataFrame:
     """The ``top_n`` most frequent keys of the selected events, charted by a second key.
 
     The table is read once: counts per (key, chart value) feed both the ranking
     and the chart, and Spark reuses their shuffle. That is also why the ranking
     is joined rather than used as a semi-join, which Spark would push below the
     count and so scan the table again. The ranking has at most ``top_n``
-    distinct keys, which bounds what is broadcast.
+    distinct keys; up to ``BROADCAST_KEYS`` they are broadcast, beyond Spark chooses.
     """
     key = grouping_key(df, top_by)
     cells = select(df).filter(key.isNotNull()).groupBy(
         key.alias("key"), grouping_key(df, chart_by).alias("chart"),
     ).agg(F.count("*").alias("events"))
     ranking = cells.groupBy("key").agg(F.sum("events").alias("total"))
-    top = ranking.orderBy(F.col("total").desc(), "key").limit(clamp(top_n, 1000)).select("key")
-    return cells.join(F.broadcast(top), "key").orderBy(
-        F.col("events").desc(), "key", "chart").limit(clamp(limit, 5000))
+    top = first_rows(ranking.orderBy(F.col("total").desc(), "key"), top_n).select("key")
+    if top_n is not None and top_n <= BROADCAST_KEYS:
+        top = F.broadcast(top)
+    return first_rows(cells.join(top, "key").orderBy(F.col("events").desc(), "key", "chart"), limit)
 
 
 def purchase_totals(df: DataFrame, kind: str = "event_type", amount: str = "amount") -> DataFrame:

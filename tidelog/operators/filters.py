@@ -12,22 +12,26 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.functions.attributes import attribute_text
+from tidelog.functions.attributes import attribute_equals, attribute_in
 from tidelog.functions.json_text import check_name
 from tidelog.functions.records import normalize_record_type
 from tidelog.functions.times import as_instant
 from tidelog.catalogue import SERVICE, Catalogue
 
 PARTITION = "event_date"
-_INLINE_IDS = 1000
 
 
-def clamp(value: int, high: int, low: int = 1) -> int:
-    return max(low, min(int(value), high))
+def first_rows(df: DataFrame, limit: int | None) -> DataFrame:
+    """The first ``limit`` rows, all if it is None."""
+    if limit is None:
+        return df
+    if int(limit) < 0:
+        raise ValueError(f"limit must not be negative: {limit}")
+    return df.limit(int(limit))
 
 
-def newest_first(df: DataFrame, limit: int, time: str = "event_time", tie: str = "event_id") -> DataFrame:
-    return df.orderBy(F.col(time).desc(), F.col(tie).desc()).limit(limit)
+def newest_first(df: DataFrame, limit: int | None, time: str = "event_time", tie: str = "event_id") -> DataFrame:
+    return first_rows(df.orderBy(F.col(time).desc(), F.col(tie).desc()), limit)
 
 
 def since(df: DataFrame, start: Column) -> DataFrame:
@@ -62,7 +66,7 @@ def last_minutes(df: DataFrame, minutes: int | None, as_of=None) -> DataFrame:
 
 
 def filter_attr(df: DataFrame, key: str, value: str) -> DataFrame:
-    return df.filter(attribute_text(df, check_name(key)) == value)
+    return df.filter(attribute_equals(df, check_name(key), value))
 
 
 def filter_query_string(df: DataFrame, text: str | None) -> DataFrame:
@@ -79,18 +83,26 @@ def filter_types(df: DataFrame, names: str | Iterable[str] | None, catalogue: Ca
     if not any(p.strip() for p in parts):
         return df
     known = [p.strip().upper() for p in parts if p.strip().upper() in catalogue.record_type_of]
-    return df.filter(attribute_text(df, "type").isin(*known))
+    return df.filter(attribute_in(df, "type", known)) if known else df.filter(F.lit(False))
 
 
 def filter_ids(df: DataFrame, ids: Iterable | DataFrame, column: str = "event_id") -> DataFrame:
-    """Rows whose id is listed; long lists become a semi-join, not one giant predicate."""
-    if not isinstance(ids, DataFrame):
-        ids = list(ids)
-        if len(ids) <= _INLINE_IDS:
-            return df.filter(F.col(column).isin(*ids))
-        kind = df.schema[column].dataType.simpleString()
-        ids = df.sparkSession.createDataFrame([(i,) for i in ids], f"`{column}` {kind}")
-    return df.join(ids.select(F.col(ids.columns[0]).alias(column)), column, "left_semi")
+    """Rows whose id is listed, with the columns in their order.
+
+    A Python list of any length is one predicate, its ids read as the column's type; ids that are no such value match
+    nothing. Lists too long for the driver come as a DataFrame, whose first column is semi-joined.
+    """
+    if isinstance(ids, DataFrame):
+        listed = ids.select(F.col(ids.columns[0]).alias("_listed"))
+        return df.join(listed, F.col(column) == F.col("_listed"), "left_semi")
+    read = int if df.schema[column].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint") else str
+    values = []
+    for i in ids:
+        try:
+            values.append(read(i))
+        except ValueError:
+            continue
+    return df.filter(F.col(column).isin(*values)) if values else df.filter(F.lit(False))
 
 
 def filter_record_type(df: DataFrame, name: str | None) -> DataFrame:
@@ -118,7 +130,7 @@ def search_predicates(df: DataFrame, filters: Mapping[str, str] | None) -> list[
             kind = df.schema["event_id"].dataType
             out.append(F.col("event_id") == F.lit(value).cast(kind))
         else:
-            out.append(attribute_text(df, check_name(key)) == value)
+            out.append(attribute_equals(df, check_name(key), value))
     return out
 
 

@@ -9,26 +9,26 @@ from pyspark.sql import functions as F
 
 from tidelog.functions.json_text import json_int, json_string
 from tidelog.operators.filters import (
-    PARTITION, clamp, newest_first, order, search_predicates,
+    PARTITION, first_rows, newest_first, order, search_predicates,
 )
 
 
-def search(df: DataFrame, filters: Mapping[str, str] | None, limit: int = 100) -> DataFrame:
+def search(df: DataFrame, filters: Mapping[str, str] | None, limit: int | None = 100) -> DataFrame:
     """Newest events for which every filter holds."""
     for predicate in search_predicates(df, filters):
         df = df.filter(predicate)
-    return newest_first(df, clamp(limit, 1000))
+    return newest_first(df, limit)
 
 
 def moderation(df: DataFrame, record_type: str | None = None, user_id: int | None = None,
-               chat_id: int | None = None, message_id: int | None = None, limit: int = 100) -> DataFrame:
+               chat_id: int | None = None, message_id: int | None = None, limit: int | None = 100) -> DataFrame:
     """Newest events of a record type, user, chat or message."""
     if record_type and record_type.strip():
         df = df.filter(F.col("record_type") == record_type.upper())
     for name, value in (("user_id", user_id), ("chat_id", chat_id), ("message_id", message_id)):
         if value is not None:
             df = df.filter(F.col(name) == F.lit(value).cast("bigint"))
-    return newest_first(df, clamp(limit, 1000))
+    return newest_first(df, limit)
 
 
 def breakdown(df: DataFrame) -> DataFrame:
@@ -53,27 +53,27 @@ def summary(df: DataFrame, user_id: int | None = None, record_type: str | None =
     )
 
 
-def latest(df: DataFrame, limit: int = 5, time: str = "event_time") -> DataFrame:
-    return newest_first(df, clamp(limit, 500), time=time)
+def latest(df: DataFrame, limit: int | None = 5, time: str = "event_time") -> DataFrame:
+    return newest_first(df, limit, time=time)
 
 
-def search_json(df: DataFrame, path: str, value: str, limit: int = 100) -> DataFrame:
+def search_json(df: DataFrame, path: str, value: str, limit: int | None = 100) -> DataFrame:
     """Older JSON events whose text at ``path`` equals ``value``, newest first."""
     matched = df.filter(json_string(F.col("message"), path) == ("" if value is None else value))
-    return newest_first(matched, clamp(limit, 500), time="created_at")
+    return newest_first(matched, limit, time="created_at")
 
 
-def search_json_int(df: DataFrame, path: str, minimum: int, limit: int = 100) -> DataFrame:
+def search_json_int(df: DataFrame, path: str, minimum: int, limit: int | None = 100) -> DataFrame:
     """Older JSON events with a whole number of at least ``minimum`` at ``path``, largest first."""
     found = df.withColumn("found", json_int(F.col("message"), path)).filter(F.col("found") >= minimum)
-    return found.orderBy(F.col("found").desc(), F.col("event_id").desc()).limit(clamp(limit, 500))
+    return first_rows(found.orderBy(F.col("found").desc(), F.col("event_id").desc()), limit)
 
 
 # Up to this many rows a page is a bounded top-k; see page().
 TOP_K_ROWS = 100_000
 
 
-def page(df: DataFrame, offset: int = 0, limit: int = 100, column: str | None = None,
+def page(df: DataFrame, offset: int = 0, limit: int | None = 100, column: str | None = None,
          ascending: bool = False) -> DataFrame:
     """Rows ``offset`` .. ``offset + limit`` in a total order.
 
@@ -82,10 +82,12 @@ def page(df: DataFrame, offset: int = 0, limit: int = 100, column: str | None =
     to find where the page begins and ends, so that only that stretch of time
     is ordered instead of everything before it.
     """
-    offset, size = max(0, int(offset)), clamp(limit, 5000, 0)
+    if offset < 0:
+        raise ValueError(f"offset must not be negative: {offset}")
+    size = limit
     if size and offset + size > TOP_K_ROWS and (column or "event_time") == "event_time":
         df, offset = _narrow_to_page(df, offset, size, ascending)
-    return order(df, column, ascending).offset(offset).limit(size)
+    return first_rows(order(df, column, ascending).offset(offset), size)
 
 
 def _narrow_to_page(df: DataFrame, offset: int, size: int, ascending: bool) -> tuple[DataFrame, int]:

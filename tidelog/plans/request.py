@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidelog.operators.aggregate import group_by_attribute, top_then_chart
 from tidelog.operators.filters import (
-    clamp, filter_ids, filter_query_string, filter_record_type, filter_types, last_minutes, since, until,
+    filter_ids, filter_query_string, filter_record_type, filter_types, last_minutes, since, until,
 )
 from tidelog.functions.times import as_instant
 from tidelog.operators.search import page
@@ -20,14 +20,18 @@ def _given(params: Mapping[str, str], name: str) -> str | None:
     return str(value).strip() if value is not None and str(value).strip() else None
 
 
-def query_from_params(df: DataFrame, params: Mapping[str, str], as_of=None) -> DataFrame:
+def query_from_params(df: DataFrame, params: Mapping[str, str], as_of=None, max_size: int | None = None) -> DataFrame:
     """Filters, then one of: top keys charted, top keys, groups, or a page of rows.
 
     Parameters: types, documentTypes, minutes, timeFrom, timeTo, eventIds,
-    queryString, topBy, chartBy, chunkSize, chunkStartAt, orderBy, orderAsc.
+    queryString, topBy, chartBy, chunkSize (100 if not given), chunkStartAt,
+    orderBy, orderAsc. A front end may set ``max_size``; a larger chunkSize is
+    refused, never cut, and so is a negative chunkStartAt.
     """
-    size = min(int(_given(params, "chunkSize") or 100), 5000)
+    size = int(_given(params, "chunkSize") or 100)
     start = int(_given(params, "chunkStartAt") or 0)
+    if start < 0 or size < 0 or max_size is not None and size > max_size:
+        raise ValueError(f"chunkSize or chunkStartAt out of range: {size}, {start}")
     rows = filter_types(df, _given(params, "types"))
     if _given(params, "documentTypes"):
         rows = filter_record_type(rows, _given(params, "documentTypes"))
@@ -42,7 +46,7 @@ def query_from_params(df: DataFrame, params: Mapping[str, str], as_of=None) -> D
 
     top, chart = _given(params, "topBy"), _given(params, "chartBy")
     if top and chart:
-        return top_then_chart(rows, top_by=top, chart_by=chart, top_n=clamp(size, 50), limit=5000)
+        return top_then_chart(rows, top_by=top, chart_by=chart, top_n=size, limit=None)
     if top or chart:
         groups = group_by_attribute(rows, top or chart)
         first = F.col("count").desc() if top else F.col("key")

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.functions.attributes import attribute_text
+from tidelog.functions.attributes import attribute_equals, attribute_in, attribute_text
 from tidelog.operators.aggregate import distinct_count, time_buckets, top_then_chart
-from tidelog.operators.filters import clamp, last_days, time_range
+from tidelog.operators.filters import last_days, time_range
 
 # Id, title and goal of each scenario.
 SCENARIOS = (
@@ -66,9 +66,8 @@ def scenario(df: DataFrame, name: str | None = None, start=None, end=None, limit
     An unknown name runs the time series.
     """
     window = time_range(df, start, end, hours=24, as_of=as_of)
-    size = clamp(limit, 5000)
     runner = _RUNNERS.get((name or "").strip().lower())
-    return runner(window, size) if runner else time_buckets(window, "minute", size)
+    return runner(window, limit) if runner else time_buckets(window, "minute", limit)
 
 
 # Attributes and organisation hashes the heavy query asks for.
@@ -90,8 +89,8 @@ HEAVY_ORG_HASHES = (
 def heavy_registrations(df: DataFrame, days: int = 90, as_of=None) -> DataFrame:
     recent = last_days(df, days, as_of).filter(F.col("record_type") == "SYSTEM")
     for key, value in HEAVY_FILTERS.items():
-        recent = recent.filter(attribute_text(recent, key) == value)
-    return recent.filter(attribute_text(recent, "org_hash").isin(*HEAVY_ORG_HASHES))
+        recent = recent.filter(attribute_equals(recent, key, value))
+    return recent.filter(attribute_in(recent, "org_hash", HEAVY_ORG_HASHES))
 
 
 def heavy_top_users(df: DataFrame, days: int = 90, as_of=None, top_n: int = 50, limit: int = 5000) -> DataFrame:

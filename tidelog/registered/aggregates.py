@@ -26,7 +26,7 @@ def analytics_minute(spark, sf_dir):
     return aggregate.analytics(event_table(spark, sf_dir), FROM, TO)
 
 
-@register("analytics_hour", _buckets("hour", 5000))
+@register("analytics_hour", _buckets("hour", 100_000))
 def analytics_hour(spark, sf_dir):
     return aggregate.analytics(event_table(spark, sf_dir), FROM, TO, "HOUR", 100_000)
 

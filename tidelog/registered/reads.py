@@ -26,7 +26,7 @@ def search_attributes(spark, sf_dir):
 
 
 @register("search_user", f"""
-SELECT {_COLUMNS} FROM evt WHERE user_id = 7 ORDER BY event_time DESC, event_id DESC LIMIT 1000""")
+SELECT {_COLUMNS} FROM evt WHERE user_id = 7 ORDER BY event_time DESC, event_id DESC LIMIT 5000""")
 def search_user(spark, sf_dir):
     return flat(search.search(event_table(spark, sf_dir), {"USER_ID": "7"}, 5000))
 
@@ -94,7 +94,7 @@ WITH legacy AS (
 
 
 @register("latest_legacy", _LEGACY_SQL + """
-SELECT event_id, event_type, user_id, created_at FROM legacy ORDER BY created_at DESC, event_id DESC LIMIT 500""")
+SELECT event_id, event_type, user_id, created_at FROM legacy ORDER BY created_at DESC, event_id DESC LIMIT 9999""")
 def latest_legacy(spark, sf_dir):
     return search.latest(_legacy(spark, sf_dir), 9999, time="created_at").select(
         "event_id", "event_type", "user_id", "created_at")
@@ -175,6 +175,12 @@ def filter_ids_list(spark, sf_dir):
     return filters.filter_ids(event_table(spark, sf_dir), [1, 3, 5, 700, 901]).select("event_id", "record_type")
 
 
+@register("filter_ids_long_list", "SELECT event_id, record_type FROM ev WHERE event_id < 3000 AND event_id % 2 = 1")
+def filter_ids_long_list(spark, sf_dir):
+    ids = [str(i) if i % 3 else i for i in range(1, 3000, 2)]
+    return filters.filter_ids(event_table(spark, sf_dir), ids).select("event_id", "record_type")
+
+
 @register("filter_ids_join", """
 SELECT event_id, record_type FROM ev WHERE event_id IN (SELECT o_orderkey FROM orders)""")
 def filter_ids_join(spark, sf_dir):
@@ -199,20 +205,20 @@ def page_newest(spark, sf_dir):
 
 
 @register("page_oldest_by_user", """
-SELECT event_id, user_id FROM ev ORDER BY user_id, event_id LIMIT 5000 OFFSET 100""")
+SELECT event_id, user_id FROM ev ORDER BY user_id, event_id LIMIT 9000 OFFSET 100""")
 def page_oldest_by_user(spark, sf_dir):
     return search.page(event_table(spark, sf_dir), 100, 9000, "user_id", ascending=True).select("event_id", "user_id")
 
 
 @register("request_top_chart", """
 , chosen AS (SELECT * FROM ev WHERE type IN ('REGISTRATION', 'MESSAGE_SENT') AND lang = 'en'),
-top AS (SELECT user_id FROM chosen GROUP BY user_id ORDER BY count(*) DESC, user_id LIMIT 20)
+top AS (SELECT user_id FROM chosen GROUP BY user_id ORDER BY count(*) DESC, user_id LIMIT 200)
 SELECT user_id AS key, date_trunc('hour', event_time) AS chart, count(*) AS events FROM chosen
-WHERE user_id IN (SELECT user_id FROM top) GROUP BY ALL ORDER BY events DESC, key, chart LIMIT 5000""")
+WHERE user_id IN (SELECT user_id FROM top) GROUP BY ALL""")
 def request_top_chart(spark, sf_dir):
     return query_from_params(event_table(spark, sf_dir), {
         "types": "REGISTRATION,MESSAGE_SENT", "queryString": "LANG=en", "topBy": "USER_ID",
-        "chartBy": "TIMESTAMP", "chunkSize": "20", "minutes": "0"}, AS_OF)
+        "chartBy": "TIMESTAMP", "chunkSize": "200", "minutes": "0"}, AS_OF)
 
 
 @register("request_top", """
@@ -225,7 +231,7 @@ def request_top(spark, sf_dir):
 
 @register("request_chart", """
 SELECT date_trunc('hour', event_time) AS key, count(*) AS count FROM ev
-WHERE event_time >= TIMESTAMP '2024-01-24 00:00:00' GROUP BY key ORDER BY key LIMIT 5000""")
+WHERE event_time >= TIMESTAMP '2024-01-24 00:00:00' GROUP BY key ORDER BY key LIMIT 9999""")
 def request_chart(spark, sf_dir):
     return query_from_params(event_table(spark, sf_dir), {
         "minutes": str(7 * 1440), "chartBy": "TIMESTAMP", "chunkSize": "9999"}, AS_OF)

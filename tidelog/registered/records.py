@@ -10,7 +10,7 @@ from tidelog.operators import normalize, validate
 from tidelog.catalogue import SERVICE, SIMULATOR
 from tidelog.registered.base import AS_OF, EVENTS_SQL, RECORDS_SQL, attrs_text, register
 from tidelog.sources.generate import generate_events
-from tidelog.sources.tables import event_table, raw_records, source_events, spread, uuid_of
+from tidelog.sources.tables import event_table, raw_records, source_events, uuid_of
 
 _KEPT_ID = "CASE WHEN event_id = '' THEN 'new' ELSE event_id END"
 
@@ -100,7 +100,7 @@ SELECT {_KEPT_ID} AS event_id,
     'session_id=' || session_id, 'type=' || coalesce(attr_type, field_type), 'user_id=' || user_id) END AS attrs_text
 FROM raw""")
 def records_to_rows(spark, sf_dir):
-    rows = normalize.to_event_rows(spread(raw_records(spark, sf_dir)), AS_OF)
+    rows = normalize.to_event_rows(raw_records(spark, sf_dir), AS_OF)
     return rows.select(_kept(), "event_time", "ingest_time", "record_type", "user_id", "chat_id", "message_id",
                        attrs_text().alias("attrs_text"))
 
@@ -109,7 +109,7 @@ def records_to_rows(spark, sf_dir):
 SELECT CASE WHEN k % 3 = 0 THEN '1' ELSE '0' END AS is_reply, count(*) AS count FROM raw
 WHERE event_type = 'click' AND k <> 17 GROUP BY 1""")
 def canonical_flags(spark, sf_dir):
-    rows = normalize.to_event_rows(spread(raw_records(spark, sf_dir)), AS_OF, canonical_flags=True)
+    rows = normalize.to_event_rows(raw_records(spark, sf_dir), AS_OF, canonical_flags=True)
     flag = F.col("attrs")["is_reply"]
     return rows.filter(flag.isNotNull()).groupBy(flag.alias("is_reply")).agg(F.count("*").alias("count"))
 
@@ -222,7 +222,7 @@ def simulator_api_rows(spark, sf_dir):
 @register("validate_records", RECORDS_SQL + """
 SELECT error, count(*) AS count FROM checked GROUP BY error""")
 def validate_records(spark, sf_dir):
-    checked = validate.validate(spread(raw_records(spark, sf_dir)))
+    checked = validate.validate(raw_records(spark, sf_dir))
     return checked.groupBy("error").agg(F.count("*").alias("count"))
 
 

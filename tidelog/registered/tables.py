@@ -52,6 +52,26 @@ def type_layout(spark, sf_dir):
     return wanted.select("event_id", "event_time", F.col("attrs")["amount_cents"].alias("amount_cents"))
 
 
+@register("layout_appends", "SELECT event_id, event_time, 2 AS layouts, 2 AS copies FROM ev")
+def layout_appends(spark, sf_dir):
+    """Three appends to both layouts: each holds every event once."""
+    events, root = event_table(spark, sf_dir), scratch_path(spark, "layouts")
+    for part in range(3):
+        paths = layout.write_layouts(events.filter(F.col("event_id") % 3 == part), root)
+    both = [spark.read.parquet(path).withColumn("layout", F.lit(name)) for name, path in paths.items()]
+    return both[0].unionByName(both[1]).groupBy("event_id", "event_time").agg(
+        F.count_distinct("layout").cast("int").alias("layouts"), F.count("*").cast("int").alias("copies"))
+
+
+@register("search_stored", """
+SELECT event_id, event_time FROM ev WHERE lang = 'ru' AND source = 'web' ORDER BY event_time DESC, event_id DESC
+LIMIT 300""")
+def search_stored(spark, sf_dir):
+    path = _stored(spark, sf_dir, "search")
+    return search.search(files.read_events(spark, path), {"lang": "ru", "source": "web"}, 300).select(
+        "event_id", "event_time")
+
+
 @register("bloom_lookup", """
 SELECT count(*) AS count, min(event_time) AS first_time, max(event_time) AS last_time FROM ev WHERE chat_id = 77""")
 def bloom_lookup(spark, sf_dir):

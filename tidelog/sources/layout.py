@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tidelog.functions.attributes import lookup_attribute
 from tidelog.functions.numbers import int_or_zero
-from tidelog.session import prepare
+from tidelog.session import materialize, prepare
 
 
 @dataclass(frozen=True)
@@ -90,14 +90,15 @@ def write_events(df: DataFrame, path: str, layout: str = "by_user", hot: Iterabl
 
 
 def write_layouts(df: DataFrame, root: str, layouts: Iterable[str] = tuple(LAYOUTS), **options) -> dict[str, str]:
-    """Write the base layout, then every further copy from what the base holds."""
-    spark = df.sparkSession
-    paths: dict[str, str] = {}
-    for name in layouts:
-        path = f"{root}/{name}"
-        source = spark.read.parquet(next(iter(paths.values()))).drop("event_date") if paths else df
-        write_events(source, path, name, **options)
-        paths[name] = path
+    """Write ``df`` to every layout; appended to, each of them holds the same rows.
+
+    The batch is written to scratch once and all layouts are written from that, so that they agree even where ``df``
+    would not give the same rows twice.
+    """
+    paths = {name: f"{root}/{name}" for name in layouts}
+    batch = materialize(df, "batch") if len(paths) > 1 else df
+    for name, path in paths.items():
+        write_events(batch, path, name, **options)
     return paths
 
 

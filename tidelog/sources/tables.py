@@ -110,15 +110,6 @@ def _one_attribute(attrs: dict[str, dict[str, Column]], key: str) -> Column:
     return value.otherwise(F.lit(""))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for costly work on a table that is only one or two file splits.
-
-    A table with at least as many splits as cores is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def event_table(spark: SparkSession, sf_dir: str, hot: tuple[str, ...] = ()) -> DataFrame:
     return adapt(source_events(spark, sf_dir), hot)
 

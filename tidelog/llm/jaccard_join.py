@@ -7,8 +7,9 @@ suffix filter, which bounds the overlap by counts of tokens in ranges of the has
 by intersecting the whole sets.
 
 Only tokens in the lowest part of the hash range take part in the order by rarity, all others come after them by hash;
-the part is twice the longest prefix, so counting rarity moves a fraction of the tokens. Tokens of one class only can
-meet no other and are counted, not stored.
+the part is somewhat larger than the longest prefix, so counting rarity moves a fraction of the tokens. Tokens of one class only can
+meet no other and are counted, not stored. (Rarity is counted
+over rows, copies included, and so is the same for all classes.)
 
 A list shared by many near copies is not expanded into all pairs: in each round a few of its members (four times as many from
 round to round; all of them in short lists) are compared with the others that are not yet in the same group, links are
@@ -82,7 +83,7 @@ def _prefix(n: int, percent: int) -> int:
 
 def _part(percent: int) -> int:
     """Hashes below this are ordered by rarity."""
-    return min(_TOP - 1, int(_TOP * 2 * (100 - percent) / 100))
+    return min(_TOP - 1, int(_TOP * 1.4 * (100 - percent) / 100))
 
 
 def _shingle(docs: DataFrame, n_words: int, percent: int, whole: bool) -> DataFrame:
@@ -109,18 +110,18 @@ def _shingle(docs: DataFrame, n_words: int, percent: int, whole: bool) -> DataFr
         batches, f"id {kind}, row_key bigint, n bigint, cls binary, tokens array<bigint>, ranges array<smallint>")
 
 
-def _index(classes: DataFrame, percent: int) -> DataFrame:
-    """(h, c, n, pos, ranges, order): prefix tokens that more than one class has."""
+def _index(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(h, c, n, pos, ranges, order): prefix tokens of the first row of each class that other rows have too."""
     low = _part(percent)
-    all_tokens = classes.select("c", F.posexplode("tokens").alias("i", "h"))
+    all_tokens = rows.select("c", F.posexplode("tokens").alias("i", "h"))
     shared = all_tokens.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
-    rows = all_tokens.join(shared, "h")
+    met = all_tokens.join(shared, "h")
     # Of each class: its shared tokens below the bound by rarity, and the others, whose places are known.
-    own = rows.groupBy("c").agg(
+    own = met.groupBy("c").agg(
         F.sort_array(F.collect_list(F.when(F.col("h") < low, F.struct("df", "h")))).alias("rare"),
         F.collect_list(F.when(F.col("h") >= low, F.struct("i", "h"))).alias("rest"))
     n_low = F.size(F.filter("tokens", lambda h: h < low))
-    own = own.join(classes.select("c", "n", "ranges", n_low.alias("n_low")), "c")
+    own = own.join(rows.select("c", "n", "ranges", n_low.alias("n_low")), "c").join(classes.select("c"), "c")
     alone = F.col("n_low") - F.size("rare")
     places = F.concat(
         F.transform("rare", lambda x, r: F.struct(x["h"].alias("h"), (alone + r).alias("pos"))),
@@ -181,9 +182,9 @@ def merge_groups(groups: DataFrame, links: DataFrame) -> DataFrame:
         "c", F.coalesce("label", "comp").alias("comp")), "join-groups")
 
 
-def _groups(docs: DataFrame, classes: DataFrame, n_words: int, percent: int) -> DataFrame:
+def _groups(docs: DataFrame, rows: DataFrame, classes: DataFrame, n_words: int, percent: int) -> DataFrame:
     """(c, comp) of the classes that are candidates."""
-    entries = materialize(_index(classes, percent), "join-index")
+    entries = materialize(_index(rows, classes, percent), "join-index")
     lists = entries.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1").select("h")
     entries = materialize(entries.join(lists, "h"), "join-index")
     groups = materialize(entries.select("c", F.col("c").alias("comp")).distinct(), "join-groups")
@@ -221,11 +222,12 @@ def _groups(docs: DataFrame, classes: DataFrame, n_words: int, percent: int) ->
 
 def _components(docs: DataFrame, n_words: int, percent: int) -> DataFrame:
     """(id, row_key, n, comp, component): comp numbers the group of rows with words, component is its smallest id."""
-    rows = materialize(_shingle(docs, n_words, percent, whole=False), "join-rows")
-    classes = rows.filter("n > 0").groupBy("cls").agg(F.min("id").alias("id"))
-    firsts = rows.filter("n > 0").select("cls", "n", "tokens", "ranges").dropDuplicates(["cls"])
-    classes = materialize(classes.join(firsts, "cls").withColumn("c", F.monotonically_increasing_id()), "join-classes")
-    groups = _groups(docs, classes, n_words, percent)
+    rows = _shingle(docs, n_words, percent, whole=False).withColumn("c", F.monotonically_increasing_id())
+    rows = materialize(rows, "join-rows")
+    # A class goes by the number of its first row.
+    classes = materialize(rows.filter("n > 0").groupBy("cls").agg(F.min("id").alias("id"), F.min("c").alias("c")),
+                          "join-classes")
+    groups = _groups(docs, rows.filter("n > 0"), classes, n_words, percent)
     of_class = classes.select("cls", "c", "id").join(groups, "c", "left").select(
         "cls", "id", F.coalesce("comp", "c").alias("comp"))
     smallest = of_class.groupBy("comp").agg(F.min("id").alias("component"))

@@ -107,7 +107,8 @@ def test_hot_filters_are_pushed(spark, tmp_path):
     from tidelog.sources.tables import event_table
 
     path = str(tmp_path / "pushed")
-    layout.write_events(event_table(spark, "/root/testdata/sf0.001"), path, hot=HEAVY_HOT)
+    layout.write_events(event_table(spark, "/root/testdata/sf0.001"), path,
+                        hot=tuple(layout.HotColumn("attr_" + k, k) for k in HEAVY_HOT))
     table = spark.read.parquet(path)
 
     def pushed(frame):
@@ -117,5 +118,6 @@ def test_hot_filters_are_pushed(spark, tmp_path):
     assert "EqualTo(attr_gender,0)" in pushed(filters.filter_attr(table, "gender", "0"))
     assert "EqualTo(attr_gender,1)" in pushed(filters.filter_query_string(table, "gender=1"))
     assert "attr_type" in pushed(filters.filter_types(table, "MESSAGE_SENT,REGISTRATION"))
+    spark.conf.set("spark.sql.maxMetadataStringLength", 2000)
     heavy = pushed(heavy_registrations(table, as_of=AS_OF))
     assert all(f"attr_{key}" in heavy for key in ("type", "gender") if f"attr_{key}" in table.columns)

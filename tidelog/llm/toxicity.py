@@ -89,7 +89,8 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lab
     """(id, text, toxic) of the labelled rows."""
     marks = labels.select(labels[id_col].alias("id"), labels[label_col].alias("toxic")).filter(
         "id is not null and toxic is not null").groupBy("id").agg(F.max("toxic").alias("toxic"))
-    return pick(docs, id_col, text_col).toDF("id", "text").join(marks, "id")
+    # Labels grow with the corpus, so they are joined by shuffle at every size.
+    return pick(docs, id_col, text_col).toDF("id", "text").join(marks.hint("merge"), "id")
 
 
 def word_labels(rows: DataFrame) -> DataFrame:
@@ -317,7 +318,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
           label_col: str = "toxic") -> tuple[dict[str, int], Chain]:
     """Ids of the informative words, and the fitted chain."""
     rows = materialize(labelled(docs, labels, id_col, text_col, label_col), "tox-labelled")
-    words = informative(word_labels(rows))
+    words = informative(materialize(word_labels(rows), "tox-words"))
     ids = {w: i + 1 for i, (w, _) in enumerate(words)}
     chain = Chain(len(ids))
     sample = []

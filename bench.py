@@ -20,6 +20,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import SparkSession, functions as F  # noqa: E402
 
 from tidelog.operators import aggregate, measure, search, validate  # noqa: E402
+from tidelog.operators.filters import filter_attr  # noqa: E402
 from tidelog.operators.normalize import to_event_rows  # noqa: E402
 from tidelog.plans import scenarios  # noqa: E402
 from tidelog.registered.aggregates import HEAVY_HOT  # noqa: E402
@@ -69,8 +70,8 @@ def table_queries(by_user, by_type) -> dict:
         "recent_hours_by_type": lambda: aggregate.recent_buckets(by_type, 2, "hour", 40, AS_OF).collect(),
         "group_lang_map": lambda: aggregate.group_attr(by_type, "lang").collect(),
         "group_lang_hot": lambda: aggregate.group_attr(by_type, "lang", hot=True).collect(),
-        "filter_lang_map": lambda: by_type.filter(F.col("attrs")["lang"] == "ru").agg(F.count("*")).collect(),
-        "filter_lang_hot": lambda: by_type.filter(F.col("attr_lang") == "ru").agg(F.count("*")).collect(),
+        "filter_lang_map": lambda: filter_attr(by_type.drop("attr_lang"), "lang", "ru").agg(F.count("*")).collect(),
+        "filter_lang_hot": lambda: filter_attr(by_type, "lang", "ru").agg(F.count("*")).collect(),
         "heavy_top_users": lambda: files.run_noop(scenarios.heavy_top_users(by_type, as_of=AS_OF)),
         "heavy_hour_lang": lambda: files.run_noop(scenarios.heavy_hour_lang(by_type, as_of=AS_OF)),
         "heavy_user_buckets": lambda: files.run_noop(scenarios.heavy_user_buckets(by_type, as_of=AS_OF)),
@@ -118,7 +119,8 @@ def main() -> None:
     records.count()
     load("validate_records", rows, lambda path: files.run_noop(validate.validate(records)))
     load("records_to_rows", rows, lambda path: files.run_noop(to_event_rows(records, AS_OF)))
-    load("save_batch", rows, lambda path: files.save_batch(records, path, batch_size=None, as_of=AS_OF))
+    load("save_batch", rows, lambda path: files.save_batch(records, path, as_of=AS_OF))
+    load("bulk_insert", rows, lambda path: files.bulk_insert(events, path))
     records.select(F.to_json(F.struct("*")).alias("value")).write.text(f"{work}/topic")
     load("stream_ingest", rows, lambda path: ingest.finish(ingest.start_ingest(
         ingest.read_stream(spark, "text", path=f"{work}/topic"), f"{path}/table", f"{path}/checkpoint",

@@ -49,11 +49,12 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType = LEGACY_EVENT
     return prepare(spark).read.schema(schema).option("header", True).csv(path)
 
 
-def save_batch(records: DataFrame, path: str, mode: str = "append", batch_size: int | None = 5000,
+def save_batch(records: DataFrame, path: str, mode: str = "append", batch_size: int | None = None,
                refuse: str = "quarantine", quarantine: str | None = None, as_of=None) -> None:
     """Check records and append the good ones to the event table as they come.
 
-    ``batch_size`` caps the rows of a file. With ``refuse="failfast"`` one bad
+    Rows of a day come together before the write, a large day in several tasks, so files are few whatever the
+    number of tasks. ``batch_size``, if given, caps the rows of a file. With ``refuse="failfast"`` one bad
     record fails the whole batch and nothing is written, since the file
     committer publishes output only when every task has succeeded.
     """
@@ -63,7 +64,7 @@ def save_batch(records: DataFrame, path: str, mode: str = "append", batch_size:
 
     good, bad = split_valid(records, mode=refuse)
     rows = with_event_date(add_hot_columns(to_event_rows(good, as_of)))
-    writer = rows.write.mode(mode).partitionBy("event_date")
+    writer = rows.hint("rebalance", "event_date").write.mode(mode).partitionBy("event_date")
     if batch_size:
         writer = writer.option("maxRecordsPerFile", batch_size)
     writer.parquet(path)
@@ -72,10 +73,10 @@ def save_batch(records: DataFrame, path: str, mode: str = "append", batch_size:
 
 
 def bulk_insert(rows: DataFrame, path: str) -> None:
-    """Append finished event rows to the table, one file per task and day."""
+    """Append finished event rows to the table; rows of a day come together, a large day in several tasks."""
     from tidelog.sources.layout import add_hot_columns, with_event_date
 
-    with_event_date(add_hot_columns(rows)).write.mode("append").partitionBy("event_date").parquet(path)
+    with_event_date(add_hot_columns(rows)).hint("rebalance", "event_date").write.mode("append").partitionBy("event_date").parquet(path)
 
 
 def to_json_rows(df: DataFrame) -> DataFrame:

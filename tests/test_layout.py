@@ -121,3 +121,13 @@ def test_hot_filters_are_pushed(spark, tmp_path):
     spark.conf.set("spark.sql.maxMetadataStringLength", 2000)
     heavy = pushed(heavy_registrations(table, as_of=AS_OF))
     assert all(f"attr_{key}" in heavy for key in ("type", "gender") if f"attr_{key}" in table.columns)
+
+
+def test_writers_bring_days_together(spark, tmp_path):
+    """Files follow days, not tasks times days."""
+    events = event_table(spark, SF_DIR).repartition(16)
+    files.bulk_insert(events, str(tmp_path / "bulk"))
+    stored = files.read_events(spark, str(tmp_path / "bulk"))
+    days = stored.select("event_date").distinct().count()
+    assert stored.count() == events.count()
+    assert days <= len(stored.inputFiles()) <= 2 * days

@@ -15,6 +15,9 @@ RUNTIME_SETTINGS = {
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
 }
 
+# With this setting a query's shuffle files go when it ends, not when the driver next collects garbage.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _LOCAL_SCRATCH: dict[str, str] = {}
 
 
@@ -47,13 +50,53 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return posixpath.join(scratch_root(spark), f"{label}-{uuid.uuid4().hex}")
 
 
+def _write_and_read(df, path: str):
+    spark = df.sparkSession
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def materialize(df, label: str = "step"):
     """Write ``df`` to the shared scratch folder and read it back.
 
     Cuts the lineage so that iterative jobs keep small plans and a lost
     executor re-reads files rather than recomputing every earlier step.
+    The shuffle files behind ``df`` are freed once it is written.
     """
-    spark = df.sparkSession
-    path = scratch_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return _write_and_read(df, scratch_path(df.sparkSession, label))
+
+
+class Scratch:
+    """Intermediate tables of one job, which can be freed before the session ends.
+
+    A table must not be dropped while a DataFrame that reads it is still to
+    be run: write what outlives the job with ``materialize``, then ``close``.
+    """
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.root, self._count = spark, scratch_path(spark, label), 0
+
+    def put(self, df, name: str = "step"):
+        """As ``materialize``; several tables may share a name."""
+        self._count += 1
+        return _write_and_read(df, f"{self.root}/{name}/{self._count}")
+
+    def drop(self, *names: str) -> None:
+        """Delete all tables of these names."""
+        for name in names:
+            self._delete(f"{self.root}/{name}")
+
+    def close(self) -> None:
+        self._delete(self.root)
+
+    def _delete(self, folder: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.session import materialize
+from tidelog.session import Scratch, materialize
 
-__all__ = ["BLANKS", "BLANK_RUN", "let", "lower_ascii", "materialize", "pick", "read", "words"]
+__all__ = ["BLANKS", "BLANK_RUN", "Scratch", "let", "lower_ascii", "materialize", "pick", "read", "words"]
 
 # The six ASCII blanks that separate words; Python's bytes.split() cuts at the same ones.
 BLANKS = " \t\n\x0b\f\r"

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import materialize, pick
+from tidelog.llm.common import Scratch, materialize, pick
 
 N_WORDS = 5
 PERCENT = 80
@@ -110,11 +110,11 @@ def _shingle(docs: DataFrame, n_words: int, percent: int, whole: bool) -> DataFr
         batches, f"id {kind}, row_key bigint, n bigint, cls binary, tokens array<bigint>, ranges array<smallint>")
 
 
-def _index(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _index(rows: DataFrame, classes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """(h, c, n, pos, ranges, order): prefix tokens of the first row of each class that other rows have too."""
     low = _part(percent)
     all_tokens = rows.select("c", F.posexplode("tokens").alias("i", "h"))
-    shared = all_tokens.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
+    shared = scratch.put(all_tokens.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1"), "shared")
     met = all_tokens.join(shared, "h")
     # Of each class: its shared tokens below the bound by rarity, and the others, whose places are known.
     own = met.groupBy("c").agg(
@@ -154,8 +154,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * x >= percent * (F.size("ta") + F.size("tb") - x)).select("a", "b")
 
 
-def merge_groups(groups: DataFrame, links: DataFrame) -> DataFrame:
-    """``groups`` (c, comp) after links (a, b): comp is the smallest of the linked ones.
+def merge_groups(groups: DataFrame, links: DataFrame, put=materialize) -> DataFrame:
+    """``groups`` (c, comp) after links (a, b): comp is the smallest of the linked ones. ``put`` writes the steps.
 
     Links become edges between groups; each group takes the smallest label of its neighbours, then the label of that
     label, until nothing changes.
@@ -164,47 +164,51 @@ def merge_groups(groups: DataFrame, links: DataFrame) -> DataFrame:
     edges = links.join(a, "a").join(b, "b").filter("ga <> gb").select(
         F.explode(F.array(F.struct("ga", "gb"), F.struct(F.col("gb").alias("ga"), F.col("ga").alias("gb")))).alias("e")
     ).select("e.ga", "e.gb").distinct()
-    edges = materialize(edges, "join-edges")
+    edges = put(edges, "edges")
     if edges.isEmpty():
         return groups
-    labels = materialize(edges.groupBy("ga").agg(F.min("gb").alias("low")).select(
-        F.col("ga").alias("g"), F.least("ga", "low").alias("label")), "join-labels")
+    labels = put(edges.groupBy("ga").agg(F.min("gb").alias("low")).select(
+        F.col("ga").alias("g"), F.least("ga", "low").alias("label")), "labels")
     while True:
         near = edges.join(labels.toDF("gb", "other"), "gb").groupBy("ga").agg(F.min("other").alias("other"))
         new = labels.join(near.withColumnRenamed("ga", "g"), "g").select(
             "g", F.least("label", "other").alias("low"), F.col("label").alias("old"))
         jump = new.select(F.col("g").alias("low"), F.col("low").alias("lower"))
-        new = materialize(new.join(jump, "low").select("g", F.least("low", "lower").alias("label"), "old"), "join-labels")
+        new = put(new.join(jump, "low").select("g", F.least("low", "lower").alias("label"), "old"), "labels")
         if new.filter("label <> old").isEmpty():
             break
         labels = new.select("g", "label")
-    return materialize(groups.join(labels.toDF("comp", "label"), "comp", "left").select(
-        "c", F.coalesce("label", "comp").alias("comp")), "join-groups")
+    return put(groups.join(labels.toDF("comp", "label"), "comp", "left").select(
+        "c", F.coalesce("label", "comp").alias("comp")), "groups")
 
 
-def _groups(docs: DataFrame, rows: DataFrame, classes: DataFrame, n_words: int, percent: int) -> DataFrame:
+def _groups(docs: DataFrame, rows: DataFrame, classes: DataFrame, n_words: int, percent: int,
+            scratch: Scratch) -> DataFrame:
     """(c, comp) of the classes that are candidates."""
-    entries = materialize(_index(rows, classes, percent), "join-index")
+    entries = scratch.put(_index(rows, classes, percent, scratch), "index")
+    scratch.drop("shared", "rows")
     lists = entries.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1").select("h")
-    entries = materialize(entries.join(lists, "h"), "join-index")
-    groups = materialize(entries.select("c", F.col("c").alias("comp")).distinct(), "join-groups")
+    entries = scratch.put(entries.join(lists, "h"), "entries")
+    scratch.drop("index")
+    groups = scratch.put(entries.select("c", F.col("c").alias("comp")).distinct(), "groups")
     # Whole sets of the candidates, made anew from their texts.
-    wanted = materialize(classes.join(groups.select("c"), "c").select("c", "cls", F.col("id").alias("rep")), "join-reps")
+    wanted = scratch.put(classes.join(groups.select("c"), "c").select("c", "cls", F.col("id").alias("rep")), "reps")
     n_wanted = wanted.count()
     side = F.broadcast if n_wanted <= BROADCAST_IDS else (lambda df: df)
     ids = side(wanted.select("rep").distinct())
     texts = docs.join(ids, docs["id"].eqNullSafe(ids["rep"]), "left_semi")
     sets = _shingle(texts, n_words, percent, whole=True).select("cls", "tokens")
-    sets = materialize(sets.join(side(wanted.select("c", "cls")), "cls").dropDuplicates(["c"]).select("c", "tokens"),
-                       "join-sets")
+    sets = scratch.put(sets.join(side(wanted.select("c", "cls")), "cls").dropDuplicates(["c"]).select("c", "tokens"),
+                       "sets")
     checked, turn = None, 0
     while True:
         open_ = entries.join(groups, "c")
         lists = open_.groupBy("h").agg(F.count("*").alias("m"), F.min("comp").alias("low"), F.max("comp").alias("high"),
                                        F.min("order").alias("first")).filter("low <> high")
         lead = (F.col("m") <= SHORT) | (F.col("order") <= F.col("first")) | (F.col("order") * F.col("m") < 4 ** turn)
-        open_ = materialize(open_.join(lists.drop("low", "high"), "h").withColumn("lead", lead).drop("m", "first"),
-                            "join-open")
+        open_ = scratch.put(open_.join(lists.drop("low", "high"), "h").withColumn("lead", lead).drop("m", "first"),
+                            f"open-{turn}")
+        scratch.drop(f"open-{turn - 1}" if turn else "entries")
         if open_.isEmpty():
             return groups
         pairs = open_.filter("lead").alias("x").join(open_.alias("y"), "h").filter(
@@ -212,9 +216,9 @@ def _groups(docs: DataFrame, rows: DataFrame, classes: DataFrame, n_words: int,
             F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b")).distinct()
         if checked is not None:
             pairs = pairs.join(checked, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "join-pairs")
-        links = materialize(_verified(pairs, sets, percent), "join-links")
-        groups = merge_groups(groups, links)
+        pairs = scratch.put(pairs, "pairs")
+        links = scratch.put(_verified(pairs, sets, percent), "links")
+        groups = merge_groups(groups, links, scratch.put)
         checked = pairs if checked is None else checked.unionByName(pairs)
         entries = open_.filter("not lead").drop("comp", "lead")
         turn += 1
@@ -222,18 +226,23 @@ def _groups(docs: DataFrame, rows: DataFrame, classes: DataFrame, n_words: int,
 
 def _components(docs: DataFrame, n_words: int, percent: int) -> DataFrame:
     """(id, row_key, n, comp, component): comp numbers the group of rows with words, component is its smallest id."""
+    scratch = Scratch(docs.sparkSession, "join")
     rows = _shingle(docs, n_words, percent, whole=False).withColumn("c", F.monotonically_increasing_id())
-    rows = materialize(rows, "join-rows")
+    rows = scratch.put(rows, "rows")
+    names = scratch.put(rows.select("id", "row_key", "n", "cls"), "names")  # outlives the tokens
     # A class goes by the number of its first row.
-    classes = materialize(rows.filter("n > 0").groupBy("cls").agg(F.min("id").alias("id"), F.min("c").alias("c")),
-                          "join-classes")
-    groups = _groups(docs, rows.filter("n > 0"), classes, n_words, percent)
+    classes = scratch.put(rows.filter("n > 0").groupBy("cls").agg(F.min("id").alias("id"), F.min("c").alias("c")),
+                          "classes")
+    groups = _groups(docs, rows.filter("n > 0"), classes, n_words, percent, scratch)
     of_class = classes.select("cls", "c", "id").join(groups, "c", "left").select(
         "cls", "id", F.coalesce("comp", "c").alias("comp"))
     smallest = of_class.groupBy("comp").agg(F.min("id").alias("component"))
     of_class = of_class.select("cls", "comp").join(smallest, "comp")
-    return rows.select("id", "row_key", "n", "cls").join(of_class, "cls", "left").select(
+    found = names.join(of_class, "cls", "left").select(
         "id", "row_key", "n", "comp", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component"))
+    found = materialize(found, "join-found")
+    scratch.close()
+    return found
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = N_WORDS,

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import let, materialize, pick
+from tidelog.llm.common import Scratch, let, materialize, pick
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -134,9 +134,9 @@ def _scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select("id", "row_key", "base", free.alias("open"))
 
 
-def learn(scanned: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(pattern, kind) of highly confident patterns."""
-    edges = materialize(scanned.select(F.explode("open").alias("c")).groupBy("c.pattern", "c.instance").agg(
+def learn(scanned: DataFrame, rounds: int = ROUNDS, put=materialize) -> DataFrame:
+    """(pattern, kind) of highly confident patterns. ``put`` writes the steps."""
+    edges = put(scanned.select(F.explode("open").alias("c")).groupBy("c.pattern", "c.instance").agg(
         F.max("c.kind").alias("seed")), "pii-edges")
     beliefs = edges.filter("seed is not null").select("instance", F.col("seed").alias("kind")).distinct().withColumn(
         "belief", F.lit(1.0))
@@ -146,7 +146,7 @@ def learn(scanned: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         patterns = sums.filter(F.col("sum") >= SUPPORT).join(sizes, "pattern").select(
             "pattern", "kind", (F.col("sum") / F.col("n")).alias("confidence")).filter(
             F.col("confidence") >= CONFIDENT)
-        patterns = materialize(patterns, "pii-patterns")
+        patterns = put(patterns, "pii-patterns")
         if turn + 1 < rounds:
             # Seeds keep their belief; others are believed as 1 - product of their patterns' doubts.
             doubt = F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-6))))
@@ -154,7 +154,7 @@ def learn(scanned: DataFrame, rounds: int = ROUNDS) -> DataFrame:
                 (1 - F.exp(doubt)).alias("belief"))
             seeds = edges.filter("seed is not null").select(
                 "instance", F.col("seed").alias("kind")).distinct().withColumn("belief", F.lit(1.0))
-            beliefs = materialize(seeds.unionByName(others), "pii-beliefs")
+            beliefs = put(seeds.unionByName(others), "pii-beliefs")
     return patterns.filter(F.col("confidence") >= CERTAIN).groupBy("pattern").agg(
         F.max_by("kind", F.struct("confidence", "kind")).alias("kind"))
 
@@ -181,11 +181,15 @@ def _text_of(spans: Column) -> Column:
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """(id, base, spans): arrays of {kind, start, stop} of the base patterns, and of these and the learned ones."""
-    scanned = materialize(_scan(pick(docs, id_col, text_col), id_col, text_col), "pii-scan")
-    more = _found(scanned, learn(scanned, rounds))
+    scratch = Scratch(docs.sparkSession, "pii")
+    scanned = scratch.put(_scan(pick(docs, id_col, text_col), id_col, text_col), "pii-scan")
+    more = _found(scanned, learn(scanned, rounds, scratch.put))
     none = F.array().cast("array<struct<kind:string,start:int,stop:int>>")
-    return scanned.select("id", "row_key", "base").join(more, "row_key", "left").select(
-        F.col("id").alias(id_col), "base", _ordered(F.concat("base", F.coalesce("more", none))).alias("spans"))
+    found = materialize(scanned.select("id", "row_key", "base").join(more, "row_key", "left").select(
+        F.col("id").alias(id_col), "base", _ordered(F.concat("base", F.coalesce("more", none))).alias("spans")),
+        "pii-found")
+    scratch.close()
+    return found
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -201,12 +205,15 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", roun
 
     Spans that overlap are replaced together, by the kind of the first.
     """
-    scanned = materialize(_scan(pick(docs, id_col, text_col), id_col, text_col), "pii-scan")
+    scratch = Scratch(docs.sparkSession, "pii")
+    scanned = scratch.put(_scan(pick(docs, id_col, text_col), id_col, text_col), "pii-scan")
     none = F.array().cast("array<struct<kind:string,start:int,stop:int>>")
-    more = _found(scanned, learn(scanned, rounds))
+    more = _found(scanned, learn(scanned, rounds, scratch.put))
     spans = scanned.select("row_key", "base").distinct().join(more, "row_key", "left").select(
         F.col("row_key").alias("__key"), F.concat("base", F.coalesce("more", none)).alias("__spans")).filter(
         F.size("__spans") > 0)
+    spans = materialize(spans, "pii-spans")
+    scratch.close()
     text = F.coalesce(docs[text_col], F.lit(""))
     keyed = docs.withColumn("__key", F.xxhash64(docs[id_col], text))
     by_place = F.array_sort(F.transform("__spans", lambda s: F.struct(

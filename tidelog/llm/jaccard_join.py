@@ -115,7 +115,9 @@ def _index(rows: DataFrame, classes: DataFrame, percent: int, scratch: Scratch)
     low = _part(percent)
     all_tokens = rows.select("c", F.posexplode("tokens").alias("i", "h"))
     shared = scratch.put(all_tokens.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1"), "shared")
-    met = all_tokens.join(shared, "h")
+    # Written before it is grouped, so that no more than one shuffle of tokens lies on disk at a time.
+    met = scratch.put(all_tokens.join(shared, "h"), "met")
+    scratch.drop("shared")
     # Of each class: its shared tokens below the bound by rarity, and the others, whose places are known.
     own = met.groupBy("c").agg(
         F.sort_array(F.collect_list(F.when(F.col("h") < low, F.struct("df", "h")))).alias("rare"),
@@ -186,7 +188,7 @@ def _groups(docs: DataFrame, rows: DataFrame, classes: DataFrame, n_words: int,
             scratch: Scratch) -> DataFrame:
     """(c, comp) of the classes that are candidates."""
     entries = scratch.put(_index(rows, classes, percent, scratch), "index")
-    scratch.drop("shared", "rows")
+    scratch.drop("met", "rows")
     lists = entries.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1").select("h")
     entries = scratch.put(entries.join(lists, "h"), "entries")
     scratch.drop("index")

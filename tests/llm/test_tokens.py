@@ -10,7 +10,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidelog.llm import byte_bpe, token_files
+from tidelog.llm import byte_bpe, queries, token_files
 from tidelog.session import scratch_path
 
 RANKS = P.path("byte_bpe_multi_50k.tiktoken")
@@ -62,3 +62,17 @@ def test_empty_tables(spark, docs):
     folder = scratch_path(spark, "tokens")
     token_files.write(none, folder, WORDS, end_id=1)
     assert token_files.read_ids(spark, folder).count() == 0
+
+
+ADDED = ["a <|endoftext|> b", "a<|endoftext|>b. <|ENDOFTEXT|> x<|startoftext|>,", "\u0130stanbul x\u0130y \u0130", "\u0130. x\u0130, \u0130.a",
+         "na\u00efve, Stra\u00dfe. \u0391\u03a3. \u6f22,"]
+
+
+def test_token_files_of_added_tokens(spark, tmp_path):
+    """The query's ids are those of the library at its defaults."""
+    spark.createDataFrame(list(enumerate(ADDED)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = queries.op5_token_files(spark, str(tmp_path)).orderBy("doc_id").collect()
+    library = Tokenizer.from_file(WORDS)
+    for row, text in zip(rows, ADDED, strict=True):
+        ids = library.encode(text, add_special_tokens=False).ids + [1]
+        assert (row["n_tokens"], row["ids_crc32"]) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())), text

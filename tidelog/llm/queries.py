@@ -48,7 +48,8 @@ def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "token-files")
-    token_files.write(read(spark, sf_dir, "documents"), folder, public_tokenizers.path(WORD_BPE), end_id=1)
+    path = public_tokenizers.path(WORD_BPE)
+    token_files.write(read(spark, sf_dir, "documents"), folder, path, end_id=1, added=True)
     return token_files.digest(token_files.read_ids(spark, folder))
 
 

@@ -11,6 +11,9 @@ hash of their id), and stored in a table beside the blocks. The sample only affe
 The number of ids before a document is the sum over the partitions before its own (one row per partition), over the
 blocks before its own in that partition, and over the documents before it in the block.
 
+With ``added`` the strings of the tokenizer's added tokens get those tokens' ids, as in the library's default; without it
+they are ordinary text.
+
 Nulls: a null text is an empty document, a null id sorts first. Rows equal in id are ordered by a hash of their text.
 Texts of any length are encoded whole. An empty table gives an empty table of blocks. Further columns play no part.
 """
@@ -43,25 +46,26 @@ BLOCKS = ("part int, block int, dict_hash string, width int, doc_ids array<bigin
 class _Words(dict):
     """Packed ids by word. White space only separates in these tokenizers, so words are encoded on their own."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         super().__init__()
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = not added
         self.merge = self.tokenizer.model.tokenize
         level = ByteLevel(add_prefix_space=False, use_regex=False)
-        # The model's spelling of letters up to U+024F, as far as normalization leaves them.
+        # The model's spelling of letters up to U+024F whose lower case is one letter; that of U+0130 is an i and a mark.
         self.spelling = {ord(c): level.pre_tokenize_str(c.lower())[0][0]
-                         for c in map(chr, range(0x250)) if c.isalpha()}
+                         for c in map(chr, range(0x250)) if c.isalpha() and len(c.lower()) == 1}
 
     def __missing__(self, word: bytes) -> bytes:
         text = word.decode()
-        if len(text) > 1 and text[-1] in ".," and text[-2].isalpha():
+        if len(text) > 1 and text[-1] in ".," and text[-2].isalpha() and text[-2] != "\u0130":
             packed = self[word[:-1]] + self[word[-1:]]  # letters and punctuation are never one piece
         else:
-            if text.isalpha() and max(text) < "\u0250":  # one piece: what the library does after splitting
+            # One piece: what the library does after splitting.
+            if text.isalpha() and max(text) < "\u0250" and "\u0130" not in text:
                 ids = [t.id for t in self.merge(text.translate(self.spelling))]
             else:
                 ids = self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -72,8 +76,8 @@ class _Words(dict):
 
 
 @lru_cache(maxsize=2)
-def _words_of(path: str) -> _Words:
-    return _Words(path)
+def _words_of(path: str, added: bool) -> _Words:
+    return _Words(path, added)
 
 
 def _ids(text: str | None, known: _Words, end_id: int) -> np.ndarray:
@@ -81,11 +85,11 @@ def _ids(text: str | None, known: _Words, end_id: int) -> np.ndarray:
     return np.append(np.frombuffer(packed, dtype="<u4"), np.uint32(end_id))
 
 
-def _train(docs: DataFrame, path: str, end_id: int, width: int) -> bytes:
+def _train(docs: DataFrame, path: str, end_id: int, width: int, added: bool) -> bytes:
     """A dictionary from the ids of a bounded sample; empty if there is too little to train on."""
     chosen = [r[0] for r in docs.select("id").filter("id is not null").orderBy(F.xxhash64("id"), "id")
               .limit(SAMPLE).collect()]
-    known = _words_of(path)
+    known = _words_of(path, added)
     rows = docs.filter(F.col("id").isin(chosen)).orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toLocalIterator()
     samples = [_ids(r["text"], known, end_id).astype(f"<u{width}").tobytes() for r in rows]
     try:
@@ -95,14 +99,14 @@ def _train(docs: DataFrame, path: str, end_id: int, width: int) -> bytes:
 
 
 def write(docs: DataFrame, folder: str, path: str, end_id: int, width: int = 2, id_col: str = "doc_id",
-          text_col: str = "text") -> None:
+          text_col: str = "text", added: bool = False) -> None:
     """Tokenize ``docs`` by the tokenizer file ``path`` and write ``folder``/dictionary and ``folder``/blocks.
 
-    ``width`` is the bytes of an id: 2 for vocabularies up to 65536 ids, else 4.
+    ``width`` is the bytes of an id: 2 for vocabularies up to 65536 ids, else 4. ``added``: find the added tokens in texts.
     """
     docs = pick(docs, id_col, text_col).toDF("id", "text")
     spark = docs.sparkSession
-    trained = _train(docs, path, end_id, width)
+    trained = _train(docs, path, end_id, width, added)
     name = hashlib.sha256(trained).hexdigest()
     spark.createDataFrame([(name, trained)], "dict_hash string, dictionary binary").write.parquet(f"{folder}/dictionary")
     tie = F.xxhash64("text")
@@ -110,7 +114,7 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int, width: int = 2,
     ordered = ordered.withColumn("part", F.spark_partition_id())
 
     def blocks(batches):
-        known, shared = _words_of(path), zstandard.ZstdCompressionDict(trained) if trained else None
+        known, shared = _words_of(path, added), zstandard.ZstdCompressionDict(trained) if trained else None
         frame = zstandard.ZstdCompressor(level=3, dict_data=shared, write_dict_id=False).compress
         held, size, number = [], 0, 0
         for batch in batches:

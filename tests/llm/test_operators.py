@@ -276,6 +276,25 @@ def test_jaccard_join(spark, docs, n_words, percent):
     assert kept == sorted({c for n, c in want.values() if n} | {i for i, (n, _) in want.items() if not n})
 
 
+def test_suffix_filter_of_very_long_sets(spark):
+    """Counts that do not fit their type must not rule a pair out; counts that fit still do."""
+    def entry(ranges, n):
+        return (n, 0, None if ranges is None else [int(x) for x in ranges])
+
+    def allowed(a, b):
+        kind = "struct<n:bigint,pos:bigint,ranges:array<smallint>>"
+        pair = spark.createDataFrame([(a, b)], f"x {kind}, y {kind}")
+        return pair.filter(jaccard_join._may_be_similar("x", "y", 90)).count() == 1
+
+    n = 3_000_000
+    long = entry(jaccard_join._ranges(np.arange(n, dtype=np.int64) * ((1 << 63) // n)), n)
+    fits = entry([30_000] * 64, 64 * 30_000)
+    assert allowed(long, long) and allowed(long, entry(None, n - 1000)) and allowed(fits, fits)
+    assert allowed(entry([32_767] * 64, 64 * 32_767), entry(None, 64 * 32_768))
+    assert not allowed(fits, entry([30_000] * 50 + [0] * 14, 64 * 30_000))
+    assert not allowed(long, entry(None, n // 2))
+
+
 def test_null_ids_in_join(docs):
     rows = {(r["doc_id"], r["component_id"]) for r in jaccard_join.components(docs).collect()}
     assert (None, None) in rows and len(jaccard_join.keep_one(docs).collect()) == 9  # 3, 5 and 7 have copies

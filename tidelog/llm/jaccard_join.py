@@ -3,7 +3,8 @@
 Documents with equal sets of n-grams form a class; classes are compared. Tokens (64-bit hashes of n-grams) have one
 order: rarest first. Two sets can only be similar if they share one of their first tokens (the prefix), so classes are
 candidates if they meet in a prefix token's list and pass three filters: length, position of the shared token, and a
-suffix filter, which bounds the overlap by counts of tokens in ranges of the hash. Each candidate pair is verified once,
+suffix filter, which bounds the overlap by counts of tokens in ranges of the hash (sets too large for the counts' type
+skip this one). Each candidate pair is verified once,
 by intersecting the whole sets.
 
 Only tokens in the lowest part of the hash range take part in the order by rarity, all others come after them by hash;
@@ -71,10 +72,10 @@ def tokens(text: str | None, n_words: int, known: dict) -> np.ndarray:
     return np.unique(x >> np.uint64(1)).astype(np.int64)
 
 
-def _ranges(s: np.ndarray) -> np.ndarray:
-    """Counts by range of the hash; where one does not fit, none of them bounds anything."""
+def _ranges(s: np.ndarray) -> np.ndarray | None:
+    """Counts by range of the hash; None where one does not fit, which bounds nothing."""
     counts = np.bincount(s >> 57, minlength=RANGES)
-    return (counts if counts.max() < 1 << 15 else np.full(RANGES, (1 << 15) - 1)).astype(np.int16)
+    return counts.astype(np.int16) if counts.max() < 1 << 15 else None
 
 
 def _prefix(n: int, percent: int) -> int:
@@ -145,7 +146,7 @@ def _may_be_similar(a: str, b: str, percent: int) -> Column:
     position = F.least(ia, ib) + 1 + F.least(na - ia - 1, nb - ib - 1)
     both = F.zip_with(F.col(f"{a}.ranges"), F.col(f"{b}.ranges"), lambda s, x: F.least(s, x))
     suffix = F.aggregate(both, F.lit(0), lambda s, x: s + x.cast("int"))
-    return length & enough(position) & enough(suffix)
+    return length & enough(position) & F.coalesce(enough(suffix), F.lit(True))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

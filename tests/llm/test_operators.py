@@ -5,6 +5,7 @@ import hashlib
 import math
 import re
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -87,6 +88,40 @@ def test_nearest_vectors(spark):
     assert set(got) == {i for i in good if i % 50 == 0}
 
 
+def plain_nearest(rows, q, k=5):
+    """Exact: cosines by whole squares, ties to the smaller id."""
+    own = [Fraction(x) for x in dict(rows)[q]]
+
+    def order(v):
+        v = [Fraction(x) for x in v]
+        dot = sum(a * b for a, b in zip(v, own))
+        return -dot * abs(dot) / sum(a * a for a in v)
+
+    return [i for _, i in sorted((order(v), i) for i, v in rows if i != q)[:k]]
+
+
+@pytest.mark.parametrize("kind", ["multiples", "mirrored multiples", "one-hot", "signs"])
+def test_nearest_vectors_with_ties(spark, kind):
+    """Many different vectors at one cosine: the smaller ids win, in one shard and over several."""
+    draw = np.random.default_rng(8)
+    base = draw.integers(1, 9, 8).astype(float)
+    rows = {
+        "multiples": [(60 - i, base * (i + 1)) for i in range(30)],
+        "mirrored multiples": [(60 - i, np.roll(base, i % 2 * 4) * (i // 2 + 3)) for i in range(30)],
+        "one-hot": [(300 - i, np.eye(150)[i] * (1 + i % 7)) for i in range(150)],
+        "signs": [(700 - i, v) for i, v in enumerate(draw.integers(0, 2, (400, 8)) * 1.0) if v.any()]}[kind]
+    rows = [(i, [float(x) for x in v]) for i, v in rows + [(50 * (i + 20), draw.integers(0, 3, len(rows[0][1])) + base[0])
+                                                           for i in range(3)] + [(0, rows[3][1])]]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for shard_rows in (100_000, 40):
+        got = collections.defaultdict(list)
+        for r in vp_tree.search(table, F.col("vec_id") % 50 == 0, shard_rows=shard_rows).orderBy("query_id", "rank").collect():
+            got[r["query_id"]].append(r["vec_id"])
+        assert set(got) == {i for i, _ in rows if i % 50 == 0}
+        for q, found in got.items():
+            assert found == plain_nearest(rows, q), (q, shard_rows)
+
+
 def test_mix(docs):
     got = mixing.mix(docs).collect()
     assert len(got) == len(ROWS)

@@ -7,7 +7,10 @@ search goes to the half a query lies in and visits the other one only if the que
 smaller factors prune more and may miss some. Queries are searched block by block: a block is at most ``BLOCK``
 vectors, sent to all shards, which search it together; the best k of each shard are merged per query.
 
-Equal vectors are one point of a tree with the lowest ids it needs, so a large group of copies is no deep branch.
+Equal vectors and exact multiples of one vector are one point of a tree with the lowest ids it needs, so a large group
+of copies is no deep branch. Scores are taken from whole numbers: cosines that are equal give the same double whatever
+the lengths and shards, and all points within a margin of the k-th place are compared in this way, however many.
+
 Vectors that are null, zero, or hold null or non-finite parts take no part, nor do rows without an id; vectors of
 different length are never neighbours. Rows equal in id and vector count once. Ties go to the smaller id. Empty tables
 give empty results; further columns play no part.
@@ -15,6 +18,10 @@ give empty results; further columns play no part.
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+from operator import mul
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -31,6 +38,9 @@ BLOCK = 20_000
 LEAF = 64
 # Scores this close may change places by rounding; they are all kept until the exact comparison.
 _SLACK = 1e-9
+# Rows of a query beyond which they are compared exactly at once; new rows of all queries before old ones are looked over.
+MANY = 64
+FRESH = 1 << 20
 
 
 def usable(vector: Column) -> Column:
@@ -58,10 +68,11 @@ class Tree:
             return rows
         return at, border, self._build(rows[inside]), self._build(rows[~inside])
 
-    def search(self, queries: np.ndarray, k: int, factor: float) -> list[list[np.ndarray]]:
-        """Rows met for each query, a superset of its k best among the visited ones."""
-        found = _Best(len(queries), k)
+    def search(self, queries: np.ndarray, k: int, factor: float, cut=None) -> "_Best":
+        """Rows met for each query, a superset of its k best among the visited ones; ``cut`` as in ``_Best``."""
+        found = _Best(len(queries), k, cut)
         self._visit(self.root, np.arange(len(queries)), queries, factor, found)
+        found.compact()
         return found
 
     def _visit(self, node, active: np.ndarray, queries: np.ndarray, factor: float, found: "_Best") -> None:
@@ -87,21 +98,94 @@ def _distance(cosine: np.ndarray) -> np.ndarray:
 
 
 class _Best:
-    """The best rows of each query so far, ties at the k-th place included up to a margin."""
+    """The best rows of each query so far, and all others that come within the margin of the k-th.
 
-    def __init__(self, n: int, k: int):
-        self.k, self.width = k, k + 8
-        self.score = np.full((n, self.width), -2.0)
-        self.row = np.full((n, self.width), -1)
+    Where a query holds more than ``MANY`` rows, ``cut`` (query, rows) gives its k best by the exact comparison.
+    """
+
+    def __init__(self, n: int, k: int, cut=None):
+        self.k, self.cut = k, cut
+        self.top = np.full((n, k), -2.0)
         self.kth = np.full(n, -2.0)
+        self.query, self.row, self.score = (np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.float64))
+        self.fresh, self.n_fresh = [], 0
 
     def offer(self, active: np.ndarray, rows: np.ndarray, scores: np.ndarray) -> None:
-        both = np.concatenate([self.score[active], scores], axis=1)
-        ids = np.concatenate([self.row[active], np.broadcast_to(rows, scores.shape)], axis=1)
-        top = np.argpartition(-both, self.width - 1, axis=1)[:, :self.width]
-        self.score[active] = np.take_along_axis(both, top, axis=1)
-        self.row[active] = np.take_along_axis(ids, top, axis=1)
-        self.kth[active] = -np.partition(-self.score[active], self.k - 1, axis=1)[:, self.k - 1]
+        both = np.concatenate([self.top[active], scores], axis=1)
+        self.top[active] = -np.partition(-both, self.k - 1, axis=1)[:, :self.k]
+        self.kth[active] = self.top[active].min(axis=1)
+        q, r = np.nonzero(scores >= (self.kth[active] - _SLACK)[:, None])
+        self.fresh.append((active[q], rows[r], scores[q, r]))
+        self.n_fresh += len(q)
+        if self.n_fresh > max(FRESH, len(self.query)):
+            self.compact()
+
+    def compact(self) -> None:
+        """Leave out what the k-th places have passed since, and cut long lists."""
+        q, r, s = (np.concatenate([old, *new]) for old, new in zip(
+            (self.query, self.row, self.score), zip(*self.fresh) if self.fresh else ((), (), ())))
+        near = np.flatnonzero(s >= self.kth[q] - _SLACK)
+        near = near[np.argsort(q[near], kind="stable")]
+        q, r, s = q[near], r[near], s[near]
+        many = np.flatnonzero(np.bincount(q, minlength=len(self.kth)) > max(MANY, self.k)) if self.cut else ()
+        if len(many):
+            keep = np.ones(len(q), dtype=bool)
+            for i in many:
+                a, b = np.searchsorted(q, [i, i + 1])
+                keep[a:b] = np.isin(r[a:b], self.cut(i, r[a:b]))
+            q, r, s = q[keep], r[keep], s[keep]
+        self.query, self.row, self.score, self.fresh, self.n_fresh = q, r, s, [], 0
+
+    def rows_of(self, query: int) -> np.ndarray:
+        """After ``compact``."""
+        a, b = np.searchsorted(self.query, [query, query + 1])
+        return self.row[a:b]
+
+
+def _whole(vectors: np.ndarray) -> list[list[int]]:
+    """Each vector as its shortest multiple of whole numbers, the same for all positive multiples of a vector."""
+    part, power = np.frexp(vectors)
+    odd = (part * 2.0 ** 53).astype(np.int64)
+    low = np.where(odd != 0, odd & -odd, 1)
+    odd, power = odd // low, np.where(odd != 0, power + np.log2(low).astype(np.int64), 1 << 20)
+    shift = np.where(odd != 0, power - power.min(axis=1)[:, None], 0)
+    fits = ((np.log2(np.maximum(np.abs(odd), 1)) + shift).max(axis=1) < 61)
+    small = np.where(fits[:, None], odd << np.where(fits[:, None], shift, 0), 1)
+    small //= np.gcd.reduce(small, axis=1)[:, None]
+    out = small.tolist()
+    for i in np.flatnonzero(~fits):
+        whole = [int(x) << int(n) for x, n in zip(odd[i], shift[i])]
+        common = math.gcd(*whole)
+        out[i] = [x // common for x in whole]
+    return out
+
+
+def _dot(a: list[int], b: list[int]) -> int:
+    return sum(map(mul, a, b))
+
+
+class _Exact:
+    """Points by direction, with their ids, and their cosines: equal ones as the same double."""
+
+    def __init__(self, points: np.ndarray, members: list, most: int):
+        whole, place = _whole(points), {}
+        for i, w in enumerate(whole):
+            place.setdefault(tuple(w), []).append(i)
+        self.first = np.array([rows[0] for rows in place.values()], dtype=np.int64)
+        self.members = [sorted(m for i in rows for m in members[i])[:most] for rows in place.values()]
+        self.whole, self.square = [whole[i] for i in self.first], {}
+
+    def score(self, asked: list[int], square: int, point: int) -> float:
+        """Cosine by a quotient of whole numbers, which Python rounds correctly."""
+        p = self.whole[point]
+        if point not in self.square:
+            self.square[point] = _dot(p, p)
+        dot = _dot(p, asked)
+        return math.copysign(math.sqrt(dot * dot / (self.square[point] * square)), dot)
+
+    def best(self, asked: list[int], square: int, points: np.ndarray, k: int) -> list[int]:
+        """The k best by score, then by lowest id."""
+        return sorted(points.tolist(), key=lambda p: (-self.score(asked, square, p), self.members[p][0]))[:k]
 
 
 def _shard(pdf, queries: list[tuple], k: int, factor: float):
@@ -109,22 +193,25 @@ def _shard(pdf, queries: list[tuple], k: int, factor: float):
     out = []
     for dim in sorted({len(v) for v in pdf["vector"]}):
         part = pdf[[len(v) == dim for v in pdf["vector"]]]
-        points = np.stack(part["vector"].to_list()).astype(np.float64)
-        members = [np.asarray(m) for m in part["members"]]
-        length = np.sqrt((points * points).sum(axis=1))
         asked = [(q, v) for q, v in queries if len(v) == dim]
         if not asked:
             continue
-        ids = np.array([q for q, _ in asked])
+        points = np.stack(part["vector"].to_list()).astype(np.float64)
+        ids = [int(q) for q, _ in asked]
         wanted = np.array([v for _, v in asked], dtype=np.float64)
-        own = np.sqrt((wanted * wanted).sum(axis=1))
-        # One more than k, since the query itself may be among them.
-        found = Tree(points / length[:, None]).search(wanted / own[:, None], k + 1, factor)
-        for i in range(len(ids)):
-            rows = found.row[i][found.row[i] >= 0]
-            exact = (points[rows] * wanted[i]).sum(axis=1) / (length[rows] * own[i])
-            best = sorted((-s, m) for s, r in zip(exact, rows) for m in members[r] if m != ids[i])[:k]
-            out += [(int(ids[i]), int(m), float(-s)) for s, m in best]
+        # So many more than k as rows of a query's own id may be among them.
+        times = Counter(int(m) for ms in part["members"] for m in ms)
+        most = k + max(times[q] for q in ids)
+        exact = _Exact(points, [[int(m) for m in ms] for ms in part["members"]], most)
+        points = points[exact.first]
+        whole = _whole(wanted)
+        squares = [_dot(w, w) for w in whole]
+        unit, own = (v / np.sqrt((v * v).sum(axis=1))[:, None] for v in (points, wanted))
+        found = Tree(unit).search(own, most, factor, lambda i, rows: exact.best(whole[i], squares[i], rows, most))
+        for i, q in enumerate(ids):
+            scores = [(-exact.score(whole[i], squares[i], p), p) for p in found.rows_of(i).tolist()]
+            best = sorted((s, m) for s, p in scores for m in exact.members[p] if m != q)[:k]
+            out += [(q, m, -s) for s, m in best]
     return out
 
 

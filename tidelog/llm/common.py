@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidelog.session import Scratch, materialize
 
-__all__ = ["BLANKS", "BLANK_RUN", "Scratch", "let", "lower_ascii", "materialize", "pick", "ranked", "read", "running",
+__all__ = ["BLANKS", "BLANK_RUN", "Scratch", "let", "lower_ascii", "materialize", "parted", "pick", "ranked", "read", "running",
            "words"]
 
 # The six ASCII blanks that separate words; Python's bytes.split() cuts at the same ones.
@@ -40,18 +40,23 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[df[n] for n in names])
 
 
-def ranked(scratch: Scratch, df: DataFrame, key: str, order: list[Column], name: str = "ranked") -> DataFrame:
-    """``df`` with _part, a range of the order within keys, and _rank, the row's number (from 1) within its key.
+def parted(scratch: Scratch, df: DataFrame, key: str, order: list[Column], name: str = "parted") -> DataFrame:
+    """``df``, stored, with _part, a range of the order within keys, and _tie, which tells equal rows apart.
 
-    A window over the key would order a hot key in one task. The rows are range-partitioned in their order instead,
-    stored with the number of their range, and numbered within key and range from what the ranges before hold. Equal
-    rows are told apart by a row number of the scan, so that they spread as well. ``key`` has no nulls.
+    The ranges spread a hot key, and even equal rows, over many tasks. ``key`` has no nulls.
     """
-    parts = scratch.put(
+    return scratch.put(
         df.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(F.col(key), *order, F.col("_tie"))
         .withColumn("_part", F.spark_partition_id()), name)
-    return running(parts.withColumn("_one", F.lit(1).cast("long")), key, [*order, F.col("_tie")], {"_rank": "_one"}).drop(
-        "_tie", "_one")
+
+
+def ranked(parts: DataFrame, key: str, order: list[Column]) -> DataFrame:
+    """``parted`` rows with _rank, the row's number (from 1) within its key.
+
+    Rows are numbered within key and range, from what the ranges before hold, so that no task orders a whole hot key.
+    """
+    numbered = running(parts.withColumn("_one", F.lit(1).cast("long")), key, [*order, F.col("_tie")], {"_rank": "_one"})
+    return numbered.drop("_one", "_total")
 
 
 def running(df: DataFrame, key: str, order: list[Column], sums: dict[str, str]) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import Scratch, materialize, pick, ranked, running
+from tidelog.llm.common import Scratch, materialize, parted, pick, ranked, running
 
 LANES = range(4)
 BLOCK_CHARS = 1 << 20
@@ -38,7 +38,7 @@ def turns(scratch: Scratch, conversations: DataFrame) -> DataFrame:
         "conv_id", "turn", F.md5(F.concat(F.length(role).cast("string"), F.lit(":"), role, text)).alias("digest"),
         F.octet_length(text).cast("long").alias("n_bytes"))
     order = [F.col("turn").asc_nulls_first(), F.col("digest").asc()]
-    return ranked(scratch, rows, "conv_id", order, "turns").select(
+    return ranked(parted(scratch, rows, "conv_id", order, "turns"), "conv_id", order).select(
         "conv_id", F.col("_rank").alias("pos"), "digest", "n_bytes", "_part")
 
 

@@ -6,7 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import byte_bpe, gru_lm, jaccard_join, mixing, pii, quality, suffix_dedup, token_files, toxicity, vp_tree
+from tidelog.llm import (
+    byte_bpe, gru_lm, jaccard_join, mixing, pii, prefix_trie, quality, structure_repair, suffix_dedup, token_files, toxicity,
+    url_filter, vp_tree,
+)
 from tidelog.llm.common import pick, read
 from tidelog.llm.sql import ORACLES  # noqa: F401
 from tidelog.session import scratch_path
@@ -71,6 +74,28 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.components(read(spark, sf_dir, "documents"), n_words=3, percent=90)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(read(spark, sf_dir, "conversations"), prefix_trie.share_heads)
+
+
+# The longest rule that fits decides.
+URL_RULES = (
+    url_filter.Rule("block", "net", "/"), url_filter.Rule("allow", "example.net", "/en/"),
+    url_filter.Rule("block", "example.com", "/de/"), url_filter.Rule("allow", "org", "/fr/"),
+)
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(read(spark, sf_dir, "pages"), URL_RULES).select(
+        "page_id", "host", "path", "rule", "verdict", "n_strict", "n_soft")
+
+
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = read(spark, sf_dir, "conversations")
+    return structure_repair.repair(structure_repair.damage(conversations), conversations)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_repeated_bytes, op2_nearest_vectors, op3_mix_sources, op4_personal_data, op5_token_files, op6_toxicity,
-    op7_quality_rules, op8_byte_bpe, op9_language_model, op10_jaccard_join)}
+    op7_quality_rules, op8_byte_bpe, op9_language_model, op10_jaccard_join, op11_prefix_trie, op12_url_filter,
+    op13_structure_repair)}

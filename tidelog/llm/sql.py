@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tidelog.llm.quality import RULES, STOP_WORDS
+from tidelog.llm.url_filter import MIN_SOFT, SOFT, STRICT, THRESHOLD
 
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
@@ -75,4 +76,45 @@ SELECT doc_id, size, source_size, target,
 FROM k
 """
 
-ORACLES = {"op3_mix_sources": MIX, "op7_quality_rules": QUALITY}
+
+
+def _found(term: str) -> str:
+    return f"regexp_matches(u, '(^|[^a-z0-9]){term}([^a-z0-9]|$)')::INTEGER"
+
+
+def _strict_hits() -> str:
+    """Hits of each strict term; doubling the blanks between lets neighbours share a boundary character."""
+    return " + ".join(
+        f"len(regexp_extract_all(regexp_replace(u, '([^a-z0-9])', '\\1\\1', 'g'), '(?:^|[^a-z0-9]){t}(?:[^a-z0-9]|$)'))" for t in STRICT)
+
+
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+URLS = rf"""
+WITH r AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest,
+    translate(CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE coalesce(url, '') END,
+      '{_UPPER}', '{_UPPER.lower()}') AS u
+  FROM pages
+), p AS (
+  SELECT page_id, u, translate(coalesce(regexp_extract(rest, '(?s)^[^/?#]*'), ''), '{_UPPER}', '{_UPPER.lower()}') AS host,
+    coalesce(regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1), '') AS path
+  FROM r
+), h AS (
+  SELECT *, '.' || host AS dotted, ({_strict_hits()})::INTEGER AS n_strict,
+    ({" + ".join(_found(t) for t in SOFT)})::INTEGER AS n_soft,
+    ({" + ".join(f"{w} * {_found(t)}" for t, w in SOFT.items())})::INTEGER AS weight
+  FROM p
+), v AS (
+  SELECT *, CASE WHEN dotted LIKE '%.example.com' AND starts_with(path, '/de/') THEN 'example.com/de/'
+      WHEN dotted LIKE '%.example.net' AND starts_with(path, '/en/') THEN 'example.net/en/'
+      WHEN dotted LIKE '%.org' AND starts_with(path, '/fr/') THEN 'org/fr/'
+      WHEN dotted LIKE '%.net' AND starts_with(path, '/') THEN 'net/' END AS rule
+  FROM h
+)
+SELECT page_id, host, path, rule, n_strict, n_soft,
+  CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+    WHEN n_strict > 0 OR (n_soft >= {MIN_SOFT} AND weight >= {THRESHOLD}) THEN 'block' ELSE 'allow' END AS verdict
+FROM v
+"""
+
+ORACLES = {"op3_mix_sources": MIX, "op7_quality_rules": QUALITY, "op12_url_filter": URLS}

@@ -21,7 +21,7 @@ from __future__ import annotations
 import hashlib
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from tidelog.llm.common import Scratch, materialize, parted, pick, ranked, running
@@ -84,9 +84,10 @@ def trie(conversations: DataFrame, rebuild=None) -> DataFrame:
     ids = scratch.put(ids, "ids")
     steps = scratch.put(prefixes(rows), "steps")
     scratch.drop("turns", "numbered")
-    nodes, labels = _nodes(scratch, ids, steps)
-    sums = _roll_up(scratch, nodes, labels)
-    shas = _ends(ids, steps, labels, nodes)
+    root = ids.agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_convs")).first()
+    nodes, labels = _nodes(scratch, steps, root)
+    sums = _roll_up(scratch, nodes, labels, root.conv_id)
+    shas = _ends(ids, steps, labels, root.conv_id)
     out = sums.join(shas, ["conv_id", "depth"], "left").select(
         "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens",
         F.coalesce("ends_sha256", F.lit(EMPTY_SHA256)).alias("ends_sha256"))
@@ -95,16 +96,23 @@ def trie(conversations: DataFrame, rebuild=None) -> DataFrame:
     return result
 
 
-def _nodes(scratch: Scratch, ids: DataFrame, steps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes with their own values, and the node (its conv_id) and its parent at each step of each conversation."""
+def _long(value: int | None) -> Column:
+    return F.lit(value).cast("long")
+
+
+def _nodes(scratch: Scratch, steps: DataFrame, root: Row) -> tuple[DataFrame, DataFrame]:
+    """Nodes with their own values, and the node (its conv_id) and its parent at each step of each conversation.
+
+    ``root``: smallest id and number of all conversations.
+    """
+    one = steps.sparkSession.range(1).filter(F.lit(root.n_convs > 0))
     keys, above = [f"k{i}" for i in LANES], [f"p{i}" for i in LANES]
     inner = scratch.put(steps.groupBy("pos", *keys, *above).agg(
         F.min("conv_id").alias("node"), F.count("*").alias("n_convs"),
         F.sum(F.col("n_turns") - F.col("pos") + 1).alias("weight"), F.max("n_bytes").alias("n_bytes")), "inner")
-    root = ids.agg(F.min("conv_id").alias("node"), F.count("*").alias("n_convs")).filter("node IS NOT NULL")
     # The root's key is that of no turn at all: zero in each lane.
-    upper = inner.select("pos", *keys, F.col("node").alias("parent")).unionByName(root.select(
-        F.lit(0).cast("long").alias("pos"), *[F.lit(0).cast("long").alias(k) for k in keys], F.col("node").alias("parent")))
+    upper = inner.select("pos", *keys, F.col("node").alias("parent")).unionByName(one.select(
+        *[_long(0).alias(c) for c in ("pos", *keys)], _long(root.conv_id).alias("parent")))
     linked = scratch.put(inner.withColumn("_up", F.col("pos") - 1).join(
         upper.select(F.col("pos").alias("_up"), *[F.col(k).alias(p) for k, p in zip(keys, above)], "parent"),
         ["_up", *above]).drop("_up", *above), "linked")
@@ -113,24 +121,22 @@ def _nodes(scratch: Scratch, ids: DataFrame, steps: DataFrame) -> tuple[DataFram
         "conv_id", F.col("pos").alias("depth"), "node", "parent"), "labels")
     children = linked.groupBy(F.col("parent").alias("conv_id"), (F.col("pos") - 1).alias("depth")).agg(
         F.count("*").alias("n_children"))
-    total = steps.agg(F.count("*").alias("_turns"))
     nodes = linked.select(
         F.col("node").alias("conv_id"), F.col("pos").alias("depth"), F.col("parent").alias("parent_conv_id"), "n_convs",
         "weight", ((F.col("n_convs") - 1) * F.col("n_bytes")).alias("saved"),
-    ).unionByName(root.join(F.broadcast(total)).select(  # one row each
-        F.col("node").alias("conv_id"), F.lit(0).cast("long").alias("depth"), F.lit(None).cast("long").alias("parent_conv_id"),
-        "n_convs", (F.col("_turns") + F.col("n_convs")).alias("weight"), F.lit(0).cast("long").alias("saved")))
+    ).unionByName(one.select(*[_long(v).alias(n) for n, v in (
+        ("conv_id", root.conv_id), ("depth", 0), ("parent_conv_id", None), ("n_convs", root.n_convs),
+        ("weight", steps.count() + root.n_convs), ("saved", 0))]))
     nodes = nodes.join(children, ["conv_id", "depth"], "left").withColumn("n_children", F.coalesce("n_children", F.lit(0)))
     return nodes, labels
 
 
-def _roll_up(scratch: Scratch, nodes: DataFrame, labels: DataFrame) -> DataFrame:
+def _roll_up(scratch: Scratch, nodes: DataFrame, labels: DataFrame, root: int | None) -> DataFrame:
     """Nodes with n_leaves and saved_tokens of their subtrees, by centroid decomposition."""
-    root = nodes.filter(F.col("depth") == 0).select(F.col("conv_id").alias("top_conv"))
     component = ["top_conv", "top_depth"]
-    zero = F.lit(0).cast("long")
-    state = scratch.put(nodes.join(F.broadcast(root)).select(  # the root is one row
-        "*", zero.alias("top_depth"), (F.col("n_children") == 0).cast("long").alias("leaf"),
+    zero = _long(0)
+    state = scratch.put(nodes.select(
+        "*", _long(root).alias("top_conv"), zero.alias("top_depth"), (F.col("n_children") == 0).cast("long").alias("leaf"),
         zero.alias("n_leaves"), zero.alias("saved_tokens")), "state-0")
     kept = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens"]
     lookup = labels.select("conv_id", F.col("depth").alias("_depth"), F.col("node").alias("_branch"),
@@ -164,16 +170,15 @@ def _roll_up(scratch: Scratch, nodes: DataFrame, labels: DataFrame) -> DataFrame
     return done if done is not None else nodes.withColumns({"n_leaves": zero, "saved_tokens": zero}).select(*kept)
 
 
-def _ends(ids: DataFrame, steps: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
+def _ends(ids: DataFrame, steps: DataFrame, labels: DataFrame, root: int | None) -> DataFrame:
     """SHA-256 per node of the ids that end there, in order.
 
     Ids are joined to blocks of text within ranges of (node, id), then the blocks of a node, in order, go through one
     running hash: neither a node's ids nor their text are ever held as a whole.
     """
     lengths = steps.groupBy("conv_id").agg(F.max("n_turns").alias("depth"))
-    at_root = ids.join(lengths, "conv_id", "left_anti").join(F.broadcast(  # the root is one row
-        nodes.filter(F.col("depth") == 0).select(F.col("conv_id").alias("node")))).select(
-        "node", F.lit(0).cast("long").alias("depth"), "conv_id")
+    at_root = ids.join(lengths, "conv_id", "left_anti").select(
+        _long(root).alias("node"), _long(0).alias("depth"), "conv_id")
     ends = labels.join(lengths, ["conv_id", "depth"]).select("node", "depth", "conv_id").unionByName(at_root)
     keys = ["node", "depth"]
     blocks = ends.repartitionByRange(*keys, "conv_id").sortWithinPartitions(*keys, "conv_id").mapInArrow(

@@ -6,8 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidelog.operators import measure, prepare, search
-from tidelog.operators.percentiles import exact_percentiles
+from tidelog.operators import measure, percentiles, prepare, search
+from tidelog.operators.percentiles import exact_percentiles, order_key
 
 
 def brute_percentile(values, p, rule):
@@ -18,25 +18,83 @@ def brute_percentile(values, p, rule):
     return values[int(round(p / 100.0 * (n - 1)))]
 
 
+WANTED = {"p0": 0.0, "p50": 50.0, "p95": 95.0, "p100": 100.0}
+
+
 @pytest.mark.parametrize("rule", ["floor", "round"])
-@pytest.mark.parametrize("small", [0, 10_000])
-def test_percentiles(spark, rule, small):
+def test_percentiles(spark, rule):
     rng = random.Random(1)
     groups = {
         "one": [5.0], "two": [1.0, 2.0], "hundred": [float(i) for i in range(100)],
         "copies": [7.0] * 20_000 + [rng.random() for _ in range(3_000)],
         "skewed": [round(rng.lognormvariate(3, 2), 3) for _ in range(30_000)], None: [3.0, 1.0, 2.0],
+        "signs": [rng.choice([-1, 1]) * 10 ** rng.uniform(-300, 300) for _ in range(2_000)],
+        "close": [1.0 + i * 2.0 ** -52 for i in range(500)] + [1.0 - i * 2.0 ** -53 for i in range(500)],
+        "tiny": [i * 5e-324 for i in range(-300, 300)] + [2.0 ** -1022, 2.0 ** -1022 * 0.75, -0.0],
+        "ends": [math.inf, -math.inf, 0.0, 1.7976931348623157e308, -1.7976931348623157e308],
     }
     rows = [(k, v) for k, vs in groups.items() for v in vs] + [("one", None), ("empty", None)]
     frame = spark.createDataFrame(rows, "k string, v double")
-    wanted = {"p0": 0.0, "p50": 50.0, "p95": 95.0, "p100": 100.0}
-    if small == 0:
-        frame = frame.filter("k IN ('copies', 'skewed')")
-    out = {r["k"]: r for r in exact_percentiles(frame, ["k"], "v", wanted, rule, small=small).collect()}
+    out = {r["k"]: r for r in exact_percentiles(frame, ["k"], "v", WANTED, rule).collect()}
     for k, vs in groups.items():
-        if k in out or small:
-            assert [out[k][n] for n in wanted] == [brute_percentile(vs, p, rule) for p in wanted.values()], k
+        assert [out[k][n] for n in WANTED] == [brute_percentile(vs, p, rule) for p in WANTED.values()], k
     assert "empty" not in out
+    alone = exact_percentiles(frame, [], "v", WANTED, rule).collect()
+    assert [tuple(r) for r in alone] == [tuple(brute_percentile([v for _, v in rows if v is not None], p, rule) for p in WANTED.values())]
+
+
+def test_bins_never_fall(spark):
+    rng = random.Random(6)
+    doubles = sorted({rng.choice([-1, 1]) * rng.choice([2.0 ** rng.randint(-1074, 1023), rng.random() * 2.0 ** rng.randint(-1060, 1023)])
+                      for _ in range(3_000)} | {0.0, math.inf, -math.inf, 2.0 ** 1023 * 1.5}) + [math.nan]
+    frame = spark.createDataFrame([(i, v) for i, v in enumerate(doubles)], "i int, v double")
+    bins = [r[0] for r in frame.orderBy("i").select(percentiles.first_bin(F.col("v"), True)).collect()]
+    assert bins == sorted(bins) and len(set(bins)) > 2_000
+    for low, high in ((-math.inf, -1e308), (1e308, math.inf), (1.0, 1.0 + 2 ** -52), (5e-324, 1e-323), (1.0, 1.04)):
+        inside = [low, *[low + (high - low) * k / 999 for k in range(1000) if math.isfinite(high - low)], high]
+        frame = spark.createDataFrame([(i, v, low, high) for i, v in enumerate(inside)], "i int, _k double, _lo double, _hi double")
+        bins = [r[0] for r in frame.orderBy("i").select(percentiles.next_bin(True)).collect()]
+        assert bins == sorted(bins) and bins[0] < bins[-1]
+
+
+@pytest.mark.parametrize("kind, values", [
+    ("bigint", [-2**63, 2**63 - 1, 0, -1, 5, 5]), ("int", [3, -3, 7]), ("decimal(10,3)", ["-0.500", "12.345", "0.001"]),
+    ("date", ["2024-01-01", "1969-12-31", "2024-02-01"]), ("timestamp", ["2024-01-01 00:00:00.000001", "1960-01-01 00:00:00"]),
+    ("float", [0.1, -0.1, 3.0e38]),
+])
+def test_percentiles_of_types(spark, kind, values):
+    frame = spark.createDataFrame([(str(v),) for v in values], "t string").select(F.col("t").cast(kind).alias("v"))
+    ordered = [r[0] for r in frame.orderBy("v").collect()]
+    got = exact_percentiles(frame, [], "v", {"low": 0.0, "mid": 50.0, "high": 100.0})
+    assert tuple(got.first()) == (ordered[0], ordered[len(ordered) // 2], ordered[-1])
+    assert got.schema["mid"].dataType.simpleString() == kind
+    with pytest.raises(TypeError):
+        exact_percentiles(frame.select(F.lit("x").alias("v")), [], "v", {"p": 1.0})
+
+
+def test_percentile_passes_move_no_rows_for_their_group(spark, monkeypatch):
+    passes = []
+    inside = percentiles._inside
+
+    def kept(keyed, ranges, keys):
+        passes.append((keyed, ranges))
+        return inside(keyed, ranges, keys)
+
+    monkeypatch.setattr(percentiles, "_inside", kept)
+    rng = random.Random(3)
+    frame = spark.createDataFrame([("k", rng.lognormvariate(3, 2)) for _ in range(20_000)], "k string, v double")
+    exact_percentiles(frame, ["k"], "v", WANTED).collect()
+    assert 1 <= len(passes) <= 5
+    keyed = frame.select("k", F.col("v").alias("_v"), order_key(F.col("v"), frame.schema["v"].dataType).alias("_k"))
+    ranges = spark.createDataFrame([("k", 0, 5, 0.0, 1e18)], "k string, _i int, _rank long, _lo double, _hi double")
+    for limit in ("-1", "10MB"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        plan = inside(keyed, ranges, ["k"])._jdf.queryExecution().executedPlan().toString()
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+        assert "Window" not in plan and dealt
+        rows = [line for line in dealt if "_salt" in line or "_bin" in line]
+        assert len(rows) == len(dealt) and any("_bin" in line for line in rows)
 
 
 def test_summary_of_nothing(spark):

@@ -159,5 +159,5 @@ def payload_stats(df: DataFrame, payload: str = "message") -> DataFrame:
     long = sizes.select(F.explode(F.create_map(
         F.lit("payload_bytes"), F.col("payload_bytes"), F.lit("custom_fields"), F.col("custom_fields"),
     )).alias("metric", "v")).filter(F.col("v").isNotNull())
-    return exact_percentiles(long, ["metric"], "v", {"p50": 50.0, "p95": 95.0}, extras={
+    return exact_percentiles(long, ["metric"], "v", {"p50": 50.0, "p95": 95.0}, store=True, extras={
         "count": F.count("_v"), "min_value": F.min("_v"), "avg_value": F.avg("_v"), "max_value": F.max("_v")})

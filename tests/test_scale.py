@@ -1,6 +1,7 @@
 """Hot keys, byte budgets and percentiles against brute force."""
 
 import math
+import os
 import random
 
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidelog.operators import measure, percentiles, prepare, search
 from tidelog.operators.percentiles import exact_percentiles, order_key
+from tidelog.session import scratch_root
 
 
 def brute_percentile(values, p, rule):
@@ -127,6 +129,27 @@ def test_capacity_trim(spark, mode, seed):
     assert sorted(r["event_id"] for r in out.select("event_id").collect()) == brute_trim(rows, 4096, mode == "greedy")
 
 
+@pytest.mark.parametrize("sizes", [
+    [x for i in range(300) for x in (1, 1000 - i)], [700] * 5 + [200, 90] * 50, [2 ** k for k in range(10, -1, -1)] * 3,
+    [1] * 1500, [1000, 1, 1, 1, 999] * 3,
+])
+def test_greedy_phases_are_bounded_by_the_budget(spark, monkeypatch, sizes):
+    phases = []
+    running = prepare._running
+    monkeypatch.setattr(prepare, "_running", lambda *a: phases.append(1) or running(*a))
+    rows = [(key, -i, -i, s) for key in (1, 2, None) for i, s in enumerate(sizes[key or 0:])]
+    frame = spark.createDataFrame(rows, "user_id bigint, s bigint, event_id bigint, bytes bigint").withColumn(
+        "event_time", F.timestamp_seconds("s"))
+    before = set(os.listdir(scratch_root(spark)))
+    got = prepare.capacity_trim(frame, max_bytes=1000, mode="greedy", size=F.col("bytes"))
+    assert sorted((r["user_id"] or 0, r["event_id"]) for r in got.collect()) == sorted(
+        (key or 0, e) for key in (1, 2, None) for e in brute_trim([r for r in rows if r[0] == key], 1000, True))
+    assert len(phases) <= 11
+    # All that is left is what the result still reads.
+    new = set(os.listdir(scratch_root(spark))) - before
+    assert [n.rsplit("-", 1)[0] for n in new if os.listdir(os.path.join(scratch_root(spark), n))] == ["trim-kept"]
+
+
 def test_exact_fit_and_oversized_newest(spark):
     rows = [(1, 10, 1, 100), (1, 20, 2, 100), (1, 30, 3, 500), (2, 10, 4, 100), (2, 20, 5, 100)]
     frame = spark.createDataFrame(rows, "user_id bigint, s bigint, event_id bigint, bytes bigint").withColumn(

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.operators.percentiles import null_safe_join
-from tidelog.session import materialize
+from tidelog.session import Scratch, materialize
 
 DUPLICATE_KEYS = ("user_id", "type", "event_time")
 
@@ -67,21 +67,29 @@ def capacity_trim(df: DataFrame, key: str = "user_id", max_bytes: int = 4096, mo
 
     ``strict`` stops at the first row that does not fit. ``greedy`` skips it and
     goes on to older rows that still fit. ``tie`` orders rows of the same time
-    and must tell them apart. Row sizes are worked out once and stored, so this
+    and must tell them apart; sizes are at least 1. Row sizes are worked out once and stored, so this
     runs jobs before it returns.
+
+    A running sum over a whole key would order a hot key in one task. Rows are
+    range-partitioned in their order instead, which spreads a hot key, even a
+    hot second of it, over many parts, and stored with the number of their part.
     """
-    sizes = materialize(df.select(
+    if mode not in ("strict", "greedy"):
+        raise ValueError(f"unknown mode: {mode}")
+    scratch = Scratch(df.sparkSession, "trim")
+    newest = [F.col("_time").desc(), F.col("_tie").desc()]
+    parts = scratch.put(df.select(
         F.col(key).alias("_key"), F.col(time).alias("_time"), F.col(tie).alias("_tie"),
-        (event_json_bytes() if size is None else size).alias("_size"),
-        F.lit(max_bytes).cast("bigint").alias("_budget")), "trim-sizes")
+        (event_json_bytes() if size is None else size).cast("bigint").alias("_size"),
+    ).repartitionByRange(F.col("_key"), *newest).withColumn("_part", F.spark_partition_id()), "parts")
     if mode == "strict":
-        cut = _cutoffs(sizes)
+        cut = materialize(_cutoffs(parts, max_bytes), "trim-cut")
+        scratch.close()
         rows = df.join(cut, F.col(key).eqNullSafe(F.col("_key")), "left")
         newer = F.struct(F.col(time).alias("t"), F.col(tie).alias("i")) > F.col("_cut")
         return rows.filter(F.col("_cut").isNull() | newer).select(*[df[c] for c in df.columns])
-    if mode != "greedy":
-        raise ValueError(f"unknown mode: {mode}")
-    kept = _greedy(sizes)
+    kept = materialize(_greedy(scratch, parts, max_bytes), "trim-kept")
+    scratch.close()
     same = (F.col(key).eqNullSafe(F.col("_key")) & (F.col(time) == F.col("_time")) & (F.col(tie) == F.col("_tie")))
     return df.join(kept, same, "left_semi")
 
@@ -90,49 +98,55 @@ def _position() -> Column:
     return F.struct(F.col("_time").alias("t"), F.col("_tie").alias("i"))
 
 
-def _cutoffs(sizes: DataFrame) -> DataFrame:
-    """Per key the newest row that no longer fits, for keys that have one.
+def _running(rows: DataFrame, amount: str) -> DataFrame:
+    """``rows`` with _used, the sum of ``amount`` of its key from the newest row down to each: sums per part first, then rows of a part."""
+    sums = rows.groupBy("_key", "_part").agg(F.sum(amount).alias("_sum"))
+    before = Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sums.select("_key", "_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
+    within = Window.partitionBy("_key", "_part").orderBy(F.col("_time").desc(), F.col("_tie").desc()).rowsBetween(
+        Window.unboundedPreceding, 0)
+    return null_safe_join(rows, bases, ["_key", "_part"]).withColumn("_used", F.col("_base") + F.sum(amount).over(within))
 
-    A running sum over a whole key would order a hot key in one task. Rows are
-    range-partitioned in their order instead, which spreads a hot key, even a
-    hot second of it, over many parts. The parts are stored with their number,
-    sums per key and part show the part in which a key's budget runs out, and
-    only that part of the key is summed row by row.
-    """
-    newest = [F.col("_time").desc(), F.col("_tie").desc()]
-    parts = materialize(
-        sizes.repartitionByRange(F.col("_key"), *newest).withColumn("_part", F.spark_partition_id()), "trim-parts")
-    sums = parts.groupBy("_key", "_part").agg(F.sum("_size").alias("_sum"), F.first("_budget").alias("_limit"))
-    by_part = Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)
-    running = sums.withColumn("_end", F.sum("_sum").over(by_part)).withColumn("_base", F.col("_end") - F.col("_sum"))
-    crossing = running.filter((F.col("_end") > F.col("_limit")) & (F.col("_base") <= F.col("_limit")))
-    rows = null_safe_join(parts, crossing.select("_key", "_part", "_base"), ["_key", "_part"])
-    by_row = Window.partitionBy("_key", "_part").orderBy(*newest).rowsBetween(Window.unboundedPreceding, 0)
-    over = rows.withColumn("_used", F.col("_base") + F.sum("_size").over(by_row)).filter(
-        F.col("_used") > F.col("_budget"))
+
+def _cutoffs(parts: DataFrame, budget: int) -> DataFrame:
+    """Per key the newest row that no longer fits, for keys that have one."""
+    over = _running(parts, "_size").filter(F.col("_used") > budget)
     return over.groupBy("_key").agg(F.max(_position()).alias("_cut"))
 
 
-def _greedy(sizes: DataFrame) -> DataFrame:
-    """Rounds of the strict rule: each goes on below the row that did not fit.
+def _greedy(scratch: Scratch, parts: DataFrame, budget: int) -> DataFrame:
+    """Rows kept when those that do not fit are skipped, in at most as many phases as the budget has binary digits.
 
-    Rows larger than what is left of their key's budget can never be kept and
-    are dropped between rounds. After the first round that leaves only rows
-    smaller than one refused record, so rounds are few and shrink fast; they
-    end when no key has a row that fits.
+    What is carried per key is the budget left and the place reached. A phase starts with R bytes left. Rows of at most
+    R/2 bytes surely fit until they sum up to R/2, so their running sum alone tells what is left anywhere before; of the
+    larger ones, the first that fits ends the phase as well. Either event leaves at most R/2. So each phase is one running
+    sum over the parts and the newest event of each key, and the budget halves, whatever the order of sizes.
     """
-    columns = sizes.columns
-    rest = sizes.filter(F.col("_size") <= F.col("_budget"))
+    state = None
     kept = None
-    while True:
-        cut = materialize(_cutoffs(rest), "trim-cut")
-        placed = null_safe_join(rest, cut, ["_key"], "left")
-        fits = F.col("_cut").isNull() | (_position() > F.col("_cut"))
-        picked = placed.filter(fits).select(*columns)
+    for phase in range(budget.bit_length() + 1):
+        if state is None:
+            rows = parts.withColumns({"_left": F.lit(budget).cast("bigint")}).filter(F.col("_size") <= budget)
+        else:
+            older = state["_at"].isNull() | (F.struct(rest["_time"].alias("t"), rest["_tie"].alias("i")) < state["_at"])
+            rows = rest.join(state, rest["_key"].eqNullSafe(state["_key"]) & older & (rest["_size"] <= state["_left"])).select(
+                *[rest[c] for c in parts.columns], state["_left"])
+        small = 2 * F.col("_size") <= F.col("_left")
+        placed = scratch.put(_running(rows.withColumn("_sure", F.when(small, F.col("_size")).otherwise(0)), "_sure").withColumns({
+            "_small": small, "_event": F.when(small, 2 * F.col("_used") >= F.col("_left")).otherwise(
+                F.col("_size") <= F.col("_left") - F.col("_used"))}), f"placed-{phase}")
+        if placed.isEmpty():
+            break
+        spent = F.col("_used") + F.when(F.col("_small"), 0).otherwise(F.col("_size"))
+        events = scratch.put(placed.filter("_event").groupBy("_key").agg(F.max(F.struct(
+            _position().alias("at"), (F.col("_left") - spent).alias("left"))).alias("_e")).select(
+            "_key", F.col("_e.at").alias("_at"), F.col("_e.left").alias("_left")), "events")
+        met = null_safe_join(placed, events.withColumnRenamed("_left", "_next"), ["_key"], "left")
+        reached = F.col("_at").isNull() | (_position() > F.col("_at"))
+        taken = met.filter(reached & F.col("_small") | (_position() == F.col("_at")))
+        picked = scratch.put(taken.select("_key", "_time", "_tie"), "kept")
         kept = picked if kept is None else kept.unionByName(picked)
-        spent = picked.groupBy("_key").agg(F.sum("_size").alias("_spent"))
-        left = F.col("_budget") - F.coalesce("_spent", F.lit(0))
-        older = null_safe_join(placed.filter(~fits), spent, ["_key"], "left").withColumn("_budget", left)
-        rest = materialize(older.filter(F.col("_size") <= F.col("_budget")).select(*columns), "trim-rest")
-        if rest.isEmpty():
-            return kept
+        # Keys without an event are done: all their rows have been passed.
+        rest, state = placed.select(*parts.columns), events.filter(F.col("_left") > 0)
+        scratch.drop(f"placed-{phase - 1}")
+    return kept if kept is not None else parts.select("_key", "_time", "_tie").limit(0)

@@ -7,9 +7,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidelog.operators import measure, percentiles, prepare, search
+from tidelog.operators import measure, pages, percentiles, prepare, search
 from tidelog.operators.percentiles import exact_percentiles, order_key
-from tidelog.session import scratch_root
+from tidelog.session import scratch_path, scratch_root
 
 
 def brute_percentile(values, p, rule):
@@ -191,18 +191,72 @@ def test_dedup_of_a_hot_record(spark):
     assert plan.count("Aggregate(") >= 2 and "Window" not in plan
 
 
+def paged(rows, column, ascending):
+    """Ids in the order of pages: column, then id, nulls first when ascending."""
+    key = lambda r: (r[column] is not None, r[column] if r[column] is not None else 0, r["event_id"])
+    return [r["event_id"] for r in sorted(rows, key=key, reverse=not ascending)]
+
+
+@pytest.fixture(scope="module")
+def page_rows(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice([None, *range(0, 3 * 86_400, 6_000)]), rng.choice([None, 7, 7, 7, rng.randint(0, 50)]), i // 2 * 2 if i < 40 else i)
+            for i in range(1_000)]
+    frame = spark.createDataFrame(rows, "s bigint, user_id bigint, event_id bigint").withColumn(
+        "event_time", F.timestamp_seconds("s")).withColumn("event_date", F.to_date("event_time"))
+    return [{"event_time": s, "user_id": u, "event_id": i} for s, u, i in rows], frame.cache()
+
+
 @pytest.mark.parametrize("ascending", [False, True])
-def test_deep_pages(spark, monkeypatch, ascending):
-    # Ranks are found by counting per time unit; a low threshold makes a small table take that way.
+@pytest.mark.parametrize("column", ["event_time", "user_id", "event_id"])
+def test_deep_pages(spark, page_rows, monkeypatch, column, ascending):
+    rows, frame = page_rows
+    frame = frame.drop("event_date") if column == "event_time" else frame
+    whole = paged(rows, column, ascending)
+    index = pages.RankIndex.build(frame, column, ascending, tasks=7)
+    assert index.total == len(rows) and len(index.starts) > 1
+    for offset, limit in ((0, 30), (15, 1), (499, 77), (990, 30), (5_000, 30), (700, None), (3, 0)):
+        got = [r["event_id"] for r in index.page(frame, offset, limit).collect()]
+        assert got == whole[offset:None if limit is None else offset + limit], (offset, limit)
+    plan = index.page(frame, 640, 50)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject(limit=5" in plan
+    before = set(os.listdir(scratch_root(spark)))
     monkeypatch.setattr(search, "TOP_K_ROWS", 20)
-    rng = random.Random(4)
-    rows = [(rng.randint(0, 3 * 86_400) // 600 * 600 + rng.randint(0, 2), i) for i in range(2_000)]
-    frame = spark.createDataFrame(rows, "s bigint, event_id bigint").withColumn(
-        "event_time", F.timestamp_seconds("s"))
-    whole = [r[1] for r in sorted(rows, reverse=not ascending)]
-    for offset in (0, 15, 700, 1_990, 5_000):
-        got = [r["event_id"] for r in search.page(frame, offset, 30, ascending=ascending).collect()]
-        assert got == whole[offset:offset + 30]
+    got = [r["event_id"] for r in search.page(frame, 811, 30, column, ascending).collect()]
+    assert got == whole[811:841] and set(os.listdir(scratch_root(spark))) == before
+    with pytest.raises(ValueError):
+        index.page(frame, -1, 10)
+
+
+@pytest.mark.parametrize("ascending", [False, True])
+def test_pages_of_a_stored_table_read_their_days_only(spark, page_rows, ascending):
+    rows, frame = page_rows
+    dated = frame.filter("event_time IS NOT NULL")
+    path = scratch_path(spark, "paged")
+    dated.write.partitionBy("event_date").parquet(path)
+    stored = spark.read.parquet(path)
+    whole = paged([r for r in rows if r["event_time"] is not None], "event_time", ascending)
+    got = pages.RankIndex.build(stored, ascending=ascending).page(stored, 300, 40)
+    assert [r["event_id"] for r in got.collect()] == whole[300:340]
+    assert "event_date" in got._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1].split("]")[0]
+
+
+@pytest.mark.parametrize("ascending", [False, True])
+@pytest.mark.parametrize("column", ["event_time", "user_id"])
+def test_page_tokens(spark, page_rows, column, ascending):
+    rows, frame = page_rows
+    rows, frame = [r for r in rows if r["event_id"] >= 40], frame.filter("event_id >= 40")
+    whole, token, got = paged(rows, column, ascending), None, []
+    for _ in range(6):
+        page = pages.page_after(frame, token, 170, column, ascending).collect()
+        got += [r["event_id"] for r in page]
+        token = page[-1]["page_token"]
+    assert got == whole
+    assert pages.page_after(frame, token, 170, column, ascending).collect() == []
+    plan = pages.page_after(frame, token, 170, column, ascending)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject(limit=170" in plan
+    with pytest.raises(ValueError):
+        pages.page_after(frame, "[1]", 10)
 
 
 def test_running_total_and_windows(spark):

@@ -8,9 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.functions.json_text import json_int, json_string
-from tidelog.operators.filters import (
-    PARTITION, first_rows, newest_first, order, search_predicates,
-)
+from tidelog.operators.filters import first_rows, newest_first, order, search_predicates
+from tidelog.operators.pages import RankIndex
 
 
 def search(df: DataFrame, filters: Mapping[str, str] | None, limit: int | None = 100) -> DataFrame:
@@ -69,7 +68,7 @@ def search_json_int(df: DataFrame, path: str, minimum: int, limit: int | None =
     return first_rows(found.orderBy(F.col("found").desc(), F.col("event_id").desc()), limit)
 
 
-# Up to this many rows a page is a bounded top-k; see page().
+# Up to this many rows deep a page is a top-k, kept per task in a heap of offset + limit rows.
 TOP_K_ROWS = 100_000
 
 
@@ -77,42 +76,14 @@ def page(df: DataFrame, offset: int = 0, limit: int | None = 100, column: str |
          ascending: bool = False) -> DataFrame:
     """Rows ``offset`` .. ``offset + limit`` in a total order.
 
-    Shallow pages are a top-k, kept per task in a heap of offset+limit rows. A
-    deep page by event time first counts rows per day, hour, minute and second
-    to find where the page begins and ends, so that only that stretch of time
-    is ordered instead of everything before it.
+    A shallow page is a top-k. For a deep one a ``RankIndex`` of the order is built, asked and dropped; keep an index, or
+    go on from page tokens (``page_after``), to read many pages.
     """
     if offset < 0:
         raise ValueError(f"offset must not be negative: {offset}")
-    size = limit
-    if size and offset + size > TOP_K_ROWS and (column or "event_time") == "event_time":
-        df, offset = _narrow_to_page(df, offset, size, ascending)
-    return first_rows(order(df, column, ascending).offset(offset), size)
-
-
-def _narrow_to_page(df: DataFrame, offset: int, size: int, ascending: bool) -> tuple[DataFrame, int]:
-    """Time interval that holds the page, and the offset left within it.
-
-    Each step brings one count per day, or per part of the two units at the
-    page's edges, to the driver: a few rows, whatever the table holds.
-    """
-    first, last = offset, offset + size - 1  # ranks of the page's rows
-    narrowed = df
-    for unit in ("day", "hour", "minute", "second"):
-        start = F.date_trunc(unit, "event_time")
-        counts = narrowed.groupBy(start.alias("unit")).agg(F.count("*").alias("n"))
-        edges, seen = [], 0
-        for row in counts.orderBy(F.col("unit").asc() if ascending else F.col("unit").desc()).collect():
-            if seen <= last and seen + row["n"] > first:
-                edges.append((row["unit"], seen, row["n"]))
-            seen += row["n"]
-        if not edges:
-            return df.filter(F.lit(False)), 0
-        low, high = min(e[0] for e in edges), max(e[0] for e in edges)
-        first, last = first - edges[0][1], last - edges[0][1]
-        narrowed = narrowed.filter(start.between(F.lit(low), F.lit(high)))
-        if PARTITION in df.columns and unit == "day":
-            narrowed = narrowed.filter(F.col(PARTITION).between(F.lit(low.date()), F.lit(high.date())))
-        if sum(e[2] for e in edges) <= TOP_K_ROWS:
-            break
-    return narrowed, first
+    if limit is None and not offset or limit is not None and offset + limit <= TOP_K_ROWS:
+        return first_rows(order(df, column, ascending).offset(offset), limit)
+    index = RankIndex.build(df, column, ascending)
+    rows = index.page(df, offset, limit)
+    index.drop()
+    return rows

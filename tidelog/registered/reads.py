@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidelog.operators import filters, search
+from tidelog.operators.pages import RankIndex, page_after
 from tidelog.plans.request import query_from_params
 from tidelog.registered.base import AS_OF, FROM, TO, flat, register
 from tidelog.sources.tables import event_table, source_events
@@ -210,6 +211,34 @@ def page_oldest_by_user(spark, sf_dir):
     return search.page(event_table(spark, sf_dir), 100, 9000, "user_id", ascending=True).select("event_id", "user_id")
 
 
+@register("page_deep_by_user", """
+SELECT event_id, user_id, event_time FROM ev ORDER BY user_id DESC, event_id DESC LIMIT 120 OFFSET 640""")
+def page_deep_by_user(spark, sf_dir):
+    events = event_table(spark, sf_dir)
+    return RankIndex.build(events, "user_id").page(events, 640, 120).select("event_id", "user_id", "event_time")
+
+
+@register("page_deep_with_nulls", """
+SELECT event_id, nullif(lang, '') AS lang FROM ev ORDER BY nullif(lang, '') NULLS FIRST, event_id LIMIT 500 OFFSET 333""")
+def page_deep_with_nulls(spark, sf_dir):
+    # Many rows without a value and few different ones: the page lies among equal keys.
+    events = event_table(spark, sf_dir).withColumn("lang", F.col("attrs")["lang"])
+    return RankIndex.build(events, "lang", ascending=True).page(events, 333, 500).select("event_id", "lang")
+
+
+@register("page_tokens", """
+SELECT event_id, event_time, CAST(ceil(rn / 150.0) AS INTEGER) AS page FROM (
+  SELECT *, row_number() OVER (ORDER BY event_time DESC, event_id DESC) AS rn FROM ev) WHERE rn <= 450""")
+def page_tokens(spark, sf_dir):
+    events, token, out = event_table(spark, sf_dir), None, None
+    for number in range(1, 4):
+        rows = page_after(events, token, 150)
+        token = rows.orderBy("event_time", "event_id").first()["page_token"]
+        part = rows.select("event_id", "event_time", F.lit(number).alias("page"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @register("request_top_chart", """
 , chosen AS (SELECT * FROM ev WHERE type IN ('REGISTRATION', 'MESSAGE_SENT') AND lang = 'en'),
 top AS (SELECT user_id FROM chosen GROUP BY user_id ORDER BY count(*) DESC, user_id LIMIT 200)

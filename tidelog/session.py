@@ -74,6 +74,12 @@ def materialize(df, label: str = "step"):
     return _write_and_read(df, scratch_path(df.sparkSession, label))
 
 
+def delete(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of any file system, if it is there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class Scratch:
     """Intermediate tables of one job, which can be freed before the session ends.
 
@@ -92,11 +98,7 @@ class Scratch:
     def drop(self, *names: str) -> None:
         """Delete all tables of these names."""
         for name in names:
-            self._delete(f"{self.root}/{name}")
+            delete(self.spark, f"{self.root}/{name}")
 
     def close(self) -> None:
-        self._delete(self.root)
-
-    def _delete(self, folder: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        delete(self.spark, self.root)

@@ -124,7 +124,7 @@ def main() -> None:
     records.select(F.to_json(F.struct("*")).alias("value")).write.text(f"{work}/topic")
     load("stream_ingest", rows, lambda path: ingest.finish(ingest.start_ingest(
         ingest.read_stream(spark, "text", path=f"{work}/topic"), f"{path}/table", f"{path}/checkpoint",
-        "records", f"{path}/refused", as_of=AS_OF)))
+        "records", as_of=AS_OF)))
 
     result = {
         "metric": "event_analytics_total", "value": round(sum(seconds.values()), 3), "unit": "sec",

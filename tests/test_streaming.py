@@ -7,6 +7,8 @@ from tidelog.operators import measure
 from tidelog.operators.prepare import dedup_stream
 from tidelog.schema import EVENT_SCHEMA
 from tidelog.sources import files
+from tidelog.sources.layout import DEFAULT_HOT_COLUMNS, HotColumn
+from tidelog.sources.store import EventStore
 from tidelog.streaming import ingest
 
 
@@ -25,11 +27,14 @@ def put(folder, name, lines):
 
 def run(spark, tmp_path, **options):
     raw = ingest.read_stream(spark, "text", path=str(tmp_path / "topic"))
-    ingest.finish(ingest.start_ingest(
-        raw, str(tmp_path / "table"), str(tmp_path / "checkpoint"), quarantine=str(tmp_path / "refused"), **options))
+    ingest.finish(ingest.start_ingest(raw, str(tmp_path / "table"), str(tmp_path / "checkpoint"), **options))
     return files.read_events(spark, str(tmp_path / "table"))
 
 
+def refused(spark, tmp_path):
+    return EventStore(spark, str(tmp_path / "table")).refused().collect()
+
+
 def test_restart_writes_each_message_once(spark, tmp_path):
     put(tmp_path / "topic", "a", [message(i) for i in range(10)])
     assert run(spark, tmp_path).count() == 10
@@ -38,11 +43,77 @@ def test_restart_writes_each_message_once(spark, tmp_path):
     assert table.count() == 15 and table.select("event_id").distinct().count() == 15
     assert {str(r[0]) for r in table.select("event_date").distinct().collect()} == {
         "2026-03-01", "2026-03-02", "2026-03-03"}
-    refused = spark.read.parquet(str(tmp_path / "refused")).collect()
-    assert sorted(r["error"] for r in refused) == ["broken message", "event_id is not a UUID"]
+    assert sorted(r["error"] for r in refused(spark, tmp_path)) == ["broken message", "event_id is not a UUID"]
     assert run(spark, tmp_path).count() == 15
 
 
+def test_replayed_and_failed_batches_are_seen_once_in_every_layout(spark, tmp_path, monkeypatch):
+    put(tmp_path / "topic", "a", [message(i) for i in range(10)] + ["{"])
+    commit = EventStore._commit
+
+    def dies(self, batch, facts):
+        raise OSError("the driver is gone")
+
+    monkeypatch.setattr(EventStore, "_commit", dies)
+    with pytest.raises(Exception, match="the driver is gone"):
+        run(spark, tmp_path)
+    store = EventStore(spark, str(tmp_path / "table"))
+    # All files are there, no commit: no layout shows them.
+    assert os.listdir(tmp_path / "table" / "data") and store.batches() == []
+    assert store.read(["user_id"]).count() == store.read(["record_type"]).count() == store.refused().count() == 0
+
+    def dies_after(self, batch, facts):
+        commit(self, batch, facts)
+        raise OSError("the driver is gone")
+
+    # Committed, but the stream did not hear of it: the replay must not write again.
+    monkeypatch.setattr(EventStore, "_commit", dies_after)
+    with pytest.raises(Exception, match="the driver is gone"):
+        run(spark, tmp_path)
+    monkeypatch.setattr(EventStore, "_commit", commit)
+    assert run(spark, tmp_path).count() == 10
+    for filters in (["user_id"], ["record_type"]):
+        assert sorted(r[0] for r in store.read(filters).select("user_id").collect()) == list(range(10))
+    assert store.refused().count() == 1 and len(store.batches()) == 1
+    assert [tuple(r)[1:3] for r in store.commits().collect()] == [(10, 1)]
+
+
+def test_store_reads_its_source_once(spark, tmp_path):
+    reads = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    put(tmp_path / "topic", "a", [message(i) for i in range(20)] + ["{"])
+    raw = spark.read.text(str(tmp_path / "topic")).mapInArrow(seen, "value string")
+    store = EventStore(spark, str(tmp_path / "store"))
+    assert store.append(ingest.classify(raw), "one") == {"rows": 20, "refused": 1, "layouts": ["by_user", "by_type"]}
+    assert reads.value == 21
+    assert store.append(ingest.classify(raw), "one") is None and reads.value == 21
+
+
+def test_store_sweeps_and_refuses_names(spark, tmp_path):
+    store = EventStore(spark, str(tmp_path / "store"))
+    assert store.read().count() == 0 and store.read().columns == store.schema().names and store.commits().count() == 0
+    put(tmp_path / "topic", "a", [message(i) for i in range(5)])
+    rows = ingest.classify(spark.read.text(str(tmp_path / "topic")))
+    store.append(rows, "good")
+    store.placed(rows).write.partitionBy("layout", "event_date").parquet(f"{store.root}/data/batch=left")
+    assert store.read().count() == 5 and store.sweep() == ["left"] and store.read(["record_type"]).count() == 5
+    for name in ("a/b", "../x", "_x", "."):
+        with pytest.raises(ValueError):
+            store.append(rows, name)
+    with pytest.raises(ValueError):
+        EventStore(spark, "x", ["by_nothing"])
+    assert files.read_events(spark, store.root).columns == store.read().columns
+    # A later batch with one more hot column: null in the rows before.
+    wider = EventStore(spark, store.root, hot=(*DEFAULT_HOT_COLUMNS, HotColumn("attr_type", "type")))
+    wider.append(rows, "wider")
+    assert [tuple(r) for r in store.read().groupBy("attr_type").count().orderBy("attr_type").collect()] == [(None, 5), ("", 5)]
+
+
 def test_late_rows_land_in_their_day(spark, tmp_path):
     put(tmp_path / "topic", "a", [message(1)])
     run(spark, tmp_path)
@@ -55,8 +126,13 @@ def test_too_many_broken_messages_stop_the_stream(spark, tmp_path):
     put(tmp_path / "topic", "a", [message(1)] + ["nope"] * 10)
     assert run(spark, tmp_path, max_broken=10).count() == 1
     put(tmp_path / "topic", "b", ["nope"] * 11)
-    with pytest.raises(Exception, match="11 refused messages"):
-        run(spark, tmp_path, max_broken=10)
+    put(tmp_path / "topic", "c", [message(2)])
+    for _ in range(2):
+        with pytest.raises(Exception, match="11 refused messages"):
+            run(spark, tmp_path, max_broken=10)
+        # Nothing of that batch is seen, neither its good row nor the refused ones.
+        assert files.read_events(spark, str(tmp_path / "table")).count() == 1 and len(refused(spark, tmp_path)) == 10
+    assert run(spark, tmp_path, max_broken=11).count() == 2 and len(refused(spark, tmp_path)) == 21
 
 
 def test_defaults_and_odd_messages(spark, tmp_path):
@@ -85,7 +161,7 @@ def test_record_stream_checks_records(spark, tmp_path):
     put(tmp_path / "topic", "a", lines)
     rows = run(spark, tmp_path, shape="records").collect()
     assert len(rows) == 1 and rows[0].user_id == 5 and rows[0].attr_lang == "ru" and rows[0].record_type == "SYSTEM"
-    errors = {r["error"] for r in spark.read.parquet(str(tmp_path / "refused")).collect()}
+    errors = {r["error"] for r in refused(spark, tmp_path)}
     assert errors == {"broken message", "user_id required in attrs"}
 
 

@@ -28,12 +28,12 @@ def with_type_entry(attrs: Column, activity: Column) -> Column:
 
 
 def to_event_rows(records: DataFrame, as_of=None, catalogue: Catalogue = SERVICE,
-                  canonical_flags: bool = False) -> DataFrame:
+                  canonical_flags: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """Records as rows of the event table.
 
     Missing times become ``as_of``; ids missing from the attributes become 0;
     an event id that is no UUID is replaced. ``canonical_flags`` also rewrites
-    true/false of flag attributes to '1'/'0'.
+    true/false of flag attributes to '1'/'0'. ``keep`` names columns to pass on.
     """
     now = as_instant(as_of)
     empty = F.create_map().cast("map<string,string>")
@@ -49,6 +49,7 @@ def to_event_rows(records: DataFrame, as_of=None, catalogue: Catalogue = SERVICE
         parse_activity_type(F.col("activityType"), catalogue).alias("_activity"),
         F.col("eventId").alias("_id"),
         attrs.alias("attrs"),
+        *keep,
     )
     known = F.coalesce(F.col("_activity"), parse_activity_type(F.col("attrs")["type"], catalogue))
     typed = staged.withColumns({
@@ -62,6 +63,7 @@ def to_event_rows(records: DataFrame, as_of=None, catalogue: Catalogue = SERVICE
         long_or_zero(F.col("attrs")["chat_id"]).alias("chat_id"),
         long_or_zero(F.col("attrs")["message_id"]).alias("message_id"),
         "attrs",
+        *keep,
     )
 
 

@@ -9,6 +9,7 @@ from tidelog.operators.prepare import dedup_stream
 from tidelog.registered.base import EVENTS_SQL, RECORDS_SQL, attrs_text, register
 from tidelog.session import scratch_path
 from tidelog.sources import files
+from tidelog.sources.store import EventStore
 from tidelog.sources.tables import SOURCE_SCHEMA, adapt, event_table, raw_records, source_events, uuid_of
 from tidelog.streaming import ingest
 
@@ -28,11 +29,11 @@ def _topic(spark, sf_dir):
 
 
 def _ingested(spark, sf_dir, shape="rows", source=_topic, **options):
-    """Paths of the table and of the refused messages after one ingest run."""
-    table, refused = scratch_path(spark, "table"), scratch_path(spark, "refused")
+    """The event store after one ingest run."""
+    root = scratch_path(spark, "table")
     raw = ingest.read_stream(spark, "text", path=source(spark, sf_dir))
-    ingest.finish(ingest.start_ingest(raw, table, scratch_path(spark, "checkpoint"), shape, refused, **options))
-    return table, refused
+    ingest.finish(ingest.start_ingest(raw, root, scratch_path(spark, "checkpoint"), shape, **options))
+    return EventStore(spark, root)
 
 
 @register("stream_rows_to_table", EVENTS_SQL + """
@@ -40,18 +41,21 @@ SELECT printf('00000000-0000-7000-8000-%012x', event_id) AS event_id, event_time
   user_id, chat_id, message_id, attrs_text, lang AS attr_lang, CAST(event_time AS DATE) AS event_date
 FROM evt WHERE k NOT IN (23, 29)""")
 def stream_rows_to_table(spark, sf_dir):
-    table, _ = _ingested(spark, sf_dir)
-    return files.read_events(spark, table).select(
+    return _ingested(spark, sf_dir).read().select(
         "event_id", "event_time", "ingest_time", "record_type", "user_id", "chat_id", "message_id",
         attrs_text().alias("attrs_text"), "attr_lang", "event_date")
 
 
 @register("stream_broken_messages", """
-SELECT CASE k WHEN 23 THEN 'broken message' ELSE 'event_id is not a UUID' END AS error, count(*) AS count
-FROM ev WHERE k IN (23, 29) GROUP BY 1""")
+SELECT CASE k WHEN 23 THEN 'broken message' ELSE 'event_id is not a UUID' END AS error,
+  CASE k WHEN 23 THEN '{"event_time":"' || strftime(event_time, '%Y-%m-%d %H:%M:%S') || '","ing'
+    ELSE user_id || '/' || chat_id || '/' || record_type END AS seen, count(*) AS count
+FROM ev WHERE k IN (23, 29) GROUP BY 1, 2""")
 def stream_broken_messages(spark, sf_dir):
-    _, refused = _ingested(spark, sf_dir)
-    return spark.read.parquet(refused).groupBy("error").agg(F.count("*").alias("count"))
+    # A cut message comes back as it was, one with a bad id as what was read of it.
+    parts = [F.get_json_object("value", f"$.{n}") for n in ("user_id", "chat_id", "record_type")]
+    seen = F.when(F.col("error") == ingest.BROKEN_MESSAGE, F.col("value")).otherwise(F.concat_ws("/", *parts))
+    return _ingested(spark, sf_dir).refused().groupBy("error", seen.alias("seen")).agg(F.count("*").alias("count"))
 
 
 @register("stream_records_to_table", RECORDS_SQL + """
@@ -64,8 +68,8 @@ def stream_records_to_table(spark, sf_dir):
         raw_records(spark, sf_dir).select(F.to_json(F.struct("*")).alias("value")).write.text(path)
         return path
 
-    table, _ = _ingested(spark, sf_dir, "records", lines)
-    return files.read_events(spark, table).groupBy("event_date", "record_type").agg(F.count("*").alias("count"))
+    table = _ingested(spark, sf_dir, "records", lines).read(["record_type"])
+    return table.groupBy("event_date", "record_type").agg(F.count("*").alias("count"))
 
 
 def _event_stream(spark, sf_dir):

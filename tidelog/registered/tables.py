@@ -8,12 +8,15 @@ from tidelog.operators import search, validate
 from tidelog.operators.aggregate import group_attr
 from tidelog.operators.filters import time_range
 from tidelog.plans.scenarios import type_mix
-from tidelog.registered.base import RECORDS_SQL, attrs_text, register
+from tidelog.registered.base import RECORDS_SQL, attrs_text, flat, register
 from tidelog.session import scratch_path
 from tidelog.sources import files, layout
 from tidelog.sources.generate import generate_legacy
+from tidelog.sources.store import EventStore
 from tidelog.sources.tables import event_table, raw_records, source_events
 
+_COLUMNS = "event_time, ingest_time, record_type, event_id, user_id, chat_id, message_id, attrs_text"
+
 
 def _stored(spark, sf_dir, label, **options):
     """A freshly written base layout of the event table."""
@@ -52,15 +55,21 @@ def type_layout(spark, sf_dir):
     return wanted.select("event_id", "event_time", F.col("attrs")["amount_cents"].alias("amount_cents"))
 
 
-@register("layout_appends", "SELECT event_id, event_time, 2 AS layouts, 2 AS copies FROM ev")
+@register("layout_appends", """
+SELECT event_id, event_time, user_id, record_type, attrs_text, CAST(event_time AS DATE) AS event_date, layout, 1 AS copies
+FROM evt, (SELECT unnest(['by_user', 'by_type']) AS layout)""")
 def layout_appends(spark, sf_dir):
-    """Three appends to both layouts: each holds every event once."""
+    """Three batches, one of them sent twice, and one that failed before its commit: each layout holds every event once."""
     events, root = event_table(spark, sf_dir), scratch_path(spark, "layouts")
-    for part in range(3):
-        paths = layout.write_layouts(events.filter(F.col("event_id") % 3 == part), root)
-    both = [spark.read.parquet(path).withColumn("layout", F.lit(name)) for name, path in paths.items()]
-    return both[0].unionByName(both[1]).groupBy("event_id", "event_time").agg(
-        F.count_distinct("layout").cast("int").alias("layouts"), F.count("*").cast("int").alias("copies"))
+    store = EventStore(spark, root)
+    for part in (0, 1, 1, 2):
+        store.append(events.filter(F.col("event_id") % 3 == part), f"part-{part}")
+    # What a failed batch leaves: files without a commit.
+    store.placed(events).write.partitionBy("layout", "event_date").parquet(f"{root}/data/batch=failed")
+    both = [store.read(filters).withColumn("layout", F.lit(name)) for name, filters in (
+        ("by_user", ["user_id"]), ("by_type", ["record_type"]))]
+    columns = ["event_id", "event_time", "user_id", "record_type", "attrs_text", "event_date", "layout"]
+    return flat(both[0].unionByName(both[1])).groupBy(*columns).agg(F.count("*").cast("int").alias("copies"))
 
 
 @register("search_stored", """
@@ -130,22 +139,26 @@ def row_count(spark, sf_dir):
 @register("save_batch", RECORDS_SQL + """
 SELECT CASE WHEN error IS NOT NULL THEN 'refused' WHEN activity = 'REGISTRATION' THEN 'SYSTEM'
     WHEN activity = 'PURCHASE_COMPLETED' THEN 'PURCHASE' WHEN activity = 'MODERATION_FLAG' THEN 'MODERATION'
-    ELSE 'MESSAGE' END AS kind, count(*) AS count FROM checked GROUP BY 1""")
+    ELSE 'MESSAGE' END AS kind, error, CASE WHEN error IS NULL THEN user_number END AS user_id,
+  CASE WHEN error IS NULL THEN event_time END AS event_time, count(*) AS count FROM checked GROUP BY ALL""")
 def save_batch(spark, sf_dir):
-    path, refused = scratch_path(spark, "batch"), scratch_path(spark, "refused")
-    files.save_batch(raw_records(spark, sf_dir), path, quarantine=refused)
-    saved = files.read_events(spark, path).select(F.col("record_type").alias("kind"))
-    rejected = spark.read.parquet(refused).select(F.lit("refused").alias("kind"))
-    return saved.unionByName(rejected).groupBy("kind").agg(F.count("*").alias("count"))
+    root = scratch_path(spark, "batch")
+    files.save_batch(raw_records(spark, sf_dir), root)
+    store = EventStore(spark, root)
+    saved = store.read().select(F.col("record_type").alias("kind"), F.lit(None).cast("string").alias("error"), "user_id", "event_time")
+    rejected = store.refused().select(F.lit("refused").alias("kind"), "error", F.lit(None).cast("bigint").alias("user_id"),
+                                      F.lit(None).cast("timestamp").alias("event_time"))
+    return saved.unionByName(rejected).groupBy("kind", "error", "user_id", "event_time").agg(F.count("*").alias("count"))
 
 
-@register("bulk_insert", """
-SELECT CAST(event_time AS DATE) AS event_date, record_type, 2 * count(*) AS count FROM ev GROUP BY 1, 2""")
+@register("bulk_insert", f"""
+SELECT {_COLUMNS}, CAST(event_time AS DATE) AS event_date, lang AS attr_lang, 2 AS copies FROM evt""")
 def bulk_insert(spark, sf_dir):
-    path = scratch_path(spark, "bulk")
+    root = scratch_path(spark, "bulk")
     for _ in range(2):
-        files.bulk_insert(event_table(spark, sf_dir), path)
-    return files.read_events(spark, path).groupBy("event_date", "record_type").agg(F.count("*").alias("count"))
+        files.bulk_insert(event_table(spark, sf_dir), root)
+    columns = [c.strip() for c in _COLUMNS.split(",")] + ["event_date", "attr_lang"]
+    return flat(files.read_events(spark, root)).groupBy(*columns).agg(F.count("*").cast("int").alias("copies"))
 
 
 @register("json_rows_to_records", RECORDS_SQL + "SELECT event_id, error FROM checked")

@@ -11,12 +11,15 @@ from tidelog.session import prepare
 
 
 def read_events(spark: SparkSession, path: str, extra: list[T.StructField] | None = None) -> DataFrame:
-    """The stored event table.
+    """The stored event table: the committed rows of an event store, or a folder of files.
 
     The partition column and the hot columns are found in the files; pass
     ``extra`` to name them and skip schema discovery on a table of many files.
     """
-    prepare(spark)
+    from tidelog.sources.store import EventStore, is_store
+
+    if is_store(prepare(spark), path):
+        return EventStore(spark, path).read()
     if extra is not None:
         return spark.read.schema(T.StructType(EVENT_SCHEMA.fields + extra)).parquet(path)
     return spark.read.parquet(path)
@@ -49,34 +52,34 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType = LEGACY_EVENT
     return prepare(spark).read.schema(schema).option("header", True).csv(path)
 
 
-def save_batch(records: DataFrame, path: str, mode: str = "append", batch_size: int | None = None,
-               refuse: str = "quarantine", quarantine: str | None = None, as_of=None) -> None:
-    """Check records and append the good ones to the event table as they come.
+def save_batch(records: DataFrame, root: str, batch: str | None = None, batch_size: int | None = None,
+               refuse: str = "quarantine", max_refused: int | None = None, as_of=None) -> dict | None:
+    """Check records and append them to the event store at ``root`` as one batch: good ones to all layouts, the others as refused.
 
-    Rows of a day come together before the write, a large day in several tasks, so files are few whatever the
+    Records are checked once, in the pass that writes them. Rows of a day come together before the write, a large day in
+    several tasks, so files are few whatever the
     number of tasks. ``batch_size``, if given, caps the rows of a file. With ``refuse="failfast"`` one bad
-    record fails the whole batch and nothing is written, since the file
-    committer publishes output only when every task has succeeded.
+    record fails the whole batch and nothing is written.
     """
     from tidelog.operators.normalize import to_event_rows
-    from tidelog.operators.validate import split_valid
-    from tidelog.sources.layout import add_hot_columns, with_event_date
+    from tidelog.operators.validate import ERROR, split_valid, validate
+    from tidelog.sources.store import EventStore
 
-    good, bad = split_valid(records, mode=refuse)
-    rows = with_event_date(add_hot_columns(to_event_rows(good, as_of)))
-    writer = rows.hint("rebalance", "event_date").write.mode(mode).partitionBy("event_date")
-    if batch_size:
-        writer = writer.option("maxRecordsPerFile", batch_size)
-    writer.parquet(path)
-    if quarantine and refuse == "quarantine":
-        bad.write.mode(mode).parquet(quarantine)
+    if refuse == "failfast":
+        rows = to_event_rows(split_valid(records, mode=refuse)[0], as_of)
+    elif refuse == "quarantine":
+        checked = validate(records).withColumn("value", F.to_json(F.struct(*records.columns)))
+        rows = to_event_rows(checked, as_of, keep=("value", ERROR))
+    else:
+        raise ValueError(f"unknown mode: {refuse}")
+    return EventStore(records.sparkSession, root).append(rows, batch, max_refused, rows_per_file=batch_size)
 
 
-def bulk_insert(rows: DataFrame, path: str) -> None:
-    """Append finished event rows to the table; rows of a day come together, a large day in several tasks."""
-    from tidelog.sources.layout import add_hot_columns, with_event_date
+def bulk_insert(rows: DataFrame, root: str, batch: str | None = None) -> dict | None:
+    """Append finished event rows to all layouts of the event store at ``root``."""
+    from tidelog.sources.store import EventStore
 
-    with_event_date(add_hot_columns(rows)).hint("rebalance", "event_date").write.mode("append").partitionBy("event_date").parquet(path)
+    return EventStore(rows.sparkSession, root).append(rows, batch)
 
 
 def to_json_rows(df: DataFrame) -> DataFrame:

@@ -1,3 +1,5 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,3 +133,19 @@ def test_writers_bring_days_together(spark, tmp_path):
     days = stored.select("event_date").distinct().count()
     assert stored.count() == events.count()
     assert days <= len(stored.inputFiles()) <= 2 * days
+
+
+def test_stats_read_footers_only(spark, paths, tmp_path):
+    own = spark.newSession()
+    own.conf.set("spark.sql.sources.useV1SourceList", "avro,csv,json,kafka,orc,text")
+    own.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    plan = plan_of(layout.footer_count(own, [paths["by_user"]]))
+    assert "PushedAggregation: [COUNT(*)]" in plan
+    stats = layout.file_stats(spark, paths["by_user"]).first()
+    assert stats.rows == event_table(spark, SF_DIR).count()
+    sizes = [os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(paths["by_user"].removeprefix("file:"))
+             for f in names if f.endswith(".parquet")]
+    assert (stats.files, stats.bytes) == (len(sizes), sum(sizes)) and stats.bytes_per_row == sum(sizes) / stats.rows
+    (tmp_path / "empty").mkdir()
+    assert tuple(layout.file_stats(spark, str(tmp_path / "empty")).first()) == (0, 0, 0, 0.0)
+    assert [tuple(r)[:3] for r in layout.layout_stats(spark, {"none": []}).collect()] == [("none", 0, 0)]

@@ -112,17 +112,36 @@ def apply_hot_columns(spark, sf_dir):
         "errors": F.lit(len(done["errors"]))})
 
 
-@register("file_stats", "SELECT count(*) AS rows, true AS has_files, true AS has_bytes FROM events", events=False)
+def _read_whole(df):
+    """Rows, files and bytes as a plain read of the table finds them."""
+    files = df.groupBy("_metadata.file_path").agg(F.count("*").alias("n"), F.first("_metadata.file_size").alias("size"))
+    return files.agg(F.sum("n").alias("rows"), F.count("*").alias("files"), F.sum("size").alias("bytes"))
+
+
+@register("file_stats", """
+SELECT count(*) AS rows, true AS same_rows, true AS same_files, true AS same_bytes FROM events""", events=False)
 def file_stats(spark, sf_dir):
-    stats = layout.file_stats(spark, _stored(spark, sf_dir, "stats"))
-    return stats.select("rows", (F.col("files") > 0).alias("has_files"), (F.col("bytes") > 0).alias("has_bytes"))
+    """Listing and footers against a read of all rows."""
+    path = _stored(spark, sf_dir, "stats")
+    stats, read = layout.file_stats(spark, path), _read_whole(spark.read.parquet(path)).first()
+    return stats.select("rows", *[(F.col(n) == read[n]).alias(f"same_{n}") for n in ("rows", "files", "bytes")])
 
 
 @register("layout_stats", """
-SELECT unnest(['by_user', 'by_type']) AS layout, (SELECT count(*) FROM events) AS rows""", events=False)
+SELECT unnest(['by_user', 'by_type']) AS layout, 2 * (SELECT count(*) FROM events) AS rows, true AS same_files,
+  true AS same_bytes""", events=False)
 def layout_stats(spark, sf_dir):
-    paths = layout.write_layouts(event_table(spark, sf_dir), scratch_path(spark, "layout-stats"))
-    return layout.layout_stats(spark, paths).select("layout", "rows")
+    """Two committed batches in two layouts."""
+    store = EventStore(spark, scratch_path(spark, "layout-stats"))
+    for name in ("first", "second"):
+        store.append(event_table(spark, sf_dir), name)
+    out = None
+    for name in store.layouts:
+        read = _read_whole(spark.read.option("basePath", f"{store.root}/data").parquet(*store.paths(name))).first()
+        row = store.stats().filter(F.col("layout") == name).select(
+            "layout", "rows", *[(F.col(n) == read[n]).alias(f"same_{n}") for n in ("files", "bytes")])
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 @register("latest_rows", """

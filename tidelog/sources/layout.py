@@ -156,21 +156,43 @@ def apply_hot_columns(spark: SparkSession, path: str, target: str,
     return {"created": created, "skipped": skipped, "errors": errors, "path": target if created else path}
 
 
-def file_stats(spark: SparkSession, path: str) -> DataFrame:
-    """Files, rows and bytes of a table; reads file footers, not columns."""
-    files = spark.read.parquet(path).groupBy("_metadata.file_path").agg(
-        F.count("*").alias("n"), F.first("_metadata.file_size").alias("size"))
-    return files.agg(
-        F.count("*").alias("files"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
-        F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"),
-    ).withColumn("bytes_per_row", F.col("bytes") / F.greatest("rows", F.lit(1)))
-
-
-def layout_stats(spark: SparkSession, paths: Mapping[str, str]) -> DataFrame:
-    """``file_stats`` of several layouts, one row each."""
+def footer_rows(spark: SparkSession, paths: list[str]) -> int:
+    """Rows of Parquet files from their footers: the count is pushed to the scan, which gives one row per file.
+
+    Runs in a session of its own, since the push-down is a setting of the session.
+    """
+    own = spark.newSession()
+    sources = spark.conf.get("spark.sql.sources.useV1SourceList", "").split(",")
+    own.conf.set("spark.sql.sources.useV1SourceList", ",".join(s for s in sources if s.strip() not in ("parquet", "")))
+    own.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    return footer_count(own, paths).first()[0]
+
+
+def footer_count(own: SparkSession, paths: list[str]) -> DataFrame:
+    return own.read.option("recursiveFileLookup", "true").parquet(*paths).agg(F.count("*").alias("rows"))
+
+
+def file_stats(spark: SparkSession, *paths: str) -> DataFrame:
+    """Files, rows and bytes of a table in one or more folders.
+
+    Files and bytes come from the listing, rows from the footers; both are read by tasks, a row per file, and no row of the
+    table is. An empty or missing folder counts as no file.
+    """
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option(
+        "pathGlobFilter", "*.parquet").option("ignoreMissingFiles", "true")
+    found = listed.load(list(paths)).agg(F.count("*").alias("files"), F.sum("length").alias("bytes")).first() if paths else None
+    rows = footer_rows(spark, list(paths)) if found and found["files"] else 0
+    size = found["bytes"] or 0 if found else 0
+    return spark.createDataFrame(
+        [(found["files"] if found else 0, rows, size, size / max(rows, 1))], "files bigint, rows bigint, bytes bigint, bytes_per_row double")
+
+
+def layout_stats(spark: SparkSession, paths: Mapping[str, str | list[str]]) -> DataFrame:
+    """``file_stats`` of several layouts, one row each; a layout may lie in several folders."""
     out = None
     for name, path in paths.items():
-        stats = file_stats(spark, path).select(F.lit(name).alias("layout"), "*")
+        folders = [path] if isinstance(path, str) else path
+        stats = file_stats(spark, *folders).select(F.lit(name).alias("layout"), "*")
         out = stats if out is None else out.unionByName(stats)
     if out is None:
         raise ValueError("no layout given")

@@ -23,7 +23,9 @@ from pyspark.sql import types as T
 
 from tidelog.schema import EVENT_SCHEMA
 from tidelog.session import delete, prepare
-from tidelog.sources.layout import DEFAULT_HOT_COLUMNS, LAYOUTS, HotColumn, add_hot_columns, choose_layout, with_event_date
+from tidelog.sources.layout import (
+    DEFAULT_HOT_COLUMNS, LAYOUTS, HotColumn, add_hot_columns, choose_layout, layout_stats, with_event_date,
+)
 
 REFUSED = "refused"
 VALUE, ERROR = "value", "error"
@@ -137,12 +139,17 @@ class EventStore:
 
     # Reading
 
-    def _read(self, layout: str, schema: T.StructType) -> DataFrame | None:
+    def paths(self, layout: str) -> list[str]:
+        """Folders of the committed batches of a layout."""
         paths = []
         for batch in self.batches():
             fs, path = self._fs(f"{self.root}/data/batch={batch}/layout={layout}")
             if fs.exists(path):
                 paths.append(path.toString())
+        return paths
+
+    def _read(self, layout: str, schema: T.StructType) -> DataFrame | None:
+        paths = self.paths(layout)
         if not paths:
             return None
         return self.spark.read.option("basePath", f"{self.root}/data").schema(schema).parquet(*paths)
@@ -169,6 +176,10 @@ class EventStore:
         table = self._read(choose_layout(filters, self.layouts), schema)
         return self.spark.createDataFrame([], schema) if table is None else table.select(*schema.names)
 
+    def stats(self) -> DataFrame:
+        """Files, rows and bytes of each layout, committed batches only."""
+        return layout_stats(self.spark, {n: self.paths(n) for n in self.layouts})
+
     def refused(self) -> DataFrame:
         """Text and reason of refused messages."""
         table = self._read(REFUSED, T.StructType(_REFUSED_FIELDS))

@@ -186,9 +186,22 @@ def test_dedup_of_a_hot_record(spark):
     assert first.count() == copies.select("user_id").distinct().count()
     assert first.filter("user_id = 1").first()["event_id"] == 0
     assert prepare.dedup(copies, "last").filter("user_id = 1").first()["event_id"] == 29_997
-    # Copies are reduced before the shuffle: there is an aggregate on both sides of it.
+    # Whole rows pass a semi-join only.
     plan = first._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Aggregate(") >= 2 and "Window" not in plan
+    assert "LeftSemi" in plan and "Aggregate" not in plan and "Window" not in plan
+
+
+def test_dedup_of_nulls_and_equal_ids(spark):
+    rows = [(1, "a", 5, "x"), (1, "a", 5, "x"), (1, "a", 6, "y"), (None, "a", 2, "n"), (None, "a", 1, "m"), (None, "a", None, "o"),
+            (3, None, None, "p"), (3, None, None, "q"), (4, "z", None, "r"), (4, "z", 9, "s")]
+    frame = spark.createDataFrame(rows, "k int, t string, event_id int, v string")
+    for keep, want in (("first", {(1, "a", 5, "x"), (None, "a", 1, "m"), (4, "z", 9, "s")}),
+                       ("last", {(1, "a", 6, "y"), (None, "a", 2, "n"), (4, "z", 9, "s")})):
+        got = [tuple(r) for r in prepare.dedup(frame, keep, ("k", "t")).collect()]
+        assert len(got) == 4 and want < set(got) and {r[3] for r in got if r[0] == 3} <= {"p", "q"}
+    assert prepare.dedup(frame.limit(0), keys=("k",)).collect() == []
+    with pytest.raises(ValueError):
+        prepare.dedup(frame, "any", ("k",))
 
 
 def paged(rows, column, ascending):

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidelog.operators import aggregate
+from tidelog.operators import aggregate, sketches
 from tidelog.plans import scenarios
 from tidelog.registered.base import AS_OF, FROM, TO, register
+from tidelog.session import scratch_path
 from tidelog.sources.layout import add_hot_columns
 from tidelog.sources.tables import event_table, source_events
 
@@ -171,6 +172,53 @@ def top_chat(spark, sf_dir):
     return aggregate.top_values(event_table(spark, sf_dir), "chat_id")
 
 
+@register("top_users_sketched", """
+SELECT user_id, count(*) AS count FROM ev GROUP BY user_id ORDER BY count DESC, user_id LIMIT 25""")
+def top_users_sketched(spark, sf_dir):
+    """From stored sketches per day."""
+    events, path = event_table(spark, sf_dir), scratch_path(spark, "frequent")
+    sketches.frequent_rollup(events, "user_id").write.partitionBy("event_date").parquet(path)
+    return sketches.heavy_hitters(events, "user_id", 25, spark.read.parquet(path))
+
+
+@register("top_parts_sketched", """
+SELECT l_partkey, count(*) AS count FROM lineitem GROUP BY l_partkey ORDER BY count DESC, l_partkey LIMIT 40""", events=False)
+def top_parts_sketched(spark, sf_dir):
+    """Many values of about the same frequency: the sketch proves nothing, all are counted."""
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return sketches.heavy_hitters(items, "l_partkey", 40, tracked=500)
+
+
+_ROLLED = """
+, wanted AS (SELECT * FROM ev WHERE {where})
+SELECT lang, count(*) AS count, count(DISTINCT user_id) AS exact_users, true AS close FROM wanted GROUP BY lang"""
+
+
+def _rolled(spark, sf_dir, start, end):
+    """Users per language of a range from the stored hourly rollup, next to the exact number."""
+    events, path = event_table(spark, sf_dir), scratch_path(spark, "rollup")
+    lang = {"lang": F.coalesce(F.col("attrs")["lang"], F.lit(""))}
+    sketches.user_rollup(events, lang).write.partitionBy("event_date").parquet(path)
+    low, high = F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")
+    rolled = sketches.users_in_range(spark.read.parquet(path), low, high, ["lang"], events, lang)
+    exact = events.filter((F.col("event_time") >= low) & (F.col("event_time") < high)).groupBy(lang["lang"].alias("lang")).agg(
+        F.count_distinct("user_id").alias("exact_users"))
+    off = F.abs(F.col("users") - F.col("exact_users"))
+    return rolled.join(exact, "lang").select(
+        "lang", "count", "exact_users", (off <= F.greatest(F.lit(1.0), 4 * sketches.STANDARD_ERROR * F.col("exact_users"))).alias("close"))
+
+
+@register("rollup_users_days", _ROLLED.format(where="event_time >= TIMESTAMP '2024-01-05' AND event_time < TIMESTAMP '2024-01-20'"))
+def rollup_users_days(spark, sf_dir):
+    return _rolled(spark, sf_dir, "2024-01-05", "2024-01-20")
+
+
+@register("rollup_users_cut_hours", _ROLLED.format(
+    where="event_time >= TIMESTAMP '2024-01-03 10:20:30' AND event_time < TIMESTAMP '2024-01-28 07:45:01'"))
+def rollup_users_cut_hours(spark, sf_dir):
+    return _rolled(spark, sf_dir, "2024-01-03 10:20:30", "2024-01-28 07:45:01")
+
+
 @register("group_by_hour_attribute", """
 SELECT date_trunc('hour', event_time) AS key, count(*) AS count FROM ev GROUP BY key""")
 def group_by_hour_attribute(spark, sf_dir):

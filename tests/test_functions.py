@@ -109,3 +109,31 @@ def test_bucket_names(spark):
     for name, expected in (("hour", dt.datetime(2026, 3, 21, 10)), ("SECOND", dt.datetime(2026, 3, 21, 10, 11, 12)),
                            (None, dt.datetime(2026, 3, 21, 10, 11)), ("week", dt.datetime(2026, 3, 21, 10, 11))):
         assert one(spark, fn.bucket_start(at, name).cast("timestamp_ntz"), "") == expected
+
+
+def test_parsed_documents_read_like_text(spark, tmp_path):
+    from tidelog.functions import json_text
+    from tidelog.operators import search
+
+    documents = ['{"a": {"b": "x", "n": 7}, "s": "42", "big": 99999999999999999999}', '{"a": {"b": 5}, "s": 42.0, "n": 1e3}',
+                 '{"a": "x"}', '{"a": [1, 2], "s": null}', "[1]", '"x"', "{broken", "", None, '{"s": 43, "s": 44}', '{"s": " 45 "}',
+                 '{"s": true, "a": {"b": ""}}', '{"s": -8}']
+    rows = [(i, d) for i, d in enumerate(documents)]
+    plain = spark.createDataFrame(rows, "event_id int, message string").withColumn("created_at", F.timestamp_seconds("event_id"))
+    path = str(tmp_path / "parsed")
+    json_text.with_parsed(plain).write.parquet(path)
+    stored = spark.read.parquet(path)
+    for field in ("a.b", "a", "s", "a.n", "missing"):
+        for value in ("x", "", "42", None):
+            ids = [[r.event_id for r in search.search_json(t, field, value).collect()] for t in (stored.drop("message"), plain)]
+            assert ids[0] == ids[1], (field, value)
+    # A document with a repeated key is not parsed, so it has no number either; its text form gives the first.
+    assert 9 not in [r.event_id for r in search.search_json_int(stored, "s", 43).collect()]
+    stored, plain = stored.filter("event_id <> 9"), plain.filter("event_id <> 9")
+    for field in ("s", "a.n", "big", "n", "missing"):
+        for least in (-10, 1, 40):
+            found = [[(r.event_id, r.found) for r in search.search_json_int(t, field, least).collect()] for t in (stored.drop("message"), plain)]
+            assert found[0] == found[1], (field, least)
+    plan = search.search_json(stored, "a.b", "x")._jdf.queryExecution().optimizedPlan().toString()
+    assert "parse_json" not in plan and "get_json" not in plan and "from_json" not in plan
+    assert "parse_json" in search.search_json(plain, "a.b", "x")._jdf.queryExecution().optimizedPlan().toString()

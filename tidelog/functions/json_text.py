@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.functions.numbers import long_or_zero
@@ -35,13 +35,42 @@ def _variant_path(path: str) -> str:
     return "$" + "".join(f"['{s}']" for s in check_path(path))
 
 
-def json_string(document: Column, path: str) -> Column:
-    """Text at ``path``; '' if it is missing, not a string, or the document is malformed."""
-    found = F.try_variant_get(F.try_parse_json(document), _variant_path(path), "variant")
+# Name of a stored, parsed form of the message column.
+PARSED = "message_parsed"
+
+
+def with_parsed(df: DataFrame, document: str = "message") -> DataFrame:
+    """``df`` with its documents parsed once, as a VARIANT column to be stored.
+
+    It is null where a document is malformed or repeats a key, which then reads as if nothing were in it.
+    """
+    return df.withColumn(PARSED, F.try_parse_json(document))
+
+
+def document_of(df: DataFrame, document: str = "message") -> Column:
+    """The stored parsed documents if the table has them, else its text, parsed when read."""
+    return F.col(PARSED) if PARSED in df.columns else F.try_parse_json(document)
+
+
+def variant_string(document: Column, path: str) -> Column:
+    """Text at ``path`` of a parsed document; '' if it is missing, not a string, or the document is null."""
+    found = F.try_variant_get(document, _variant_path(path), "variant")
     is_text = F.schema_of_variant(found) == "STRING"
     return F.coalesce(F.when(is_text, F.try_variant_get(found, "$", "string")), F.lit(""))
 
 
+def variant_int(document: Column, path: str) -> Column:
+    """Whole number at ``path`` of a parsed document, also as text; 0 if it is missing or not one."""
+    found = F.try_variant_get(document, _variant_path(path), "variant")
+    whole = F.schema_of_variant(found).isin("BIGINT", "STRING")
+    return long_or_zero(F.when(whole, F.try_variant_get(found, "$", "string")))
+
+
+def json_string(document: Column, path: str) -> Column:
+    """Text at ``path``; '' if it is missing, not a string, or the document is malformed."""
+    return variant_string(F.try_parse_json(document), path)
+
+
 def json_int(document: Column, path: str) -> Column:
     """Whole number at ``path``; 0 if it is missing or not one."""
     return long_or_zero(F.get_json_object(document, _variant_path(path)))

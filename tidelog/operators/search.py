@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.functions.json_text import json_int, json_string
+from tidelog.functions.json_text import PARSED, document_of, json_int, variant_int, variant_string
 from tidelog.operators.filters import first_rows, newest_first, order, search_predicates
 from tidelog.operators.pages import RankIndex
 
@@ -57,14 +57,15 @@ def latest(df: DataFrame, limit: int | None = 5, time: str = "event_time") -> Da
 
 
 def search_json(df: DataFrame, path: str, value: str, limit: int | None = 100) -> DataFrame:
-    """Older JSON events whose text at ``path`` equals ``value``, newest first."""
-    matched = df.filter(json_string(F.col("message"), path) == ("" if value is None else value))
+    """Older JSON events whose text at ``path`` equals ``value``, newest first; parsed messages are used where stored."""
+    matched = df.filter(variant_string(document_of(df), path) == ("" if value is None else value))
     return newest_first(matched, limit, time="created_at")
 
 
 def search_json_int(df: DataFrame, path: str, minimum: int, limit: int | None = 100) -> DataFrame:
     """Older JSON events with a whole number of at least ``minimum`` at ``path``, largest first."""
-    found = df.withColumn("found", json_int(F.col("message"), path)).filter(F.col("found") >= minimum)
+    number = variant_int(F.col(PARSED), path) if PARSED in df.columns else json_int(F.col("message"), path)
+    found = df.withColumn("found", number).filter(F.col("found") >= minimum)
     return first_rows(found.orderBy(F.col("found").desc(), F.col("event_id").desc()), limit)
 
 

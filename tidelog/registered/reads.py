@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidelog.functions.json_text import with_parsed
 from tidelog.operators import filters, search
 from tidelog.operators.pages import RankIndex, page_after
 from tidelog.plans.request import query_from_params
 from tidelog.registered.base import AS_OF, FROM, TO, flat, register
+from tidelog.session import scratch_path
 from tidelog.sources.tables import event_table, source_events
 
 _COLUMNS = ("event_time, ingest_time, record_type, event_id, user_id, chat_id, message_id, attrs_text")
@@ -119,6 +121,25 @@ def search_json_number(spark, sf_dir):
     return search.search_json_int(_legacy(spark, sf_dir), "score", 40, 500).select("event_id", "found")
 
 
+def _parsed(spark, sf_dir):
+    """The older events stored with their messages parsed."""
+    path = scratch_path(spark, "parsed")
+    with_parsed(_legacy(spark, sf_dir)).drop("message").write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@register("search_parsed_text", _LEGACY_SQL + """
+SELECT event_id, created_at FROM legacy WHERE user_id % 10 = 3 ORDER BY created_at DESC, event_id DESC LIMIT 200""")
+def search_parsed_text(spark, sf_dir):
+    return search.search_json(_parsed(spark, sf_dir), "sessionId", "sess-3", 200).select("event_id", "created_at")
+
+
+@register("search_parsed_number", _LEGACY_SQL + """
+SELECT event_id, score AS found FROM legacy WHERE score >= 40 ORDER BY score DESC, event_id DESC""")
+def search_parsed_number(spark, sf_dir):
+    return search.search_json_int(_parsed(spark, sf_dir), "score", 40, None).select("event_id", "found")
+
+
 @register("json_number_is_no_text", _LEGACY_SQL + """
 SELECT count(*) AS count FROM legacy WHERE score IS NULL""")
 def json_number_is_no_text(spark, sf_dir):

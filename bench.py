@@ -2,7 +2,7 @@
 
 BENCH_SF_DIR    tables to read (default /root/testdata/sf0.1)
 BENCH_CPUS      local cores (default 8)
-BENCH_ROWS      if set, also time a generated table of that many rows
+BENCH_ROWS      if set, also time a table of that many rows, copies of the events
 BENCH_REPEATS   timed runs per query after one warm-up (default 3, the median counts)
 """
 
@@ -19,15 +19,15 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from pyspark.sql import SparkSession, functions as F  # noqa: E402
 
-from tidelog.operators import aggregate, measure, search, validate  # noqa: E402
+from tidelog.operators import aggregate, measure, prepare, search, sketches, validate  # noqa: E402
 from tidelog.operators.filters import filter_attr  # noqa: E402
 from tidelog.operators.normalize import to_event_rows  # noqa: E402
+from tidelog.operators.pages import RankIndex  # noqa: E402
 from tidelog.plans import scenarios  # noqa: E402
 from tidelog.registered.aggregates import HEAVY_HOT  # noqa: E402
 from tidelog.registered.base import AS_OF, FROM, TO  # noqa: E402
 from tidelog.sources import files, layout  # noqa: E402
-from tidelog.sources.generate import generate_bulk, generate_events, row_ids  # noqa: E402
-from tidelog.sources.tables import adapt, source_events  # noqa: E402
+from tidelog.sources.tables import adapt, raw_records, source_events  # noqa: E402
 from tidelog.streaming import ingest  # noqa: E402
 
 
@@ -107,15 +107,15 @@ def main() -> None:
     for name, run in table_queries(tables["by_user"], tables["by_type"]).items():
         seconds[name] = timed(run, repeats)
 
+    seconds["page_deep"] = timed(lambda: files.run_noop(RankIndex.build(events, "user_id").page(events, rows // 2, 100)), repeats)
+    seconds["capacity_trim_greedy"] = timed(lambda: files.run_noop(prepare.capacity_trim(events, mode="greedy")), repeats)
+    seconds["dedup"] = timed(lambda: files.run_noop(prepare.dedup(events)), repeats)
+    seconds["heavy_hitters"] = timed(lambda: sketches.heavy_hitters(events, "user_id", 25).collect(), repeats)
     seconds["latency_by_kind"] = timed(
         lambda: measure.latency_summary(source, "event_type", "value").collect(), repeats)
 
-    # Records: generate, check and normalize, then the same through JSON and a stream.
-    ids = source.select("event_id").repartition(spark.sparkContext.defaultParallelism).cache()
-    ids.count()
-    made = generate_events(ids, as_of=AS_OF, id_column="event_id")
-    load("generate_records", rows, lambda path: files.run_noop(made))
-    records = made.cache()
+    # The events as incoming records, some of them refused: checks and normalization, then the same through JSON and a stream.
+    records = raw_records(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism).cache()
     records.count()
     load("validate_records", rows, lambda path: files.run_noop(validate.validate(records)))
     load("records_to_rows", rows, lambda path: files.run_noop(to_event_rows(records, AS_OF)))
@@ -136,8 +136,11 @@ def main() -> None:
         n = int(os.environ["BENCH_ROWS"])
         tasks = max(8, n // 500_000)
         big = {"rows": n}
-        load("big_bulk_insert", n, lambda path: files.bulk_insert(
-            generate_bulk(row_ids(spark, n, spark.sparkContext.defaultParallelism), as_of=AS_OF), path), warm=False)
+        # The events as often as needed, each copy for other users.
+        copies = -(-n // rows)
+        base = events.repartition(tasks).withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))).withColumn(
+            "user_id", F.col("user_id") + F.col("_copy") * 1_000_000).drop("_copy").limit(n)
+        load("big_bulk_insert", n, lambda path: files.bulk_insert(base, path), warm=False)
         base = files.read_events(spark, f"{work}/big_bulk_insert").drop("event_date")
         for name in layout.LAYOUTS:
             load(f"big_write_{name}", n, lambda path: layout.write_events(base, path, name, tasks=tasks), warm=False)

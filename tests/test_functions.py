@@ -135,5 +135,5 @@ def test_parsed_documents_read_like_text(spark, tmp_path):
             found = [[(r.event_id, r.found) for r in search.search_json_int(t, field, least).collect()] for t in (stored.drop("message"), plain)]
             assert found[0] == found[1], (field, least)
     plan = search.search_json(stored, "a.b", "x")._jdf.queryExecution().optimizedPlan().toString()
-    assert "parse_json" not in plan and "get_json" not in plan and "from_json" not in plan
-    assert "parse_json" in search.search_json(plain, "a.b", "x")._jdf.queryExecution().optimizedPlan().toString()
+    assert not any(name in plan.lower() for name in ("parsejson", "parse_json", "get_json", "from_json"))
+    assert "parsejson" in search.search_json(plain, "a.b", "x")._jdf.queryExecution().optimizedPlan().toString().lower()

@@ -44,12 +44,12 @@ def analytics(df: DataFrame, start=None, end=None, interval: str = "minute", lim
                         limit, per_second)
 
 
-def recent_buckets(df: DataFrame, days: int, interval: str, limit: int, as_of=None) -> DataFrame:
+def recent_buckets(df: DataFrame, days: int, interval: str, limit: int | None, as_of=None) -> DataFrame:
     """Counts by record type and hour or minute of the last days, newest first."""
     recent = last_days(df, days, as_of)
     counts = recent.groupBy("record_type", bucket_start(F.col("event_time"), interval).alias("bucket")).agg(
         F.count("*").alias("count"))
-    return counts.orderBy(F.col("bucket").desc(), "record_type").limit(limit)
+    return counts.orderBy(F.col("bucket").desc(), "record_type").transform(first_rows, limit)
 
 
 def group_attr(df: DataFrame, key: str, hot: bool = False) -> DataFrame:

@@ -95,12 +95,14 @@ def filter_ids(df: DataFrame, ids: Iterable | DataFrame, column: str = "event_id
     if isinstance(ids, DataFrame):
         listed = ids.select(F.col(ids.columns[0]).alias("_listed"))
         return df.join(listed, F.col(column) == F.col("_listed"), "left_semi")
-    read = int if df.schema[column].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint") else str
+    whole = df.schema[column].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
     values = []
     for i in ids:
+        if i is None or whole and isinstance(i, float) and not i.is_integer():
+            continue
         try:
-            values.append(read(i))
-        except ValueError:
+            values.append(int(i) if whole else str(i))
+        except (ValueError, OverflowError):
             continue
     return df.filter(F.col(column).isin(*values)) if values else df.filter(F.lit(False))
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidelog.operators.percentiles import exact_percentiles, null_safe_join
@@ -59,8 +59,37 @@ def trend(df: DataFrame, time: str = "ingest_time") -> DataFrame:
     Days carry the running total over, so the one window that is not
     partitioned sees a row per day only.
     """
-    minutes = df.groupBy(F.date_trunc("minute", time).alias("window_start")).agg(
-        F.count("*").alias("count")).withColumn("_day", F.to_date("window_start"))
+    return running_totals(df.groupBy(F.date_trunc("minute", time).alias("window_start")).agg(F.count("*").alias("count")))
+
+
+def trend_stream(df: DataFrame, path: str, checkpoint: str, time: str = "ingest_time", trigger: dict | None = None):
+    """``trend`` of a stream, as a started query; read the newest state with ``read_trend``.
+
+    The state keeps one count per minute, however many rows came; each micro-batch writes all totals anew to a folder of
+    its own, ``batch=<number>``, so that a replay writes the same again and readers never see half of one.
+    """
+    counts = df.groupBy(F.date_trunc("minute", time).alias("window_start")).agg(F.count("*").alias("count"))
+
+    def write(minutes: DataFrame, batch_id: int) -> None:
+        running_totals(minutes).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return counts.writeStream.outputMode("complete").foreachBatch(write).option(
+        "checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def read_trend(spark: SparkSession, path: str) -> DataFrame:
+    """The totals of the newest finished micro-batch."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    done = [str(f.getPath().getName()) for f in fs.listStatus(folder)
+            if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS"))]
+    newest = max(done, key=lambda name: int(name.removeprefix("batch=")))
+    return spark.read.parquet(f"{path}/{newest}")
+
+
+def running_totals(counts: DataFrame) -> DataFrame:
+    """Counts per minute with the total up to each."""
+    minutes = counts.withColumn("_day", F.to_date("window_start"))
     days = minutes.groupBy("_day").agg(F.sum("count").alias("_n")).withColumn("_all", F.lit(1))
     before = Window.partitionBy("_all").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
     carried = days.select("_day", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))

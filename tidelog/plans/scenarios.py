@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidelog.functions.attributes import attribute_equals, attribute_in, attribute_text
 from tidelog.operators.aggregate import distinct_count, time_buckets, top_then_chart
-from tidelog.operators.filters import last_days, time_range
+from tidelog.operators.filters import first_rows, last_days, time_range
 
 # Id, title and goal of each scenario.
 SCENARIOS = (
@@ -24,12 +24,12 @@ def scenarios(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(SCENARIOS, "id string, title string, goal string")
 
 
-def top_users(df: DataFrame, limit: int) -> DataFrame:
-    return df.groupBy("user_id", "record_type").agg(F.count("*").alias("events_count")).orderBy(
-        F.col("events_count").desc(), "user_id", "record_type").limit(limit)
+def top_users(df: DataFrame, limit: int | None) -> DataFrame:
+    return first_rows(df.groupBy("user_id", "record_type").agg(F.count("*").alias("events_count")).orderBy(
+        F.col("events_count").desc(), "user_id", "record_type"), limit)
 
 
-def flagged_users(df: DataFrame, limit: int, least: int = 3) -> DataFrame:
+def flagged_users(df: DataFrame, limit: int | None, least: int = 3) -> DataFrame:
     """Users with at least ``least`` moderation events and those events' share of all of theirs."""
     per_user = df.groupBy("user_id").agg(
         F.count_if(F.col("record_type") == "MODERATION").alias("flags_count"),
@@ -37,18 +37,18 @@ def flagged_users(df: DataFrame, limit: int, least: int = 3) -> DataFrame:
     ).filter(F.col("flags_count") >= least)
     ratio = F.bround(F.col("flags_count") / F.greatest(F.col("total_events"), F.lit(1)), 4)
     return per_user.withColumn("flags_ratio", ratio).orderBy(
-        F.col("flags_count").desc(), F.col("flags_ratio").desc(), "user_id").limit(limit)
+        F.col("flags_count").desc(), F.col("flags_ratio").desc(), "user_id").transform(first_rows, limit)
 
 
-def source_lang(df: DataFrame, limit: int) -> DataFrame:
+def source_lang(df: DataFrame, limit: int | None) -> DataFrame:
     return df.groupBy(
         attribute_text(df, "source").alias("source"), attribute_text(df, "lang").alias("lang"),
-    ).agg(F.count("*").alias("count")).orderBy(F.col("count").desc(), "source", "lang").limit(limit)
+    ).agg(F.count("*").alias("count")).orderBy(F.col("count").desc(), "source", "lang").transform(first_rows, limit)
 
 
-def type_mix(df: DataFrame, limit: int) -> DataFrame:
+def type_mix(df: DataFrame, limit: int | None) -> DataFrame:
     return df.groupBy("record_type").agg(F.count("*").alias("count")).orderBy(
-        F.col("count").desc(), "record_type").limit(limit)
+        F.col("count").desc(), "record_type").transform(first_rows, limit)
 
 
 _RUNNERS = {
@@ -59,7 +59,7 @@ _RUNNERS = {
 }
 
 
-def scenario(df: DataFrame, name: str | None = None, start=None, end=None, limit: int = 500,
+def scenario(df: DataFrame, name: str | None = None, start=None, end=None, limit: int | None = 500,
              as_of=None) -> DataFrame:
     """Run a scenario on a time range, by default the last 24 hours.
 
@@ -93,13 +93,13 @@ def heavy_registrations(df: DataFrame, days: int = 90, as_of=None) -> DataFrame:
     return recent.filter(attribute_in(recent, "org_hash", HEAVY_ORG_HASHES))
 
 
-def heavy_top_users(df: DataFrame, days: int = 90, as_of=None, top_n: int = 50, limit: int = 5000) -> DataFrame:
+def heavy_top_users(df: DataFrame, days: int = 90, as_of=None, top_n: int = 50, limit: int | None = 5000) -> DataFrame:
     """Hourly registrations of the users with most matching registrations."""
     chart = top_then_chart(df, lambda d: heavy_registrations(d, days, as_of), "USER_ID", top_n, "TIMESTAMP", limit)
     return chart.select(F.col("key").alias("user_id"), F.col("chart").alias("ts"), "events")
 
 
-def heavy_hour_lang(df: DataFrame, days: int = 30, as_of=None, exact: bool = False, limit: int = 25000) -> DataFrame:
+def heavy_hour_lang(df: DataFrame, days: int = 30, as_of=None, exact: bool = False, limit: int | None = 25000) -> DataFrame:
     recent = last_days(df, days, as_of)
     lang = F.coalesce(F.nullif(attribute_text(recent, "lang"), F.lit("")), F.lit("_"))
     return recent.groupBy(
@@ -108,21 +108,21 @@ def heavy_hour_lang(df: DataFrame, days: int = 30, as_of=None, exact: bool = Fal
         F.count("*").alias("count"),
         distinct_count(F.col("user_id"), exact).alias("users"),
         F.max(F.octet_length(attribute_text(recent, "payload"))).alias("max_payload"),
-    ).orderBy(F.col("count").desc(), "record_type", "hour", "lang").limit(limit)
+    ).orderBy(F.col("count").desc(), "record_type", "hour", "lang").transform(first_rows, limit)
 
 
-def heavy_user_buckets(df: DataFrame, days: int = 30, as_of=None, buckets: int = 256, limit: int = 60000) -> DataFrame:
+def heavy_user_buckets(df: DataFrame, days: int = 30, as_of=None, buckets: int = 256, limit: int | None = 60000) -> DataFrame:
     recent = last_days(df, days, as_of)
     return recent.groupBy(
         F.pmod("user_id", F.lit(buckets)).alias("bucket"), "record_type", F.to_date("event_time").alias("day"),
     ).agg(
         F.count("*").alias("count"),
         F.avg(F.octet_length(attribute_text(recent, "payload"))).alias("avg_payload"),
-    ).orderBy(F.col("count").desc(), "bucket", "record_type", "day").limit(limit)
+    ).orderBy(F.col("count").desc(), "bucket", "record_type", "day").transform(first_rows, limit)
 
 
-def heavy_two_level(df: DataFrame, days: int = 14, as_of=None, limit: int = 100000) -> DataFrame:
+def heavy_two_level(df: DataFrame, days: int = 14, as_of=None, limit: int | None = 100000) -> DataFrame:
     """Events per user and type, summed per type."""
     per_user = last_days(df, days, as_of).groupBy("record_type", "user_id").agg(F.count("*").alias("count"))
     return per_user.groupBy("record_type").agg(F.sum("count").alias("total")).orderBy(
-        F.col("total").desc(), "record_type").limit(limit)
+        F.col("total").desc(), "record_type").transform(first_rows, limit)

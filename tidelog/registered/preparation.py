@@ -64,20 +64,6 @@ def generate_simulator_events(spark, sf_dir):
     return _generated(spark, sf_dir, SIMULATOR)
 
 
-@register("generate_mix", f"""
-WITH g AS (SELECT event_id, {_draw("record_type", 100)} AS roll FROM events), t AS (
-  SELECT event_id, CASE WHEN roll < 45 THEN 'MESSAGE' WHEN roll < 65 THEN 'MODERATION' WHEN roll < 80 THEN 'PURCHASE'
-    WHEN roll < 92 THEN 'SYSTEM' ELSE 'OTHER' END AS record_type FROM g)
-SELECT record_type, {_draw("user_id", 49001)} + 1000 AS user_id, {_draw("message_id", 8000001)} + 1000000 AS message_id,
-  CASE WHEN record_type = 'SYSTEM' THEN 'system' ELSE {_pick("source", generate.MIX_SOURCES)} END AS source,
-  CASE record_type WHEN 'MESSAGE' THEN 7 + {_draw("tag", 5)} WHEN 'MODERATION' THEN 10 + 5 + {_draw("ctx", 11)}
-    WHEN 'PURCHASE' THEN 7 WHEN 'SYSTEM' THEN 3 ELSE 3 + 6 + {_draw("extra", 11)} END AS attrs FROM t""", events=False)
-def generate_mix(spark, sf_dir):
-    rows = generate.generate_mix(_ids(spark, sf_dir), SEED, as_of=AS_OF, id_column="event_id")
-    return rows.select("record_type", "user_id", "message_id", F.col("attrs")["source"].alias("source"),
-                       F.size("attrs").cast("bigint").alias("attrs"))
-
-
 @register("generate_bulk", f"""
 SELECT TIMESTAMP '2024-01-31 00:00:00' - to_seconds({_draw("event_time", 86400)}) AS event_time,
   {_pick("record_type", generate.BULK_TYPES)} AS record_type, {_draw("user_id", 500)} + 1 AS user_id,

@@ -21,13 +21,12 @@ def _kept(column="event_id"):
 
 
 @register("normalize_attrs", RECORDS_SQL + """
-SELECT event_id, concat_ws(';', 'amount_cents=' || amount_cents, 'chat_id=' || chat_id, 'gender=' || gender,
+SELECT event_id, CASE WHEN k <> 17 THEN concat_ws(';', 'amount_cents=' || amount_cents, 'chat_id=' || chat_id, 'gender=' || gender,
   'is_reply=' || is_reply, 'lang=' || lang, 'message_id=' || message_id, 'message_length=' || message_length,
   'moderation_score=' || moderation_score, 'session_id=' || session_id, 'type=' || attr_type,
-  'user_id=' || user_id) AS attrs_text FROM raw WHERE k <> 17""")
+  'user_id=' || user_id) END AS attrs_text FROM raw""")
 def normalize_attrs(spark, sf_dir):
-    records = raw_records(spark, sf_dir).filter(F.col("attrs").isNotNull())
-    return records.select(F.col("eventId").alias("event_id"),
+    return raw_records(spark, sf_dir).select(F.col("eventId").alias("event_id"),
                           attrs_text(fn.normalize_attrs(F.col("attrs"))).alias("attrs_text"))
 
 
@@ -106,12 +105,11 @@ def records_to_rows(spark, sf_dir):
 
 
 @register("canonical_flags", RECORDS_SQL + """
-SELECT CASE WHEN k % 3 = 0 THEN '1' ELSE '0' END AS is_reply, count(*) AS count FROM raw
-WHERE event_type = 'click' AND k <> 17 GROUP BY 1""")
+SELECT CASE WHEN event_type = 'click' AND k <> 17 THEN CASE WHEN k % 3 = 0 THEN '1' ELSE '0' END END AS is_reply,
+  count(*) AS count FROM raw GROUP BY 1""")
 def canonical_flags(spark, sf_dir):
     rows = normalize.to_event_rows(raw_records(spark, sf_dir), AS_OF, canonical_flags=True)
-    flag = F.col("attrs")["is_reply"]
-    return rows.filter(flag.isNotNull()).groupBy(flag.alias("is_reply")).agg(F.count("*").alias("count"))
+    return rows.groupBy(F.col("attrs")["is_reply"].alias("is_reply")).agg(F.count("*").alias("count"))
 
 
 @register("event_ids_and_times", """
@@ -250,12 +248,12 @@ def unknown_attributes(spark, sf_dir):
 
 
 @register("invalid_values", RECORDS_SQL + """
-SELECT event_id, concat_ws(';', CASE WHEN event_type = 'click' AND k = 15 THEN 'lang=xx' END,
+SELECT event_id, CASE WHEN k <> 17 THEN concat_ws(';', CASE WHEN event_type = 'click' AND k = 15 THEN 'lang=xx' END,
   CASE WHEN event_type = 'click' AND k = 13 THEN 'message_length=long' END,
-  CASE WHEN k % 4 = 0 THEN 'type=' || attr_type END, CASE WHEN k = 5 THEN 'user_id=u-5' END) AS wrong
-FROM raw WHERE k <> 17""")
+  CASE WHEN k % 4 = 0 THEN 'type=' || attr_type END, CASE WHEN k = 5 THEN 'user_id=u-5' END) END AS wrong
+FROM raw""")
 def invalid_values(spark, sf_dir):
-    records = raw_records(spark, sf_dir).filter(F.col("attrs").isNotNull())
+    records = raw_records(spark, sf_dir)
     wrong = validate.invalid_values(fn.normalize_attrs(F.col("attrs")))
     return records.select(F.col("eventId").alias("event_id"), attrs_text(wrong).alias("wrong"))
 

@@ -79,13 +79,14 @@ def _event_stream(spark, sf_dir):
 
 
 @register("stream_publish", """
-SELECT record_type, count(*) AS count FROM ev GROUP BY record_type""")
+SELECT event_id, user_id, record_type, event_time, lang FROM ev""")
 def stream_publish(spark, sf_dir):
     path = scratch_path(spark, "published")
     ingest.finish([ingest.publish_stream(
         _event_stream(spark, sf_dir), scratch_path(spark, "checkpoint"), "text", {"path": path})])
-    kind = F.get_json_object("value", "$.record_type").alias("record_type")
-    return spark.read.text(path).groupBy(kind).agg(F.count("*").alias("count"))
+    rows = ingest.parse(spark.read.text(path))
+    return rows.select(F.col("event_id").cast("bigint").alias("event_id"), "user_id", "record_type",
+                       F.col("event_time").cast("timestamp").alias("event_time"), F.coalesce(F.col("attrs")["lang"], F.lit("")).alias("lang"))
 
 
 @register("stream_dedup", """
@@ -98,14 +99,41 @@ def stream_dedup(spark, sf_dir):
     return spark.read.parquet(path).select("user_id", F.col("attrs")["type"].alias("type"), "event_time")
 
 
-@register("stream_rate_by_type", """
-SELECT date_trunc('minute', ingest_time) AS window_start, record_type, count(*) AS count,
-  count(*) / 60.0::DOUBLE AS rate FROM ev
-WHERE date_trunc('minute', ingest_time) + INTERVAL 1 MINUTE <= (SELECT max(ingest_time) FROM ev)
-GROUP BY 1, 2""")
-def stream_rate_by_type(spark, sf_dir):
-    # Append mode gives the windows that the watermark has closed.
-    rates = measure.ingest_rate(_event_stream(spark, sf_dir), by="record_type", watermark="0 seconds")
+def _closed_stream(spark, sf_dir):
+    """The events as a stream that one row a day later ends, so that the watermark passes every window of theirs."""
+    events = event_table(spark, sf_dir).select("ingest_time", "record_type")
+    last = events.agg((F.max("ingest_time") + F.expr("INTERVAL 1 DAY")).alias("ingest_time"), F.lit("END").alias("record_type"))
+    path = scratch_path(spark, "closed")
+    events.unionByName(last).write.parquet(path)
+    return spark.readStream.schema(events.schema).parquet(path)
+
+
+def _closed_windows(spark, rates):
     path = scratch_path(spark, "rates")
     ingest.finish([ingest.write_stream(rates, path, scratch_path(spark, "checkpoint"))])
     return spark.read.parquet(path)
+
+
+@register("stream_rate_by_type", """
+SELECT date_trunc('minute', ingest_time) AS window_start, record_type, count(*) AS count,
+  count(*) / 60.0::DOUBLE AS rate FROM ev GROUP BY 1, 2""")
+def stream_rate_by_type(spark, sf_dir):
+    return _closed_windows(spark, measure.ingest_rate(_closed_stream(spark, sf_dir), by="record_type", watermark="0 seconds"))
+
+
+@register("stream_increase", """
+SELECT minute - to_minutes(back) AS window_start, record_type, CAST(sum(n) AS BIGINT) AS count
+FROM (SELECT date_trunc('minute', ingest_time) AS minute, record_type, count(*) AS n FROM ev GROUP BY 1, 2),
+  (SELECT unnest([0, 1, 2, 3, 4]) AS back)
+GROUP BY 1, 2""")
+def stream_increase(spark, sf_dir):
+    return _closed_windows(spark, measure.increase(_closed_stream(spark, sf_dir), watermark="0 seconds"))
+
+
+@register("stream_trend", """
+SELECT minute AS window_start, count, CAST(sum(count) OVER (ORDER BY minute) AS BIGINT) AS total
+FROM (SELECT date_trunc('minute', ingest_time) AS minute, count(*) AS count FROM ev GROUP BY 1)""")
+def stream_trend(spark, sf_dir):
+    path = scratch_path(spark, "trend")
+    ingest.finish([measure.trend_stream(_event_stream(spark, sf_dir), path, scratch_path(spark, "checkpoint"))])
+    return measure.read_trend(spark, path)

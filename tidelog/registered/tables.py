@@ -11,9 +11,8 @@ from tidelog.plans.scenarios import type_mix
 from tidelog.registered.base import RECORDS_SQL, attrs_text, flat, register
 from tidelog.session import scratch_path
 from tidelog.sources import files, layout
-from tidelog.sources.generate import generate_legacy
 from tidelog.sources.store import EventStore
-from tidelog.sources.tables import event_table, raw_records, source_events
+from tidelog.sources.tables import event_table, raw_records, source_events, uuid_of
 
 _COLUMNS = "event_time, ingest_time, record_type, event_id, user_id, chat_id, message_id, attrs_text"
 
@@ -188,39 +187,45 @@ def json_rows_to_records(spark, sf_dir):
 
 
 def _legacy_events(spark, sf_dir):
-    return generate_legacy(source_events(spark, sf_dir).select("event_id"), 11, "2024-01-31 00:00:00", "event_id")
+    """The events in the flat shape of the older interface; only purchases have an amount."""
+    source = source_events(spark, sf_dir)
+    k = F.get_json_object("props", "$.k")
+    return source.select(
+        uuid_of(F.col("event_id")).alias("eventId"), F.col("event_type").alias("eventType"),
+        F.concat(F.lit("user \"é\" "), F.col("user_id").cast("string")).alias("userId"),
+        F.concat(F.lit("sess,"), k).alias("sessionId"), F.concat(F.lit("10.0.0."), k).alias("ipAddress"),
+        F.when(F.col("event_type") == "purchase", F.col("value")).alias("amount"), F.lit("replay").alias("source"),
+        F.col("event_id").alias("index"), F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"))
 
 
 _LEGACY = """
-SELECT count(*) AS count, count(DISTINCT event_id) AS ids, min(event_id) AS first_index, max(event_id) AS last_index,
-  9 AS fields FROM events"""
-
-
-def _shape(df):
-    return df.agg(F.count("*").alias("count"), F.count_distinct("eventId").alias("ids"),
-                  F.min("index").alias("first_index"), F.max("index").alias("last_index"),
-                  F.lit(len(df.columns)).alias("fields"))
+SELECT printf('00000000-0000-7000-8000-%012x', event_id) AS "eventId", event_type AS "eventType",
+  'user "é" ' || user_id AS "userId", 'sess,' || json_extract_string(props, '$.k') AS "sessionId",
+  '10.0.0.' || json_extract_string(props, '$.k') AS "ipAddress",
+  CASE WHEN event_type = 'purchase' THEN value END AS amount, 'replay' AS source, event_id AS "index",
+  strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS "timestamp" FROM events"""
 
 
 @register("ndjson_round_trip", _LEGACY, events=False)
 def ndjson_round_trip(spark, sf_dir):
     path = scratch_path(spark, "ndjson")
     files.write_ndjson(_legacy_events(spark, sf_dir), path)
-    return _shape(files.read_ndjson(spark, path))
+    return files.read_ndjson(spark, path)
 
 
 @register("csv_round_trip", _LEGACY, events=False)
 def csv_round_trip(spark, sf_dir):
     path = scratch_path(spark, "csv")
     files.write_csv(_legacy_events(spark, sf_dir), path)
-    return _shape(files.read_csv(spark, path))
+    return files.read_csv(spark, path)
 
 
-@register("replay_first_events", "SELECT least(count(*), 750) AS count FROM events", events=False)
+@register("replay_first_events", _LEGACY + " ORDER BY event_id LIMIT 750", events=False)
 def replay_first_events(spark, sf_dir):
+    """The first events of one sorted file, as a replay takes them."""
     path = scratch_path(spark, "replay")
-    files.write_ndjson(_legacy_events(spark, sf_dir), path)
-    return files.read_ndjson(spark, path, 750).agg(F.count("*").alias("count"))
+    files.write_ndjson(_legacy_events(spark, sf_dir).coalesce(1).sortWithinPartitions("index"), path)
+    return files.read_ndjson(spark, path, 750)
 
 
 @register("json_row_output", """
@@ -229,14 +234,20 @@ def json_row_output(spark, sf_dir):
     return files.to_json_rows(type_mix(event_table(spark, sf_dir), 500))
 
 
-@register("publish_messages", """
-SELECT record_type AS key, '{"event_time":"' || strftime(event_time, '%Y-%m-%d %H:%M:%S') || '","ingest_time":"'
+# Attributes in the order in which the adapter puts them.
+_ATTRS_JSON = "'{\"type\":\"' || type || '\"' || " + " || ".join(
+    f"""coalesce(',"{n}":"' || nullif({n}, '') || '"', '')""" for n in (
+        "lang", "source", "payload", "terminal_type", "user_active_status", "gender", "user_device_type", "org_hash",
+        "amount_cents", "moderation_score")) + " || '}'"
+
+
+@register("publish_messages", f"""
+SELECT record_type AS key, '{{"event_time":"' || strftime(event_time, '%Y-%m-%d %H:%M:%S') || '","ingest_time":"'
   || strftime(ingest_time, '%Y-%m-%d %H:%M:%S') || '","record_type":"' || record_type || '","event_id":"'
   || event_id || '","user_id":' || user_id || ',"chat_id":' || chat_id || ',"message_id":' || message_id
-  || ',"attrs":{"type":"PURCHASE_COMPLETED","amount_cents":"' || amount_cents || '"}}' AS value
-FROM ev WHERE record_type = 'PURCHASE'""")
+  || ',"attrs":' || {_ATTRS_JSON} || '}}' AS value FROM ev""")
 def publish_messages(spark, sf_dir):
-    return files.to_publish_frame(event_table(spark, sf_dir)).filter(F.col("key") == "PURCHASE")
+    return files.to_publish_frame(event_table(spark, sf_dir))
 
 
 @register("discard_output", "SELECT count(*) AS count FROM events", events=False)

@@ -149,3 +149,19 @@ def test_stats_read_footers_only(spark, paths, tmp_path):
     (tmp_path / "empty").mkdir()
     assert tuple(layout.file_stats(spark, str(tmp_path / "empty")).first()) == (0, 0, 0, 0.0)
     assert [tuple(r)[:3] for r in layout.layout_stats(spark, {"none": []}).collect()] == [("none", 0, 0)]
+
+
+def test_listed_ids_and_no_limit(spark):
+    from tidelog.operators import filters
+
+    table = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "event_id long, t string")
+    listed = [1.9, None, "2", 3.0, "x", float("nan"), float("inf"), 10**30]
+    got = filters.filter_ids(table, listed[:-1])
+    assert sorted(r[0] for r in got.collect()) == [2, 3]
+    assert [r[0] for r in filters.filter_ids(table, ["a", None, 5], "t").collect()] == [1]
+    events = event_table(spark, SF_DIR)
+    for name in ("top_users_by_volume", "flagged_users_spike", "attrs_source_lang_breakdown", "record_type_mix", None):
+        every = scenarios.scenario(events, name, "2024-01-01", "2024-01-31", None).count()
+        assert scenarios.scenario(events, name, "2024-01-01", "2024-01-31", every + 1).count() == every > 3
+    assert aggregate.recent_buckets(events, 30, "hour", None, AS_OF).count() > 40
+    assert scenarios.heavy_hour_lang(events, as_of=AS_OF, limit=None).count() > 0

@@ -189,3 +189,20 @@ def test_failfast_batch_writes_nothing(spark, tmp_path):
     with pytest.raises(Exception, match="eventTime required"):
         files.save_batch(mixed, str(tmp_path / "t"), refuse="failfast")
     assert files.read_events(spark, str(tmp_path / "t")).count() == 20
+
+
+def test_running_totals_over_restarts(spark, tmp_path):
+    def total(lines):
+        put(tmp_path / "topic", f"f{len(os.listdir(tmp_path / 'topic')) if (tmp_path / 'topic').exists() else 0}", lines)
+        good, _ = ingest.event_rows(ingest.read_stream(spark, "text", path=str(tmp_path / "topic")))
+        ingest.finish([measure.trend_stream(good, str(tmp_path / "trend"), str(tmp_path / "c"))])
+        return [(str(r.window_start), r["count"], r.total) for r in measure.read_trend(spark, str(tmp_path / "trend")).orderBy("window_start").collect()]
+
+    at = "2026-03-0{} 00:0{}:00".format
+    assert total([message(i, ingest_time=at(5, 1)) for i in range(3)] + ["{"]) == [(at(5, 1), 3, 3)]
+    # Later rows, of a new day, of a known minute, and of one before it.
+    assert total([message(1, ingest_time=at(6, 0)), message(2, ingest_time=at(5, 1)), message(3, ingest_time=at(5, 0))]) == [
+        (at(5, 0), 1, 1), (at(5, 1), 4, 5), (at(6, 0), 1, 6)]
+    # What a broken-off batch leaves is not read.
+    (tmp_path / "trend" / "batch=99").mkdir()
+    assert len(measure.read_trend(spark, str(tmp_path / "trend")).collect()) == 3

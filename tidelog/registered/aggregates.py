@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from tidelog.operators import aggregate, sketches
 from tidelog.plans import scenarios
-from tidelog.registered.base import AS_OF, FROM, TO, register
+from tidelog.registered.base import AS_OF, FROM, ORACLES, TO, register
 from tidelog.session import scratch_path
-from tidelog.sources.layout import add_hot_columns
+from tidelog.sources.layout import HotColumn, add_hot_columns, write_events
 from tidelog.sources.tables import event_table, source_events
 
 _IN_RANGE = "event_time >= TIMESTAMP '2024-01-01 00:00:00' AND event_time <= TIMESTAMP '2024-01-31 00:00:00'"
@@ -172,6 +172,15 @@ def top_chat(spark, sf_dir):
     return aggregate.top_values(event_table(spark, sf_dir), "chat_id")
 
 
+@register("heavy_top_users_stored", ORACLES["heavy_top_users"])
+def heavy_top_users_stored(spark, sf_dir):
+    """On a stored copy, sorted by type, with the asked attributes as columns."""
+    path = scratch_path(spark, "heavy")
+    hot = tuple(HotColumn("attr_" + k, k) for k in HEAVY_HOT)
+    write_events(event_table(spark, sf_dir), path, "by_type", hot=hot)
+    return scenarios.heavy_top_users(spark.read.parquet(path), as_of=AS_OF)
+
+
 @register("top_users_sketched", """
 SELECT user_id, count(*) AS count FROM ev GROUP BY user_id ORDER BY count DESC, user_id LIMIT 25""")
 def top_users_sketched(spark, sf_dir):

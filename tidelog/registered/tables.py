@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidelog.operators import search, validate
 from tidelog.operators.aggregate import group_attr
-from tidelog.operators.filters import time_range
+from tidelog.operators.filters import filter_attr, time_range
 from tidelog.plans.scenarios import type_mix
 from tidelog.registered.base import RECORDS_SQL, attrs_text, flat, register
 from tidelog.session import scratch_path
@@ -97,6 +97,29 @@ def hot_columns(spark, sf_dir):
         "event_id", "attr_lang", "attr_source", "payload_length")
 
 
+@register("filter_attribute_stored", """
+SELECT event_id, event_time, source FROM ev WHERE lang = 'ru'""")
+def filter_attribute_stored(spark, sf_dir):
+    table = files.read_events(spark, _stored(spark, sf_dir, "filtered"))
+    return filter_attr(table, "lang", "ru").select("event_id", "event_time", F.col("attr_source").alias("source"))
+
+
+@register("hot_columns_status", """
+SELECT unnest(['attr_lang', 'attr_source', 'attr_score', 'attr_gender']) AS name,
+  unnest(['lang', 'source', 'moderation_score', 'gender']) AS "sourceKey", unnest([true, true, false, false]) AS exists,
+  unnest([count(*) FILTER (lang <> ''), count(*) FILTER (source <> ''), count(*) FILTER (moderation_score <> ''),
+    count(*) FILTER (gender <> '')]) AS filled FROM ev""")
+def hot_columns_status(spark, sf_dir):
+    """Which columns a stored table has, and in how many rows their attribute is given."""
+    has = (layout.HotColumn("attr_lang", "lang"), layout.HotColumn("attr_source", "source"))
+    asked = (*has, layout.HotColumn("attr_score", "moderation_score", "int"), layout.HotColumn("attr_gender", "gender"))
+    table = files.read_events(spark, _stored(spark, sf_dir, "status", hot=has))
+    counts = table.agg(F.map_from_arrays(F.array(*[F.lit(c.name) for c in asked]), F.array(*[
+        F.count_if(F.coalesce(F.col("attrs")[c.source_key], F.lit("")) != "") for c in asked])).alias("m")).select(
+        F.explode("m").alias("name", "filled"))
+    return layout.hot_columns_status(table, asked).join(counts, "name").select("name", "sourceKey", "exists", "filled")
+
+
 @register("apply_hot_columns", """
 SELECT type AS value, count(*) AS count, 'attr_type' AS created, 'attr_lang' AS skipped, 1 AS errors
 FROM ev GROUP BY type""")

@@ -106,15 +106,12 @@ def type_share(df: DataFrame, window: str = "1 minute", by: str = "record_type",
     return counts.withColumn("share", F.col("count") / F.sum("count").over(whole))
 
 
-def error_rate(valid: DataFrame, refused: DataFrame, window: str = "1 minute",
-               time: str = "ingest_time", watermark: str | None = None) -> DataFrame:
-    """Refused records over all records, per window."""
-    tagged = valid.select(time, F.lit(0).alias("_bad")).unionByName(
-        refused.select(time, F.lit(1).alias("_bad")))
-    if tagged.isStreaming and watermark:
-        tagged = tagged.withWatermark(time, watermark)
-    counts = tagged.groupBy(F.window(time, window).alias("w")).agg(
-        F.sum("_bad").alias("failed"), F.count("*").alias("count"))
+def error_rate(checked: DataFrame, window: str = "1 minute", time: str = "ingest_time", error: str = "error",
+               watermark: str | None = None) -> DataFrame:
+    """Refused records over all records, per window; ``checked`` are records with an ``error`` where refused, checked once."""
+    rows = checked.withWatermark(time, watermark) if checked.isStreaming and watermark else checked
+    counts = rows.groupBy(F.window(time, window).alias("w")).agg(
+        F.count(F.col(error)).alias("failed"), F.count("*").alias("count"))
     # The guard acts on rates per second, as clamp_min(success + failure, 1e-9) does.
     seconds = float(seconds_of(window))
     rate = (F.col("failed") / seconds) / F.greatest(F.col("count") / seconds, F.lit(1e-9))

@@ -134,10 +134,11 @@ def _cutoffs(parts: DataFrame, budget: int) -> DataFrame:
 def _greedy(scratch: Scratch, parts: DataFrame, budget: int) -> DataFrame:
     """Rows kept when those that do not fit are skipped, in at most as many phases as the budget has binary digits.
 
-    What is carried per key is the budget left and the place reached. A phase starts with R bytes left. Rows of at most
-    R/2 bytes surely fit until they sum up to R/2, so their running sum alone tells what is left anywhere before; of the
-    larger ones, the first that fits ends the phase as well. Either event leaves at most R/2. So each phase is one running
-    sum over the parts and the newest event of each key, and the budget halves, whatever the order of sizes.
+    What is carried per key is the budget left and the place reached. A phase starts with R bytes left and takes L, half of
+    that, or the largest row still to come if that is less. Rows of at most L bytes surely fit while more than L is left, so
+    their running sum alone tells what is left anywhere before; of the larger ones, the first that fits ends the phase as
+    well. Either event leaves at most R/2. So each phase is one running sum over the parts and the newest event of each
+    key, and the budget halves at least, whatever the order of sizes.
     """
     state = None
     kept = None
@@ -148,9 +149,12 @@ def _greedy(scratch: Scratch, parts: DataFrame, budget: int) -> DataFrame:
             older = state["_at"].isNull() | (F.struct(rest["_time"].alias("t"), rest["_tie"].alias("i")) < state["_at"])
             rows = rest.join(state, rest["_key"].eqNullSafe(state["_key"]) & older & (rest["_size"] <= state["_left"])).select(
                 *[rest[c] for c in parts.columns], state["_left"])
-        small = 2 * F.col("_size") <= F.col("_left")
-        placed = scratch.put(_running(rows.withColumn("_sure", F.when(small, F.col("_size")).otherwise(0)), "_sure").withColumns({
-            "_small": small, "_event": F.when(small, 2 * F.col("_used") >= F.col("_left")).otherwise(
+        largest = rows.groupBy("_key").agg(F.max("_size").alias("_most"))
+        limited = null_safe_join(rows, largest, ["_key"]).withColumn(
+            "_limit", F.least("_most", F.floor(F.col("_left") / 2))).drop("_most")
+        small = F.col("_size") <= F.col("_limit")
+        placed = scratch.put(_running(limited.withColumn("_sure", F.when(small, F.col("_size")).otherwise(0)), "_sure").withColumns({
+            "_small": small, "_event": F.when(small, F.col("_used") + F.col("_limit") >= F.col("_left")).otherwise(
                 F.col("_size") <= F.col("_left") - F.col("_used"))}), f"placed-{phase}")
         if placed.isEmpty():
             break

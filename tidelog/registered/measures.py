@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidelog.operators import measure, validate
-from tidelog.operators.normalize import to_event_rows
-from tidelog.registered.base import AS_OF, RECORDS_SQL, register
+from tidelog.registered.base import RECORDS_SQL, register
 from tidelog.sources.tables import event_table, raw_records, source_events
 
 
@@ -53,10 +52,8 @@ SELECT date_trunc('hour', event_time) AS window_start, count(error) AS failed, c
   (count(error) / 3600.0::DOUBLE) / greatest(count(*) / 3600.0::DOUBLE, 1e-9) AS error_rate
 FROM checked GROUP BY 1""")
 def write_error_rate(spark, sf_dir):
-    good, bad = validate.split_valid(raw_records(spark, sf_dir))
-    valid = to_event_rows(good, AS_OF)
-    refused = bad.select(F.col("ingestTime").cast("timestamp").alias("ingest_time"))
-    return measure.error_rate(valid, refused, "1 hour")
+    checked = validate.validate(raw_records(spark, sf_dir))
+    return measure.error_rate(checked.withColumn("ingest_time", F.col("ingestTime").cast("timestamp")), "1 hour")
 
 
 def _latency_sql(source: str, group: str, rule: str, digits: bool = True) -> str:

@@ -196,11 +196,14 @@ def legacy_envelopes(spark, sf_dir):
 
 
 @register("top_attributes", """
-SELECT event_id, CASE WHEN type = 'REGISTRATION' THEN 5 ELSE len(string_split(attrs_text, ';')) END AS shown
-FROM evt""")
+SELECT event_id, CASE type WHEN 'REGISTRATION' THEN concat_ws(';', 'type=' || type, 'lang=' || lang,
+    'terminal_type=' || terminal_type, 'user_active_status=' || user_active_status, 'gender=' || gender)
+  ELSE concat_ws(';', 'type=' || type, 'lang=' || nullif(lang, ''), 'source=' || nullif(source, ''),
+    'payload=' || nullif(payload, ''), 'amount_cents=' || nullif(amount_cents, ''),
+    'moderation_score=' || nullif(moderation_score, '')) END AS shown FROM evt""")
 def top_attributes(spark, sf_dir):
-    return event_table(spark, sf_dir).select(
-        "event_id", F.size(fn.top_attributes(F.col("attrs"))).cast("bigint").alias("shown"))
+    entries = F.transform(fn.top_attributes(F.col("attrs")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return event_table(spark, sf_dir).select("event_id", F.array_join(entries, ";").alias("shown"))
 
 
 @register("simulator_api_rows", EVENTS_SQL + """

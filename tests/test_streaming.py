@@ -94,6 +94,19 @@ def test_store_reads_its_source_once(spark, tmp_path):
     assert store.append(ingest.classify(raw), "one") is None and reads.value == 21
 
 
+def test_empty_and_wholly_refused_batches(spark, tmp_path):
+    store = EventStore(spark, str(tmp_path / "store"))
+    nothing = {"rows": 0, "refused": 0, "layouts": ["by_user", "by_type"]}
+    assert store.append(spark.createDataFrame([], EVENT_SCHEMA), "empty") == nothing
+    assert store.append(spark.createDataFrame([], EVENT_SCHEMA), "empty") is None
+    put(tmp_path / "topic", "a", ["{", "["])
+    raw = spark.read.text(str(tmp_path / "topic"))
+    assert store.append(ingest.classify(raw.filter("value = 'x'")), "filtered") == nothing
+    assert store.append(ingest.classify(raw), "refused") == {**nothing, "refused": 2}
+    assert store.read().count() == 0 and store.refused().count() == 2 and len(store.batches()) == 3
+    assert [tuple(r)[1:3] for r in store.stats().collect()] == [(0, 0), (0, 0)]
+
+
 def test_store_sweeps_and_refuses_names(spark, tmp_path):
     store = EventStore(spark, str(tmp_path / "store"))
     assert store.read().count() == 0 and store.read().columns == store.schema().names and store.commits().count() == 0

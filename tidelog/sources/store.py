@@ -17,14 +17,14 @@ import re
 import uuid
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidelog.schema import EVENT_SCHEMA
 from tidelog.session import delete, prepare
 from tidelog.sources.layout import (
-    DEFAULT_HOT_COLUMNS, LAYOUTS, HotColumn, add_hot_columns, choose_layout, layout_stats, with_event_date,
+    DEFAULT_HOT_COLUMNS, LAYOUTS, HotColumn, add_hot_columns, choose_layout, footer_rows, layout_stats, with_event_date,
 )
 
 REFUSED = "refused"
@@ -110,23 +110,27 @@ class EventStore:
             raise ValueError(f"not a batch name: {batch}")
         if self.is_committed(batch):
             return None
-        seen = Observation()
-        refused = F.col(ERROR).isNotNull() if ERROR in rows.columns else F.lit(False)
-        counted = rows.observe(seen, F.count_if(~refused).alias("rows"), F.count_if(refused).alias("refused"))
-        writer = self.placed(counted).write.mode("overwrite").partitionBy("layout", "event_date").option("compression", "zstd")
+        writer = self.placed(rows).write.mode("overwrite").partitionBy("layout", "event_date").option("compression", "zstd")
         for column, distinct in (bloom or {}).items():
             writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true").option(
                 f"parquet.bloom.filter.expected.ndv#{column}", str(distinct))
         if rows_per_file:
             writer = writer.option("maxRecordsPerFile", rows_per_file)
         writer.parquet(f"{self.root}/data/batch={batch}")
-        facts = {"schema": self._columns(rows).json(), "rows": seen.get["rows"] or 0, "refused": seen.get["refused"] or 0, "layouts": list(self.layouts)}
+        written = {n: self._rows_written(batch, n) for n in (self.layouts[0], REFUSED)}
+        facts = {"schema": self._columns(rows).json(), "rows": written[self.layouts[0]], "refused": written[REFUSED],
+                 "layouts": list(self.layouts)}
         if max_refused is not None and facts["refused"] > max_refused:
             raise TooManyRefused(f"{facts['refused']} refused messages in batch {batch}, {max_refused} allowed")
         if not self._commit(batch, facts):
             return None
         return {n: facts[n] for n in ("rows", "refused", "layouts")}
 
+    def _rows_written(self, batch: str, layout: str) -> int:
+        """From the footers of the batch's files; a batch without such rows has no folder for them."""
+        fs, path = self._fs(f"{self.root}/data/batch={batch}/layout={layout}")
+        return footer_rows(self.spark, [path.toString()]) if fs.exists(path) else 0
+
     def sweep(self) -> list[str]:
         """Delete what uncommitted batches have left; for times without writers. Returns their names."""
         fs, folder = self._fs(f"{self.root}/data")

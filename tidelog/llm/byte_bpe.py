@@ -2,12 +2,12 @@
 
 A word is a match of the tokenizer's pattern. Merges are folded over the bytes of each distinct word: at each step the
 adjacent pair with the lowest rank, leftmost first, becomes one piece, until no pair has a rank. A word that is a token
-itself needs no merge. Each task keeps the ids of the words it has met, up to ``CACHE`` of them, so that a word is
+itself needs no merge. Each worker keeps the ids of the words it has met, up to ``CACHE_BYTES``, so that a word is
 folded once and looked up from then on. Decoding looks up the bytes of each id and concatenates the pieces. Both are
-column functions over Arrow batches: no shuffle, and no state beyond the cache.
+column functions over Arrow batches, and ``round_trip`` does both in one pass: no shuffle, and no state beyond the cache.
 
-Null texts count as empty and give no ids; null id arrays decode to no bytes. Repeated rows are encoded alike, an empty
-table stays empty, further columns are left alone. Texts and words may be of any length: words over ``LONG`` bytes are
+Null texts count as empty and give no ids; null id arrays decode to no bytes, and null ids in an array are left out.
+Repeated rows are encoded alike, an empty table stays empty, further columns are left alone. Texts and words may be of any length: words over ``LONG`` bytes are
 merged with a heap, in n log n.
 """
 
@@ -20,12 +20,18 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Words whose ids a Python worker keeps.
-CACHE = 1_000_000
+# Bytes that a Python worker's cache of words may take, and about what an entry takes beside word and ids.
+CACHE_BYTES = 128 << 20
+_ENTRY = 200
+# Bytes of text that are worked on at once; more only where one text is longer.
+RUN = 4 << 20
+# Texts of up to this many characters are split into a list of words, longer ones word by word.
+WHOLE = 1 << 20
 LONG = 400
 _NONE = 1 << 30
 
@@ -92,12 +98,14 @@ class _Words(dict):
 
     def __init__(self, path: str):
         super().__init__()
-        self.ranks = read_ranks(path)
+        self.ranks, self.room = read_ranks(path), CACHE_BYTES
 
     def __missing__(self, word: str) -> bytes:
         ids = merge(word.encode(), self.ranks)
         packed = struct.pack(f"<{len(ids)}I", *ids)
-        if len(self) < CACHE:
+        size = _ENTRY + 4 * len(word) + len(packed)
+        if size <= min(self.room, LONG * 8):
+            self.room -= size
             self[word] = packed
         return packed
 
@@ -108,12 +116,59 @@ def _words_of(path: str) -> _Words:
 
 
 @lru_cache(maxsize=4)
-def _pieces_of(path: str) -> list[bytes]:
+def _pieces_of(path: str) -> pa.Array:
     ranks = read_ranks(path)
     pieces = [b""] * (max(ranks.values()) + 1)
     for piece, rank in ranks.items():
         pieces[rank] = piece
-    return pieces
+    return pa.array(pieces, pa.binary())
+
+
+def _offsets(lengths) -> np.ndarray:
+    return np.concatenate([np.zeros(1, dtype=np.int64), np.cumsum(lengths, dtype=np.int64)])
+
+
+def _ids(texts: list, known: _Words, pattern) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts in one array, and the offsets of each text in it."""
+    packed = []
+    for text in texts:
+        if not text:
+            packed.append(b"")
+        elif len(text) <= WHOLE:
+            packed.append(b"".join([known[w] for w in pattern.findall(text)]))
+        else:
+            packed.append(b"".join(known[m.group()] for m in pattern.finditer(text)))
+    return np.frombuffer(b"".join(packed), dtype="<u4"), _offsets([len(p) // 4 for p in packed])
+
+
+def _binary(values: bytes | pa.Buffer, offsets: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1,
+                                 [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(values)])
+
+
+def _bytes_of(ids: np.ndarray, offsets: np.ndarray, pieces: pa.Array) -> pa.Array:
+    """The pieces of each text's ids, concatenated."""
+    taken = pieces.take(pa.array(ids.astype(np.int64)))
+    places = _offsets(pc.binary_length(taken).to_numpy())
+    values = taken.buffers()[2]
+    return _binary(values if values is not None else b"", places[offsets])
+
+
+def _flat(arrays: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all arrays in one, without nulls, and the offsets of each array in it."""
+    offsets, values = _offsets(pc.fill_null(pc.list_value_length(arrays), 0).to_numpy()), arrays.flatten()
+    if values.null_count:
+        offsets = _offsets(values.is_valid().to_numpy(zero_copy_only=False))[offsets]
+    return values.drop_null().to_numpy(), offsets
+
+
+def _slices(texts: pa.Array):
+    """(start, texts) of runs of rows with about ``RUN`` bytes of text."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy()
+    runs = np.cumsum(sizes, dtype=np.int64) // RUN
+    starts = np.flatnonzero(np.diff(runs, prepend=-1))
+    for start, end in zip(starts, np.append(starts[1:], len(sizes))):
+        yield int(start), texts.slice(start, end - start)
 
 
 def encode(text: Column, path: str, pattern: str) -> Column:
@@ -121,10 +176,12 @@ def encode(text: Column, path: str, pattern: str) -> Column:
 
     @F.arrow_udf("array<int>")
     def ids(texts: pa.Array) -> pa.Array:
-        known, split = _words_of(path), regex.compile(pattern).findall
-        packed = [b"".join([known[w] for w in split(t)]) if t else b"" for t in texts.to_pylist()]
-        ends = np.cumsum([0] + [len(p) // 4 for p in packed], dtype=np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), dtype=np.int32)))
+        known, compiled = _words_of(path), regex.compile(pattern)
+        parts = [pa.array([], pa.list_(pa.int32()))]
+        for _, some in _slices(texts):
+            values, offsets = _ids(some.to_pylist(), known, compiled)
+            parts.append(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.view(np.int32))))
+        return pa.concat_arrays(parts)
 
     return ids(text)
 
@@ -134,8 +191,7 @@ def decode(ids: Column, path: str) -> Column:
 
     @F.arrow_udf("binary")
     def texts(arrays: pa.Array) -> pa.Array:
-        piece = _pieces_of(path)
-        return pa.array([b"".join([piece[i] for i in a]) if a else b"" for a in arrays.to_pylist()], pa.binary())
+        return _bytes_of(*_flat(arrays), _pieces_of(path))
 
     return texts(ids)
 
@@ -145,6 +201,27 @@ def pack(ids: Column) -> Column:
 
     @F.arrow_udf("binary")
     def packed(arrays: pa.Array) -> pa.Array:
-        return pa.array([np.asarray(a or [], dtype="<u4").tobytes() for a in arrays.to_pylist()], pa.binary())
+        values, offsets = _flat(arrays)
+        return _binary(values.astype("<u4").tobytes(), offsets * 4)
 
     return packed(ids)
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, packed, decoded): the ids of each text as ``pack`` gives them, and the bytes that they decode to.
+
+    A text is encoded once, and its ids are decoded in the same pass. Rows go through in runs of about ``RUN`` bytes.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def runs(parts):
+        known, compiled, pieces = _words_of(path), regex.compile(pattern), _pieces_of(path)
+        for part in parts:
+            for start, some in _slices(part.column(1)):
+                values, offsets = _ids(some.to_pylist(), known, compiled)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).slice(start, len(some)), _binary(values.tobytes(), offsets * 4),
+                     _bytes_of(values, offsets, pieces)], names=["id", "packed", "decoded"])
+
+    slim = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+    return slim.mapInArrow(runs, f"id {kind}, packed binary, decoded binary").withColumnRenamed("id", id_col)

@@ -58,10 +58,7 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(BYTE_BPE)
-    docs = pick(read(spark, sf_dir, "documents"), "doc_id", "text")
-    ids = byte_bpe.encode(docs.text, path, public_tokenizers.PATTERN)
-    packed = docs.select("doc_id", byte_bpe.pack(ids).alias("packed"), byte_bpe.decode(ids, path).alias("decoded"))
-    return packed.select(
+    return byte_bpe.round_trip(read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN).select(
         "doc_id", (F.octet_length("packed") / 4).cast("long").alias("n_tokens"),
         F.sha2("packed", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -7,10 +7,11 @@ suffix filter, which bounds the overlap by counts of tokens in ranges of the has
 skip this one). Each candidate pair is verified once,
 by intersecting the whole sets.
 
-Only tokens in the lowest part of the hash range take part in the order by rarity, all others come after them by hash;
-the part is somewhat larger than the longest prefix, so counting rarity moves a fraction of the tokens. Tokens of one class only can
-meet no other and are counted, not stored. (Rarity is counted
-over rows, copies included, and so is the same for all classes.)
+Which classes need that order at all is told by a part of their tokens, those of the lowest hashes: of these no more may
+be in no other class than a similar set may lack. Of the classes that are left all tokens are counted, and those in no
+other class come first and are not stored. Both counts are over classes, so copies do not make a token common. The few
+tokens with a share of all tokens over 1 / ``COMMON`` meet their counts by broadcast, so that no task gets one of them
+whole. Lists are also cut by size of the set: a pair meets only in the same or the next bucket of sizes.
 
 A list shared by many near copies is not expanded into all pairs: in each round a few of its members (four times as many from
 round to round; all of them in short lists) are compared with the others that are not yet in the same group, links are
@@ -25,6 +26,7 @@ gives an empty result. Columns other than id and text are carried along by ``kee
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +42,10 @@ PERCENT = 80
 SHORT = 16
 # Ranges of the suffix filter.
 RANGES = 64
+# The lowest tokens kept of each set, as a multiple of what a similar set may lack.
+SAMPLE = 1.4
+# Tokens with more than this part of all, fewer than so many, are joined by broadcast.
+COMMON = 1 << 16
 # Up to this many candidate classes their ids are broadcast; beyond, they are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 # Words whose hashes a task keeps.
@@ -83,12 +89,12 @@ def _prefix(n: int, percent: int) -> int:
 
 
 def _part(percent: int) -> int:
-    """Hashes below this are ordered by rarity."""
-    return min(_TOP - 1, int(_TOP * 1.4 * (100 - percent) / 100))
+    """Hashes below this are kept to tell which documents may have a similar one."""
+    return min(_TOP - 1, int(_TOP * SAMPLE * (100 - percent) / 100))
 
 
 def _shingle(docs: DataFrame, n_words: int, percent: int, whole: bool) -> DataFrame:
-    """(id, n, cls, tokens, ranges): class by hash of the set; tokens that may be in the prefix, or all of them."""
+    """(id, n, cls, tokens, ranges): class by hash of the set; all tokens and their ranges, or only the lowest tokens."""
     kind = docs.schema["id"].dataType.simpleString()
     low = _part(percent)
     if "row_key" not in docs.columns:
@@ -99,7 +105,7 @@ def _shingle(docs: DataFrame, n_words: int, percent: int, whole: bool) -> DataFr
         for part in parts:
             sets = [tokens(t, n_words, known) for t in part.column("text").to_pylist()]
             kept = sets if whole else [s[:max(int(np.searchsorted(s, low)), _prefix(len(s), percent))] for s in sets]
-            ranges = [_ranges(s) for s in sets]
+            ranges = [_ranges(s) if whole else None for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [part.column("id"), part.column("row_key"), pa.array([len(s) for s in sets], pa.int64()),
                  pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets],
@@ -111,39 +117,67 @@ def _shingle(docs: DataFrame, n_words: int, percent: int, whole: bool) -> DataFr
         batches, f"id {kind}, row_key bigint, n bigint, cls binary, tokens array<bigint>, ranges array<smallint>")
 
 
-def _index(rows: DataFrame, classes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """(h, c, n, pos, ranges, order): prefix tokens of the first row of each class that other rows have too."""
-    low = _part(percent)
-    all_tokens = rows.select("c", F.posexplode("tokens").alias("i", "h"))
-    shared = scratch.put(all_tokens.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1"), "shared")
+def _room(percent: int) -> Column:
+    """So many tokens of a set may be missing from a similar one."""
+    return F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100)
+
+
+def _counted(of: DataFrame, scratch: Scratch) -> DataFrame:
+    """(h, df) of the tokens of more than one of the classes."""
+    return scratch.put(of.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1"), "counts")
+
+
+def _met(of: DataFrame, counts: DataFrame) -> DataFrame:
+    """(c, h, df): ``of`` (c, h) where h has a count. No more than ``COMMON`` tokens can have such a share of all."""
+    total = counts.agg(F.sum("df")).first()[0] or 0
+    common = F.broadcast(counts.filter(F.col("df") > total / COMMON))
+    others = of.join(common.select("h"), "h", "left_anti").join(counts.filter(F.col("df") <= total / COMMON), "h")
+    return of.join(common, "h").select("c", "h", "df").unionByName(others.select("c", "h", "df"))
+
+
+def _candidates(rows: DataFrame, classes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(c) of the classes that may have a similar one, judged by their lowest tokens."""
+    side = F.broadcast if classes.count() <= BROADCAST_IDS else (lambda df: df)
+    first = rows.join(side(classes.select("c")), "c", "left_semi").select("c", "n", "tokens")
+    of = first.select("c", F.explode("tokens").alias("h"))
+    met = _met(of, _counted(of, scratch)).groupBy("c").agg(F.count("*").alias("met"))
+    found = first.select("c", "n", F.size("tokens").alias("kept")).join(met, "c")
+    found = scratch.put(found.filter(F.col("kept") - F.col("met") <= _room(percent)).select("c"), "candidates")
+    scratch.drop("counts")
+    return found
+
+
+def _index(sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(h, c, n, pos, ranges, order, bucket): tokens of the prefix of each class that other classes have too."""
+    of = sets.select("c", F.explode("tokens").alias("h"))
     # Written before it is grouped, so that no more than one shuffle of tokens lies on disk at a time.
-    met = scratch.put(all_tokens.join(shared, "h"), "met")
-    scratch.drop("shared")
-    # Of each class: its shared tokens below the bound by rarity, and the others, whose places are known.
-    own = met.groupBy("c").agg(
-        F.sort_array(F.collect_list(F.when(F.col("h") < low, F.struct("df", "h")))).alias("rare"),
-        F.collect_list(F.when(F.col("h") >= low, F.struct("i", "h"))).alias("rest"))
-    n_low = F.size(F.filter("tokens", lambda h: h < low))
-    own = own.join(rows.select("c", "n", "ranges", n_low.alias("n_low")), "c").join(classes.select("c"), "c")
-    alone = F.col("n_low") - F.size("rare")
-    places = F.concat(
-        F.transform("rare", lambda x, r: F.struct(x["h"].alias("h"), (alone + r).alias("pos"))),
-        F.transform("rest", lambda x: F.struct(x["h"].alias("h"), x["i"].alias("pos"))))
-    length = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1
-    short = F.filter(places, lambda x: x["pos"] < length)
-    return own.select("c", "n", "ranges", F.explode(short).alias("p")).select(
-        "p.h", "c", "n", "p.pos", "ranges", (F.pmod(F.xxhash64("c"), F.lit(1 << 30)) / float(1 << 30)).alias("order"))
+    met = scratch.put(_met(of, _counted(of, scratch)), "met")
+    scratch.drop("counts")
+    own = met.groupBy("c").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("shared"))
+    own = own.join(sets.select("c", "n", "ranges"), "c")
+    # Tokens of this class alone come first of all.
+    alone = F.col("n") - F.size("shared")
+    short = F.slice("shared", 1, F.greatest(F.lit(0), _room(percent) + 1 - alone).cast("int"))
+    # Sets of similar size are in one bucket or in two that follow each other.
+    step = max(math.log(100 / percent), 0.01) * 1.000001
+    return own.select("c", "n", "ranges", alone.alias("alone"), F.posexplode(short).alias("i", "p")).select(
+        "p.h", "c", "n", (F.col("alone") + F.col("i")).alias("pos"), "ranges",
+        (F.pmod(F.xxhash64("c"), F.lit(1 << 30)) / float(1 << 30)).alias("order"),
+        F.floor(F.log("n") / step).cast("int").alias("bucket"))
 
 
 def _may_be_similar(a: str, b: str, percent: int) -> Column:
-    """Length, positional and suffix filters on two prefix entries of one token."""
+    """Length, positional and suffix filters on two prefix entries of one token.
+
+    Similar sets pass at the first token that they share; nothing before it counts there.
+    """
     na, nb, ia, ib = (F.col(x) for x in (f"{a}.n", f"{b}.n", f"{a}.pos", f"{b}.pos"))
     length = 100 * F.least(na, nb) >= percent * F.greatest(na, nb)
     # Overlap needed for the union: 100 x >= percent (na + nb - x).
     def enough(most: Column) -> Column:
         return (100 + percent) * most >= percent * (na + nb)
 
-    position = F.least(ia, ib) + 1 + F.least(na - ia - 1, nb - ib - 1)
+    position = F.least(na - ia, nb - ib)
     both = F.zip_with(F.col(f"{a}.ranges"), F.col(f"{b}.ranges"), lambda s, x: F.least(s, x))
     suffix = F.aggregate(both, F.lit(0), lambda s, x: s + x.cast("int"))
     return length & enough(position) & F.coalesce(enough(suffix), F.lit(True))
@@ -188,21 +222,23 @@ def merge_groups(groups: DataFrame, links: DataFrame, put=materialize) -> DataFr
 def _groups(docs: DataFrame, rows: DataFrame, classes: DataFrame, n_words: int, percent: int,
             scratch: Scratch) -> DataFrame:
     """(c, comp) of the classes that are candidates."""
-    entries = scratch.put(_index(rows, classes, percent, scratch), "index")
-    scratch.drop("met", "rows")
+    found = _candidates(rows, classes, percent, scratch)
+    scratch.drop("rows")
+    # Whole sets of the candidates, made anew from their texts.
+    wanted = scratch.put(classes.join(found, "c").select("c", "cls", F.col("id").alias("rep")), "reps")
+    side = F.broadcast if wanted.count() <= BROADCAST_IDS else (lambda df: df)
+    ids = side(wanted.select("rep").distinct())
+    texts = docs.join(ids, docs["id"].eqNullSafe(ids["rep"]), "left_semi")
+    sets = _shingle(texts, n_words, percent, whole=True).select("cls", "n", "tokens", "ranges")
+    sets = sets.join(side(wanted.select("c", "cls")), "cls").dropDuplicates(["c"])
+    sets = scratch.put(sets.select("c", "n", "tokens", "ranges"), "sets")
+    entries = scratch.put(_index(sets, percent, scratch), "index")
+    scratch.drop("met")
     lists = entries.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1").select("h")
     entries = scratch.put(entries.join(lists, "h"), "entries")
     scratch.drop("index")
     groups = scratch.put(entries.select("c", F.col("c").alias("comp")).distinct(), "groups")
-    # Whole sets of the candidates, made anew from their texts.
-    wanted = scratch.put(classes.join(groups.select("c"), "c").select("c", "cls", F.col("id").alias("rep")), "reps")
-    n_wanted = wanted.count()
-    side = F.broadcast if n_wanted <= BROADCAST_IDS else (lambda df: df)
-    ids = side(wanted.select("rep").distinct())
-    texts = docs.join(ids, docs["id"].eqNullSafe(ids["rep"]), "left_semi")
-    sets = _shingle(texts, n_words, percent, whole=True).select("cls", "tokens")
-    sets = scratch.put(sets.join(side(wanted.select("c", "cls")), "cls").dropDuplicates(["c"]).select("c", "tokens"),
-                       "sets")
+    sets = sets.select("c", "tokens")
     checked, turn = None, 0
     while True:
         open_ = entries.join(groups, "c")
@@ -214,8 +250,11 @@ def _groups(docs: DataFrame, rows: DataFrame, classes: DataFrame, n_words: int,
         scratch.drop(f"open-{turn - 1}" if turn else "entries")
         if open_.isEmpty():
             return groups
-        pairs = open_.filter("lead").alias("x").join(open_.alias("y"), "h").filter(
-            (F.col("x.comp") != F.col("y.comp")) & _may_be_similar("x", "y", percent)).select(
+        near = F.explode(F.array(*[F.col("bucket") + d for d in (-1, 0, 1)]))
+        leads = open_.filter("lead").withColumn("near", near).alias("x")
+        pairs = leads.join(open_.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("near") == F.col("y.bucket"))).filter(
+            (~F.col("y.lead") | (F.col("x.c") < F.col("y.c"))) & (F.col("x.comp") != F.col("y.comp"))
+            & _may_be_similar("x", "y", percent)).select(
             F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b")).distinct()
         if checked is not None:
             pairs = pairs.join(checked, ["a", "b"], "left_anti")

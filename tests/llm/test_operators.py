@@ -330,6 +330,37 @@ def test_suffix_filter_of_very_long_sets(spark):
     assert not allowed(long, entry(None, n // 2))
 
 
+def test_join_with_common_passages(spark, monkeypatch):
+    """Long passages in most texts, sizes at the edge of a bucket, and common tokens that are joined by broadcast."""
+    monkeypatch.setattr(jaccard_join, "COMMON", 40)
+    draw = np.random.default_rng(11)
+    passage = [f"p{i}" for i in range(40)]
+    rows = []
+    for i in range(120):
+        own = [f"w{x}" for x in draw.integers(0, 3000, int(draw.integers(5, 60)))]
+        rows.append((i, " ".join((passage if i % 3 else []) + own)))
+    rows += [(200 + n, " ".join(f"s{i}" for i in range(n))) for n in range(60, 101)]  # each a prefix of the next
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    for n_words, percent in [(1, 80), (3, 90), (2, 100)]:
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"])
+               for r in jaccard_join.components(table, n_words=n_words, percent=percent).collect()}
+        assert got == plain_components(rows, n_words, percent)
+
+
+def test_rarest_tokens_come_first(spark, monkeypatch):
+    """Positions follow the frequency among all classes, whichever tokens are joined by broadcast."""
+    sets = {1: [10, 20, 30, 40], 2: [20, 30, 40, 50], 3: [30, 40, 60, 61], 4: [40, 70, 71, 72]}
+    table = spark.createDataFrame([(c, len(t), t, [0] * 64) for c, t in sets.items()],
+                                  "c long, n long, tokens array<long>, ranges array<smallint>")
+    for common in (1, 3, 1 << 16):
+        monkeypatch.setattr(jaccard_join, "COMMON", common)
+        scratch = jaccard_join.Scratch(spark, "test")
+        got = sorted((r["c"], r["pos"], r["h"]) for r in jaccard_join._index(table, 1, scratch).collect())
+        assert got == [(1, 1, 20), (1, 2, 30), (1, 3, 40), (2, 1, 20), (2, 2, 30), (2, 3, 40), (3, 2, 30), (3, 3, 40),
+                       (4, 3, 40)]
+        scratch.close()
+
+
 def test_null_ids_in_join(docs):
     rows = {(r["doc_id"], r["component_id"]) for r in jaccard_join.components(docs).collect()}
     assert (None, None) in rows and len(jaccard_join.keep_one(docs).collect()) == 9  # 3, 5 and 7 have copies

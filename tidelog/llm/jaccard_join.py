@@ -42,8 +42,6 @@ PERCENT = 80
 SHORT = 16
 # Ranges of the suffix filter.
 RANGES = 64
-# The lowest tokens kept of each set, as a multiple of what a similar set may lack.
-SAMPLE = 1.4
 # Tokens with more than this part of all, fewer than so many, are joined by broadcast.
 COMMON = 1 << 16
 # Up to this many candidate classes their ids are broadcast; beyond, they are joined by shuffle.
@@ -88,15 +86,18 @@ def _prefix(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def _part(percent: int) -> int:
-    """Hashes below this are kept to tell which documents may have a similar one."""
-    return min(_TOP - 1, int(_TOP * SAMPLE * (100 - percent) / 100))
+def _part(n_words: int, percent: int) -> int:
+    """Hashes below this are kept to tell which documents may have a similar one.
+
+    More than a similar set may lack; the shorter the n-grams, the more of them are shared by chance, so the more are kept.
+    """
+    return min(_TOP - 1, int(_TOP * (1 + 12 / 2 ** n_words) * (100 - percent) / 100))
 
 
 def _shingle(docs: DataFrame, n_words: int, percent: int, whole: bool) -> DataFrame:
     """(id, n, cls, tokens, ranges): class by hash of the set; all tokens and their ranges, or only the lowest tokens."""
     kind = docs.schema["id"].dataType.simpleString()
-    low = _part(percent)
+    low = _part(n_words, percent)
     if "row_key" not in docs.columns:
         docs = docs.withColumn("row_key", F.lit(0).cast("bigint"))
 

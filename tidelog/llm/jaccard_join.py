@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,8 @@ SHORT = 16
 RANGES = 64
 # Tokens with more than this part of all, fewer than so many, are joined by broadcast.
 COMMON = 1 << 16
+# Parts of the tokens that are counted and joined one after the other.
+SLICES = 4
 # Up to this many candidate classes their ids are broadcast; beyond, they are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 # Words whose hashes a task keeps.
@@ -151,9 +154,13 @@ def _candidates(rows: DataFrame, classes: DataFrame, percent: int, scratch: Scra
 def _index(sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """(h, c, n, pos, ranges, order, bucket): tokens of the prefix of each class that other classes have too."""
     of = sets.select("c", F.explode("tokens").alias("h"))
-    # Written before it is grouped, so that no more than one shuffle of tokens lies on disk at a time.
-    met = scratch.put(_met(of, _counted(of, scratch)), "met")
-    scratch.drop("counts")
+    # Written slice by slice before it is grouped, so that only one slice of the tokens is being shuffled at a time.
+    parts = []
+    for k in range(SLICES):
+        part = of.filter(F.pmod("h", F.lit(SLICES)) == k)
+        parts.append(scratch.put(_met(part, _counted(part, scratch)), "met"))
+        scratch.drop("counts")
+    met = reduce(DataFrame.unionByName, parts)
     own = met.groupBy("c").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("shared"))
     own = own.join(sets.select("c", "n", "ranges"), "c")
     # Tokens of this class alone come first of all.

@@ -142,6 +142,33 @@ def test_mix(docs):
         x for r in got for x in [r["doc_id"]] * r["copies"]).items() if n})
 
 
+def test_mix_probabilities(spark):
+    """Scales against bisection, with lengths that become certain and without, with nothing left, and with empty texts."""
+    lengths = {"a": {10: 50, 200: 3, 20000: 1}, "b": {5: 7, 0: 3}, "c": {100: 2, 7: 9}, "d": {0: 4}}
+    rest = {"a": 21050.0, "b": 20.0, "c": 0.0, "d": 0.0}
+    got = {r["skey"]: r["scale"] for r in mixing.scales(
+        spark.createDataFrame([(k, s, n) for k, v in lengths.items() for s, n in v.items()], "skey string, size long, n long"),
+        spark.createDataFrame(list(rest.items()), "skey string, rest double")).collect()}
+    assert set(got) == {"a", "b", "c"}
+    for k, scale in got.items():
+        def expected(c, k=k):
+            return sum(min(1.0, c * (1 + math.log(1 + s))) * s * n for s, n in lengths[k].items())
+        low, high = 0.0, 1.0
+        for _ in range(200):
+            middle = (low + high) / 2
+            low, high = (middle, high) if expected(middle) < rest[k] else (low, middle)
+        assert math.isclose(scale, high, abs_tol=1e-9) and math.isclose(expected(scale), rest[k], abs_tol=1e-6)
+    assert got["a"] * (1 + math.log(20001)) > 1
+
+
+def test_mixed_keeps_clashing_columns(spark, docs):
+    clashing = docs.withColumns({n: F.lit("own") for n in ("skey", "u", "v", "copies", "cut", "rest", "row", "scale", "__v")})
+    out = mixing.mixed(clashing)
+    assert out.columns == clashing.columns
+    assert out.select("skey", "copies", "row").distinct().collect() == [("own", "own", "own")]
+    assert out.count() == mixing.mixed(docs).count()
+
+
 def luhn(digits):
     total = 0
     for i, c in enumerate(reversed(digits)):

@@ -51,8 +51,7 @@ WITH d AS (
     (('0x' || md5(concat_ws(':', 'mix-1', coalesce(doc_id::VARCHAR, ''), coalesce(text, '')))[1:13])::BIGINT::DOUBLE
       + 0.5) / 4503599627370496.0 AS u
   FROM documents
-), r AS (SELECT *, (u / (1 - u)) / (1 + ln(1.0 + size)) AS q FROM d), v AS (SELECT *, q / (1 + q) AS v FROM r),
-s AS (
+), s AS (
   SELECT source, sum(size)::BIGINT AS source_size, 3.0::DOUBLE * sum(size)::DOUBLE AS cap,
     [5.0::DOUBLE, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight
   FROM d GROUP BY source
@@ -64,7 +63,18 @@ s AS (
 ), t AS (SELECT source, source_size, least(cap, max(level) OVER () * weight) AS target FROM l),
 p AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS whole FROM t
-), k AS (
+), m AS (
+  SELECT d.source, size, rest, sum(size * n) OVER w - size * n AS certain,
+    sum((1 + ln(1.0 + size)) * size * n) OVER (PARTITION BY d.source ORDER BY size DESC
+      ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS others
+  FROM (SELECT source, size, count(*) AS n FROM d WHERE size > 0 GROUP BY ALL) d
+  JOIN (SELECT source, target - whole * source_size AS rest FROM p) p ON d.source IS NOT DISTINCT FROM p.source
+  WINDOW w AS (PARTITION BY d.source ORDER BY size DESC ROWS UNBOUNDED PRECEDING)
+), c AS (SELECT source, max((rest - certain) / others) AS scale FROM m GROUP BY source), r AS (
+  SELECT d.*, least(1.0::DOUBLE, coalesce(scale, 0) * (1 + ln(1.0 + size))) AS pr
+  FROM d LEFT JOIN c ON d.source IS NOT DISTINCT FROM c.source
+), q AS (SELECT *, CASE WHEN pr > 0 THEN (u / (1 - u)) * (1 - pr) / pr END AS q FROM r),
+v AS (SELECT *, coalesce(q / (1 + q), 1.0) AS v FROM q), k AS (
   SELECT v.*, source_size, target, whole, target - whole * source_size AS rest,
     sum(size) OVER (PARTITION BY v.source ORDER BY v.v RANGE UNBOUNDED PRECEDING) AS reached,
     sum(size) OVER (PARTITION BY v.source, v.v) AS words

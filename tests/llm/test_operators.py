@@ -221,6 +221,42 @@ def test_learned_patterns(spark):
     assert found[60] == "ip:9:19" and found[61] == ""
 
 
+def learned(spark, texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [sorted(set(map(tuple, r["spans"])) - set(map(tuple, r["base"])))
+            for r in pii.find(rows).orderBy("doc_id").collect()]
+
+
+def test_contexts_reach_over_candidates_and_groups(spark):
+    lists = [f"ips: 10.1.2.{i} 10.1.3.{i}" for i in range(20)] + ["ips: 10.1.2.3 10.1.2.999"]
+    assert learned(spark, lists)[20] == [("ip", 14, 24)]
+    groups = [f"call: +49 30 {1000000 + i}." for i in range(20)] + ["call: +49 30 123, then", "see +49 30 123"]
+    assert learned(spark, groups)[20:] == [[("phone", 6, 16)], []]
+    far = "y" * 500 + ":"
+    assert learned(spark, [f"{far} 10.1.2.{i}" for i in range(20)] + [f"{far} 10.1.2.999", f"z{far} 1.2.3.999"])[20:] == [
+        [("ip", 502, 512)], []]
+
+
+def test_rare_words_share_a_pattern(spark):
+    words = ["".join(chr(97 + int(d)) for d in str(1000 + i)) for i in range(20)]
+    texts = [f"{w}: 10.1.2.{100 + i}" for i, w in enumerate(words)] + ["other: 10.1.2.999", "see 10.1.2.999"]
+    assert learned(spark, texts)[20:] == [[("ip", 7, 17)], []]
+
+
+def test_no_pattern_confirms_itself(spark):
+    """Where hardly more than half of a pattern's candidates are cards, rounds do not raise it to all of them."""
+    numbers = [str(4539148803430000 + i) for i in range(400)]
+    texts = [f"the {n} here" for n in numbers if luhn(n)] + [f"the {n} here" for n in [n for n in numbers if not luhn(n)][:30]]
+    assert not any(learned(spark, texts))
+
+
+def test_redact_keeps_clashing_columns(spark, docs):
+    clashing = docs.withColumns({n: F.lit("own") for n in ("__key", "__spans", "row", "row_key", "clean", "base", "more")})
+    out = pii.redact(clashing)
+    assert out.columns == clashing.columns and out.count() == docs.count()
+    assert out.select("row", "clean", "spans").distinct().collect() == [("own", "own", "x")]
+
+
 def test_toxicity(spark):
     clean = [(i, "some plain words about number" + chr(97 + i % 26) + " and rivers", 0) for i in range(120)]
     bad = [(1000 + i, "some plain vile words and vilest rivers" if i % 2 else "you are vile today", 1) for i in range(60)]

@@ -1,10 +1,13 @@
 """Personal data: base patterns, and bootstrapped contexts that find identifiers the base patterns miss.
 
-The base patterns give spans of four kinds. They are the seeds. Every token with a digit or @ is a candidate; its
-lexical pattern is the word before it together with its shape (letters and digits collapsed). Patterns and candidates
-form a graph, scored in rounds: a pattern's confidence in a kind is the share of its distinct candidates believed to be
-of the kind, once it has enough of them; a candidate that is no seed is believed as far as its confident patterns,
-taken together, say. After the last round, candidates of highly confident patterns become spans of the kind.
+The base patterns give spans of four kinds. They are the seeds. Every token with a digit or @ is a candidate, and so are
+short groups of digits with single blanks between, as one. A candidate has two lexical patterns: the last word before
+it that belongs to no candidate, with the candidate's shape (letters and digits collapsed); and, for words too rare to
+tell, the shape of that word with the candidate's shape and numbers of digits. Patterns and candidates form a graph,
+scored in rounds: a pattern's confidence in a kind is the share of its distinct candidates believed to be of the kind,
+once it has enough of them; for a pattern, a candidate that is no seed is believed as far as its other confident patterns,
+taken together, say, so that no pattern confirms itself. After the last round, candidates of highly confident patterns
+become spans of the kind.
 
 All of it is built-in functions: spans are found by cutting the text at its matches and summing lengths, the rounds are
 joins and sums over the graph's edges, written to scratch after each round.
@@ -33,32 +36,35 @@ PATTERNS = {
 }
 # A text without this character has no match.
 NEEDS = {"email": "@", "ip": ".", "phone": "+"}
-CANDIDATE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
+# Short groups of digits, up to eight of them, or else a token with a digit or @.
+_GROUP = r"\(?[0-9]{1,8}+\)?(?:-[0-9]{1,8}+)*+"
+CANDIDATE = (r"(?<![^\x20\x09-\x0D])(?:\+?" + _GROUP + r"(?:\x20" + _GROUP + r"){1,7}+"
+             r"""(?![^\x20\x09-\x0D"')\]>}.,;:!?])[^\x20\x09-\x0D]*+"""
+             r"|[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+)")
+LAST_WORD = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]++(?=[\x20\x09-\x0D]*+$)"
 EDGE = r"""["'()\[\]<>{}.,;:!?]"""
 
 ROUNDS = 3
 # Sum of beliefs a pattern needs, confidence that counts in a round, and confidence that makes spans.
 SUPPORT = 3.0
-CONFIDENT = 0.5
+CONFIDENT = 0.7
 CERTAIN = 0.8
-# Characters before a candidate in which the word before it is looked for.
-WINDOW = 48
+_SPAN = "struct<start:int,stop:int,value:string,word:string>"
 
-_SPAN = "struct<start:int,stop:int,value:string,before:string>"
 
-
-def _matches(text: Column, pattern: str) -> Column:
-    """Array of {start, stop, value, before} of all matches, in code points."""
+def _matches(text: Column, pattern: str, words: bool = False) -> Column:
+    """Array of {start, stop, value, word} of all matches, in code points; ``word``: the last one before, outside matches."""
 
     def place(found: Column, between: Column) -> Column:
-        start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out"))
+        start = F.struct(F.lit(0).alias("at"), F.lit("").alias("word"), F.array().cast(f"array<{_SPAN}>").alias("out"))
 
         def step(s: Column, i: Column) -> Column:
             begin = s["at"] + F.length(between[i])
             stop = begin + F.length(found[i])
-            span = F.struct(begin.alias("start"), stop.alias("stop"), found[i].alias("value"),
-                            F.right(between[i], F.lit(WINDOW)).alias("before"))
-            return F.struct(stop.alias("at"), F.concat(s["out"], F.array(span)).alias("out"))
+            fresh = F.regexp_extract(between[i], LAST_WORD, 0)
+            word = F.when(fresh != "", fresh).otherwise(s["word"]) if words else F.lit("")
+            span = F.struct(begin.alias("start"), stop.alias("stop"), found[i].alias("value"), word.alias("word"))
+            return F.struct(stop.alias("at"), word.alias("word"), F.concat(s["out"], F.array(span)).alias("out"))
 
         return F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), start, step, lambda s: s["out"])
 
@@ -102,18 +108,21 @@ def base_spans(text: Column) -> Column:
 
 
 def _candidates(text: Column) -> Column:
-    """Array of {start, stop, instance, pattern} of tokens with a digit or @, stripped of punctuation at the edges."""
+    """Array of {start, stop, instance, patterns} of candidates, stripped of punctuation at the edges."""
 
     def trimmed(m: Column) -> Column:
         bare = F.regexp_replace(m["value"], f"^{EDGE}++", "")
         start = m["start"] + F.length(m["value"]) - F.length(bare)
         core = F.regexp_replace(bare, f"{EDGE}++$", "")
-        word = F.lower(F.regexp_extract(F.rtrim(m["before"], F.lit(" \t\n\x0b\f\r")), r"[^\x20\x09-\x0D]++$", 0))
-        shape = F.regexp_replace(F.regexp_replace(core, "[0-9]+", "9"), r"\p{L}+", "a")
-        return F.struct(start.alias("start"), (start + F.length(core)).alias("stop"), core.alias("instance"),
-                        F.when((word != "") & (core != ""), F.concat_ws(" ", word, shape)).alias("pattern"))
+        letters = lambda c: F.regexp_replace(c, r"[\p{L}\p{M}]+", "a")
+        close = letters(F.regexp_replace(core, "[0-9]", "9"))
+        wide = letters(F.regexp_replace(core, "[0-9]+", "9"))
+        return F.struct(start.alias("start"), (start + F.length(core)).alias("stop"), core.alias("instance"), F.array(
+            F.concat_ws(" ", F.lit("word"), F.lower(m["word"]), wide),
+            F.concat_ws(" ", F.lit("kind of word"), letters(F.regexp_replace(m["word"], "[0-9]+", "9")), close),
+        ).alias("patterns"))
 
-    return F.filter(F.transform(_matches(text, CANDIDATE), trimmed), lambda c: c["pattern"].isNotNull())
+    return F.filter(F.transform(_matches(text, CANDIDATE, words=True), trimmed), lambda c: c["instance"] != "")
 
 
 def _scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -127,7 +136,7 @@ def _scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     kinds = F.transform("open", lambda c: F.struct(
         c["start"].alias("start"), c["stop"].alias("stop"), c["instance"].alias("instance"),
-        c["pattern"].alias("pattern"), F.get(F.filter("base", lambda b: seed(c, b)), F.lit(0))["kind"].alias("kind")))
+        c["patterns"].alias("patterns"), F.get(F.filter("base", lambda b: seed(c, b)), F.lit(0))["kind"].alias("kind")))
     # What lies within a span but does not begin it is neither seed nor candidate.
     free = F.filter(kinds, lambda c: c["kind"].isNotNull() | ~F.exists(
         "base", lambda b: (b["start"] < c["stop"]) & (b["stop"] > c["start"])))
@@ -135,35 +144,35 @@ def _scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def learn(scanned: DataFrame, rounds: int = ROUNDS, put=materialize) -> DataFrame:
-    """(pattern, kind) of highly confident patterns. ``put`` writes the steps."""
-    edges = put(scanned.select(F.explode("open").alias("c")).groupBy("c.pattern", "c.instance").agg(
-        F.max("c.kind").alias("seed")), "pii-edges")
-    beliefs = edges.filter("seed is not null").select("instance", F.col("seed").alias("kind")).distinct().withColumn(
-        "belief", F.lit(1.0))
+    """(pattern, best) of highly confident patterns, best: {confidence, kind}. ``put`` writes the steps."""
+    edges = put(scanned.select(F.explode("open").alias("c")).select(
+        F.explode("c.patterns").alias("pattern"), "c.instance", "c.kind").groupBy("pattern", "instance").agg(
+        F.max("kind").alias("seed")), "pii-edges")
     sizes = edges.groupBy("pattern").agg(F.count("*").alias("n"))
+    open_edges = edges.filter("seed is null").select("pattern", "instance")
+    believed = seeds = edges.filter("seed is not null").groupBy("pattern", F.col("seed").alias("kind")).agg(
+        F.count("*").cast("double").alias("sum"))
     for turn in range(rounds):
-        sums = edges.join(beliefs, "instance").groupBy("pattern", "kind").agg(F.sum("belief").alias("sum"))
-        patterns = sums.filter(F.col("sum") >= SUPPORT).join(sizes, "pattern").select(
+        patterns = put(believed.filter(F.col("sum") >= SUPPORT).join(sizes, "pattern").select(
             "pattern", "kind", (F.col("sum") / F.col("n")).alias("confidence")).filter(
-            F.col("confidence") >= CONFIDENT)
-        patterns = put(patterns, "pii-patterns")
+            F.col("confidence") >= CONFIDENT), "pii-patterns")
         if turn + 1 < rounds:
-            # Seeds keep their belief; others are believed as 1 - product of their patterns' doubts.
-            doubt = F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-6))))
-            others = edges.filter("seed is null").join(patterns, "pattern").groupBy("instance", "kind").agg(
-                (1 - F.exp(doubt)).alias("belief"))
-            seeds = edges.filter("seed is not null").select(
-                "instance", F.col("seed").alias("kind")).distinct().withColumn("belief", F.lit(1.0))
-            beliefs = put(seeds.unionByName(others), "pii-beliefs")
+            # A candidate is believed as 1 - product of the doubts of its patterns, of all but the one that asks.
+            doubts = patterns.select("pattern", "kind", F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-6))).alias("doubt"))
+            told = open_edges.join(doubts, "pattern").groupBy("instance", "kind").agg(F.sum("doubt").alias("all"))
+            others = open_edges.join(told, "instance").join(doubts, ["pattern", "kind"], "left").groupBy(
+                "pattern", "kind").agg(F.sum(1 - F.exp(F.col("all") - F.coalesce("doubt", F.lit(0.0)))).alias("sum"))
+            believed = seeds.unionByName(others).groupBy("pattern", "kind").agg(F.sum("sum").alias("sum"))
     return patterns.filter(F.col("confidence") >= CERTAIN).groupBy("pattern").agg(
-        F.max_by("kind", F.struct("confidence", "kind")).alias("kind"))
+        F.max(F.struct("confidence", "kind")).alias("best"))
 
 
 def _found(scanned: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(row_key, more): spans of candidates that no base pattern covers."""
+    """(row_key, more): spans of candidates that no base pattern covers, each of the kind its best pattern says."""
     loose = scanned.select("row_key", F.explode(F.filter("open", lambda c: c["kind"].isNull())).alias("c"))
-    hits = loose.select("row_key", "c.start", "c.stop", "c.pattern").join(patterns, "pattern")
-    return hits.groupBy("row_key").agg(F.collect_set(F.struct("kind", "start", "stop")).alias("more"))
+    hits = loose.select("row_key", "c.start", "c.stop", F.explode("c.patterns").alias("pattern")).join(patterns, "pattern")
+    spans = hits.groupBy("row_key", "start", "stop").agg(F.max("best").alias("best"))
+    return spans.groupBy("row_key").agg(F.collect_set(F.struct("best.kind", "start", "stop")).alias("more"))
 
 
 def _ordered(spans: Column) -> Column:
@@ -210,13 +219,14 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", roun
     none = F.array().cast("array<struct<kind:string,start:int,stop:int>>")
     more = _found(scanned, learn(scanned, rounds, scratch.put))
     spans = scanned.select("row_key", "base").distinct().join(more, "row_key", "left").select(
-        F.col("row_key").alias("__key"), F.concat("base", F.coalesce("more", none)).alias("__spans")).filter(
-        F.size("__spans") > 0)
+        "row_key", F.concat("base", F.coalesce("more", none)).alias("spans")).filter(F.size("spans") > 0)
     spans = materialize(spans, "pii-spans")
     scratch.close()
-    text = F.coalesce(docs[text_col], F.lit(""))
-    keyed = docs.withColumn("__key", F.xxhash64(docs[id_col], text))
-    by_place = F.array_sort(F.transform("__spans", lambda s: F.struct(
+    # The documents' columns stay within one, so that none clashes with a column of the spans.
+    keyed = docs.select(F.struct("*").alias("row"), F.coalesce(docs[text_col], F.lit("")).alias("text"),
+                        F.xxhash64(docs[id_col], F.coalesce(docs[text_col], F.lit(""))).alias("row_key"))
+    text, whole = F.col("text"), F.col("row").getField(text_col)
+    by_place = F.array_sort(F.transform("spans", lambda s: F.struct(
         s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"))))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
@@ -229,6 +239,6 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", roun
     def end(s: Column) -> Column:
         return F.concat(F.array_join(s["out"], ""), F.substring(text, s["at"] + 1, F.length(text)))
 
-    clean = F.when(F.col("__spans").isNull(), docs[text_col]).otherwise(F.aggregate(by_place, start, step, end))
-    out = keyed.join(spans, "__key", "left").withColumn(text_col, clean)
-    return out.select(*docs.columns)
+    clean = F.when(F.col("spans").isNull(), whole).otherwise(F.aggregate(by_place, start, step, end))
+    out = keyed.join(spans, "row_key", "left").select("row", clean.alias("clean"))
+    return out.select(*[F.col("clean").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -209,9 +209,11 @@ def json_rows_to_records(spark, sf_dir):
     return validate.validate(files.read_json_rows(spark, path)).select(F.col("eventId").alias("event_id"), "error")
 
 
-def _legacy_events(spark, sf_dir):
-    """The events in the flat shape of the older interface; only purchases have an amount."""
+def _legacy_events(spark, sf_dir, sort=False):
+    """The events in the flat shape of the older interface, by id on demand; only purchases have an amount."""
     source = source_events(spark, sf_dir)
+    if sort:
+        source = source.orderBy(F.asc_nulls_last("event_id"))
     k = F.get_json_object("props", "$.k")
     return source.select(
         uuid_of(F.col("event_id")).alias("eventId"), F.col("event_type").alias("eventType"),
@@ -245,9 +247,9 @@ def csv_round_trip(spark, sf_dir):
 
 @register("replay_first_events", _LEGACY + " ORDER BY event_id LIMIT 750", events=False)
 def replay_first_events(spark, sf_dir):
-    """The first events of one sorted file, as a replay takes them."""
+    """The first events of sorted files, as a replay takes them; each task sorts and writes one range of the order."""
     path = scratch_path(spark, "replay")
-    files.write_ndjson(_legacy_events(spark, sf_dir).coalesce(1).sortWithinPartitions("index"), path)
+    files.write_ndjson(_legacy_events(spark, sf_dir, sort=True), path)
     return files.read_ndjson(spark, path, 750)
 
 

@@ -32,11 +32,18 @@ def read_json_rows(spark: SparkSession, path: str) -> DataFrame:
 
 def read_ndjson(spark: SparkSession, path: str, max_events: int | None = None,
                 schema: T.StructType = LEGACY_EVENT_SCHEMA) -> DataFrame:
-    """Older events from NDJSON, blank lines skipped, at most ``max_events`` of them."""
+    """Older events from NDJSON, blank lines skipped, at most ``max_events`` of them.
+
+    These are the first ones, by file name and then by place in the file, whatever task reads them.
+    """
     lines = prepare(spark).read.text(path).filter(F.trim("value") != "")
     if max_events is not None:
-        lines = lines.limit(max_events)
-    return lines.select(F.from_json("value", schema).alias("e")).select("e.*")
+        # A task reads its pieces of files from their start on, so that within a piece the row number is the order.
+        place = {"_name": "_metadata.file_name", "_file": "_metadata.file_path", "_at": "_metadata.file_block_start"}
+        lines = lines.select("value", *[F.col(c).alias(n) for n, c in place.items()],
+                             F.monotonically_increasing_id().alias("_row")).orderBy(*place, "_row").limit(max_events)
+    # Exploded from a one-element array, so that the limit stays at its order: a top-k, not a sort of all lines.
+    return lines.select(F.explode(F.array(F.from_json("value", schema))).alias("e")).select("e.*")
 
 
 def write_ndjson(df: DataFrame, path: str, mode: str = "errorifexists") -> None:

@@ -3,9 +3,13 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
+from tidelog.operators.normalize import to_event_rows
+from tidelog.operators.validate import validate
 from tidelog.registered import load, tables
 from tidelog.sources import files
+from tidelog.sources.store import EventStore
 
 
 @pytest.fixture
@@ -46,3 +50,18 @@ def test_replay_is_sorted_and_written_by_many_tasks(spark, tmp_path, setting, mo
     assert len(parts) > 2 and max(map(len, written)) < sum(map(len, written)) / 2
     assert sum(written, []) == sorted(sum(written, []))
     assert got == sum(written, [])[:750]
+
+
+def test_rows_are_shuffled_once_for_all_layouts(spark, tmp_path):
+    records = tables.raw_records(spark, "/root/testdata/sf0.001")
+    store = EventStore(spark, str(tmp_path / "store"))
+    checked = validate(records).withColumn("value", F.lit("text"))
+    plan = store.placed(to_event_rows(checked, keep=("value", "error")))._jdf.queryExecution().executedPlan().toString()
+    dealt = next(i for i, line in enumerate(plan.splitlines()) if "Exchange hashpartitioning" in line)
+    copied = next(i for i, line in enumerate(plan.splitlines()) if "explode(CASE" in line)
+    assert copied < dealt  # above the exchange
+    done = files.save_batch(records, store.root)
+    assert done["rows"] + done["refused"] == records.count() and done["rows"] and done["refused"]
+    assert {r["rows"] for r in store.stats().collect()} == {done["rows"]}
+    # Only refused records are kept as text.
+    assert all(json.loads(r["value"])["ingestTime"] and r["error"] for r in store.refused().collect())

@@ -75,7 +75,8 @@ def save_batch(records: DataFrame, root: str, batch: str | None = None, batch_si
     if refuse == "failfast":
         rows = to_event_rows(split_valid(records, mode=refuse)[0], as_of)
     elif refuse == "quarantine":
-        checked = validate(records).withColumn("value", F.to_json(F.struct(*records.columns)))
+        checked = validate(records).withColumn(
+            "value", F.when(F.col(ERROR).isNotNull(), F.to_json(F.struct(*records.columns))))
         rows = to_event_rows(checked, as_of, keep=("value", ERROR))
     else:
         raise ValueError(f"unknown mode: {refuse}")

@@ -86,7 +86,10 @@ class EventStore:
     # Writing
 
     def placed(self, rows: DataFrame) -> DataFrame:
-        """Classified rows once per layout, or once under "refused"; days come together and are sorted as their layout is."""
+        """Classified rows once per layout, or once under "refused"; days come together and are sorted as their layout is.
+
+        A row is shuffled once and copied to the layouts by the task that writes it.
+        """
         wide = with_event_date(add_hot_columns(rows, self.hot))
         if ERROR not in rows.columns:
             wide = wide.withColumns({f.name: F.lit(None).cast(f.dataType) for f in _REFUSED_FIELDS})
@@ -94,7 +97,7 @@ class EventStore:
         targets = F.when(bad, F.array(F.lit(REFUSED))).otherwise(F.array(*[F.lit(n) for n in self.layouts]))
         dealt = wide.withColumns({
             VALUE: F.when(bad, F.col(VALUE)), "event_date": F.when(~bad, F.col("event_date")),
-        }).withColumn("layout", F.explode(targets)).hint("rebalance", "layout", "event_date")
+        }).hint("rebalance", "event_date").withColumn("layout", F.explode(targets))
         keys = [F.when(F.col("layout") == n, F.col(k)) for n in self.layouts for k in LAYOUTS[n]]
         return dealt.sortWithinPartitions("layout", "event_date", *keys)
 

@@ -17,10 +17,9 @@ zero. Columns other than id and text play no part.
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,9 +42,12 @@ CHUNK = 4096
 END = ""
 
 
-def _words(text: str | None) -> list[bytes]:
-    """Blank-separated words, A-Z in lower case, and the end."""
-    return [*(text or "").encode().lower().split(), b""]
+def _words(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Blank-separated words of all texts, A-Z in lower case, without ends; the place of each one's text."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(text, "")))
+    words, owner = lists.flatten(), pc.list_parent_indices(lists)
+    full = pc.greater(pc.binary_length(words), 0)
+    return words.filter(full), owner.filter(full).to_numpy().astype(np.int64)
 
 
 class Vocabulary:
@@ -58,7 +60,7 @@ class Vocabulary:
         # The end is always a word of the network.
         hot = [x for x in hot if x[0] == END] + [x for x in hot if x[0] != END]
         self.total, self.distinct = total, distinct
-        self.rank = {w.encode(): i for i, (w, _) in enumerate(hot)}
+        self.words = pa.array([w for w, _ in hot], pa.string())
         self.count = np.array([c for _, c in hot], dtype=np.float64)
         ends = (EXPLICIT, *BANDS)
         inside = [self.count[a:b] for a, b in zip(ends, ends[1:])]
@@ -92,21 +94,38 @@ def start_weights(v: Vocabulary) -> dict[str, np.ndarray]:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1.0 / (1.0 + np.exp(-x))
+    """In place."""
+    np.exp(np.negative(x, out=x), out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
+def _gates(w: dict) -> list[np.ndarray]:
+    """Tables of inputs, biases added, and of states, each gate's apart, so that all steps work on whole arrays."""
+    return [np.ascontiguousarray(m[:, i:i + HIDDEN]) for m in (w["W"] + w["b"], w["U"])
+            for i in (0, HIDDEN, 2 * HIDDEN)]
 
 
-def _step(w: dict, x: np.ndarray, h: np.ndarray):
+def _step(gates: list[np.ndarray], x: np.ndarray, h: np.ndarray):
     """One step of all lanes: new state and what the way back needs."""
-    a, u = w["W"][x] + w["b"], h @ w["U"]
-    z = _sigmoid(a[:, :HIDDEN] + u[:, :HIDDEN])
-    r = _sigmoid(a[:, HIDDEN:2 * HIDDEN] + u[:, HIDDEN:2 * HIDDEN])
-    n = np.tanh(a[:, 2 * HIDDEN:] + r * u[:, 2 * HIDDEN:])
-    return (1 - z) * n + z * h, (h, z, r, n, u[:, 2 * HIDDEN:])
+    az, ar, an, uz, ur, un = gates
+    z, r, n, m = az.take(x, axis=0), ar.take(x, axis=0), an.take(x, axis=0), h @ un
+    z += h @ uz
+    r += h @ ur
+    z, r = _sigmoid(z), _sigmoid(r)
+    n += r * m
+    np.tanh(n, out=n)
+    new = h - n
+    new *= z
+    new += n
+    return new, (h, z, r, n, m)
 
 
 def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+    """Of each column, in place."""
+    x -= x.max(axis=0)
+    x -= np.log(np.exp(x).sum(axis=0))
+    return x
 
 
 def _class_of(y: np.ndarray) -> np.ndarray:
@@ -116,31 +135,37 @@ def _class_of(y: np.ndarray) -> np.ndarray:
 def _output(w: dict, h: np.ndarray, y: np.ndarray, grad: dict | None = None):
     """Natural log probability of each target's network id; with ``grad``, adds gradients and returns that of ``h``."""
     k = _class_of(y)
-    logs = _log_softmax(h @ w["C"] + w["c"])
+    # Columns are targets: sums over classes then run along whole rows.
+    logs = _log_softmax(w["C"].T @ h.T + w["c"][:, None])
     at = np.arange(len(y))
-    out = logs[at, k]
-    back = None
+    out = logs[k, at]
+    order = np.argsort(k.astype(np.int16), kind="stable")
+    ends = np.searchsorted(k[order], np.arange(EXPLICIT // CLASS_WORDS + 1))
+    order = order[:ends[-1]]
+    sorted_h, inner, found = h.take(order, axis=0), y[order] % CLASS_WORDS, np.empty(len(order), dtype=out.dtype)
+    back = sorted_back = None
     if grad is not None:
         delta = np.exp(logs)
-        delta[at, k] -= 1
-        grad["C"] += h.T @ delta
-        grad["c"] += delta.sum(axis=0)
-        back = delta @ w["C"].T
-    order = np.argsort(k, kind="stable")
-    ends = np.searchsorted(k[order], np.arange(EXPLICIT // CLASS_WORDS + 1))
+        delta[k, at] -= 1
+        grad["C"] += (delta @ h).T
+        grad["c"] += delta.sum(axis=1)
+        back, sorted_back = delta.T @ w["C"].T, np.empty_like(sorted_h)
     for c in range(EXPLICIT // CLASS_WORDS):
-        rows = order[ends[c]:ends[c + 1]]
-        if not len(rows):
+        rows = slice(ends[c], ends[c + 1])
+        hs, target = sorted_h[rows], (inner[rows], np.arange(ends[c + 1] - ends[c]))
+        if not len(hs):
             continue
-        hs, inner = h[rows], y[rows] % CLASS_WORDS
-        logs = _log_softmax(hs @ w["D"][c] + w["d"][c])
-        out[rows] += logs[np.arange(len(rows)), inner]
+        logs = _log_softmax(w["D"][c].T @ hs.T + w["d"][c][:, None])
+        found[rows] = logs[target]
         if grad is not None:
             delta = np.exp(logs)
-            delta[np.arange(len(rows)), inner] -= 1
-            grad["D"][c] += hs.T @ delta
-            grad["d"][c] += delta.sum(axis=0)
-            back[rows] += delta @ w["D"][c].T
+            delta[target] -= 1
+            grad["D"][c] += (delta @ hs).T
+            grad["d"][c] += delta.sum(axis=1)
+            sorted_back[rows] = delta.T @ w["D"][c].T
+    out[order] += found
+    if grad is not None:
+        back[order] += sorted_back
     return out, back
 
 
@@ -173,9 +198,12 @@ class Trainer:
 
     def _window(self, x, y, first, h):
         w, kept, states = self.w, [], []
+        gates = _gates(w)
+        firsts = [np.flatnonzero(f) for f in first]
         for t in range(len(x)):
-            h = np.where(first[t][:, None], np.float32(0), h)
-            h, memory = _step(w, x[t], h)
+            h = h.copy()
+            h[firsts[t]] = 0
+            h, memory = _step(gates, x[t], h)
             kept.append(memory)
             states.append(h)
         used = y.ravel() >= 0
@@ -186,24 +214,36 @@ class Trainer:
         dh_out = np.zeros_like(flat)
         dh_out[used] = back
         dh_out = dh_out.reshape(len(x), -1, HIDDEN)
-        dh, d_in = np.zeros_like(h), []
+        dh = np.zeros_like(h)
+        # Gradients of the inputs of the gates, and of the state's part in the new one, by step.
+        dz, dr, dn, dm = (np.empty_like(dh_out) for _ in range(4))
+        turned = [np.ascontiguousarray(u.T) for u in gates[3:]]
         for t in range(len(x) - 1, -1, -1):
-            before, z, r, g, un = kept[t]
-            dh = dh + dh_out[t]
-            dn = dh * (1 - z) * (1 - g * g)
-            dz = dh * (before - g) * z * (1 - z)
-            dr = dn * un * r * (1 - r)
-            da = np.concatenate([dz, dr, dn], axis=1)
-            du = np.concatenate([dz, dr, dn * r], axis=1)
-            grad["U"] += before.T @ du
-            d_in.append(da)
-            dh = (dh * z + du @ w["U"].T) * ~first[t][:, None]
-        da = np.concatenate(d_in[::-1])
+            before, z, r, g, m = kept[t]
+            dh += dh_out[t]
+            rest = 1 - z
+            np.multiply(dh, rest, out=dn[t])
+            rest *= z
+            rest *= dh
+            np.multiply(before - g, rest, out=dz[t])
+            dn[t] *= 1 - g * g
+            np.multiply(dn[t], r, out=dm[t])
+            np.multiply(dm[t], m, out=dr[t])
+            dr[t] *= 1 - r
+            dh *= z
+            for part, u in zip((dz, dr, dm), turned):
+                dh += part[t] @ u
+            dh[firsts[t]] = 0
+        before = np.concatenate([k[0] for k in kept]).T
+        flat_of = lambda a: a.reshape(-1, HIDDEN)
+        grad["U"] += np.concatenate([before @ flat_of(a) for a in (dz, dr, dm)], axis=1)
         ids = x.ravel()
-        order = np.argsort(ids, kind="stable")
+        order = np.argsort(ids.astype(np.int16), kind="stable")
         starts = np.flatnonzero(np.diff(ids[order], prepend=-1))
-        grad["W"][ids[order][starts]] = np.add.reduceat(da[order], starts, axis=0)
-        grad["b"] += da.sum(axis=0)
+        for i, a in enumerate((dz, dr, dn)):
+            sums = np.add.reduceat(flat_of(a).take(order, axis=0), starts, axis=0)
+            grad["W"][ids[order][starts], i * HIDDEN:(i + 1) * HIDDEN] = sums
+        grad["b"] += grad["W"].sum(axis=0)
         self._update(grad, n)
         return h
 
@@ -219,31 +259,35 @@ class Trainer:
 
 def score_docs(w: dict, docs: list[np.ndarray]) -> np.ndarray:
     """Natural log probability of each document's network ids, state carried across windows."""
-    if not docs:
-        return np.zeros(0)
+    total, gates = np.zeros(len(docs)), _gates(w)
     order = np.argsort([-len(d) for d in docs], kind="stable")
-    lengths = np.array([len(docs[i]) for i in order])
+    for i in range(0, len(docs), LANES):
+        total[order[i:i + LANES]] = _score_block(w, gates, [docs[j] for j in order[i:i + LANES]])
+    return total
+
+
+def _score_block(w: dict, gates: list[np.ndarray], docs: list[np.ndarray]) -> np.ndarray:
+    """As ``score_docs``, for some documents, longest first, side by side."""
+    lengths = np.array([len(d) for d in docs])
     starts = np.cumsum(lengths) - lengths
     # All documents end to end, targets and the tokens before them; windows are cut out of these by place.
-    flat = np.concatenate([*[docs[i] for i in order], np.zeros(WINDOW, dtype=np.int64)])
+    flat = np.concatenate([*docs, np.zeros(WINDOW, dtype=np.int64)])
     before = np.concatenate([[0], flat[:-1]])
     before[starts] = 0
     total, h = np.zeros(len(docs)), np.zeros((len(docs), HIDDEN), dtype=np.float32)
-    steps = np.arange(WINDOW)
     for t in range(0, int(lengths[0]), WINDOW):
         live = int((lengths > t).sum())
-        at = starts[:live, None] + t + steps
-        xs = before[at]
-        ys = np.where(t + steps < lengths[:live, None], flat[at], -1)
+        steps = np.arange(t, min(t + WINDOW, int(lengths[0])))[:, None]
+        at = starts[:live] + steps
+        used = (steps < lengths[:live]).ravel()
+        xs, y = before[at], flat[at].ravel()
         h, states = h[:live], []
-        for s in range(min(WINDOW, int(lengths[0]) - t)):
-            h, _ = _step(w, xs[:, s], h)
+        for x in xs:
+            h, _ = _step(gates, x, h)
             states.append(h)
-        y = ys[:, :len(states)].T
-        used = y.ravel() >= 0
         logs = np.zeros(len(used))
-        logs[used], _ = _output(w, np.concatenate(states)[used], y.ravel()[used])
-        total[order[:live]] += logs.reshape(len(states), live).sum(axis=0)
+        logs[used], _ = _output(w, np.concatenate(states)[used], y[used])
+        total[:live] += logs.reshape(len(xs), live).sum(axis=0)
     return total
 
 
@@ -268,12 +312,11 @@ def count_words(docs: DataFrame) -> DataFrame:
 
     def batches(parts):
         for part in parts:
-            found = Counter()
-            for text in part.column("text").to_pylist():
-                found.update(_words(text))
+            found = pc.value_counts(_words(part.column("text"))[0])
+            words, counts = found.field("values").cast(pa.string()), found.field("counts").cast(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array([w.decode() for w in found], pa.string()), pa.array(list(found.values()), pa.int64())],
-                names=["word", "count"])
+                [pa.concat_arrays([words, pa.array([END], pa.string())]),
+                 pa.concat_arrays([counts, pa.array([part.num_rows], pa.int64())])], names=["word", "count"])
 
     return docs.select("text").mapInArrow(batches, "word string, count bigint").groupBy("word").agg(
         F.sum("count").alias("count"))
@@ -293,10 +336,38 @@ def _hot(counts: DataFrame) -> list[tuple[str, int]]:
     return [(r["word"], r["count"]) for r in counts.filter(F.col("count") >= least).collect()]
 
 
-def _net_ids(text: str | None, v: Vocabulary) -> np.ndarray:
-    get, tail = v.rank.get, v.tail
-    ranks = np.array([get(w, -1) for w in _words(text)])
-    return np.where(ranks >= 0, v.net[ranks], tail)
+class Tokens:
+    """Tokens of some texts end to end, as places in the hot table (-1 for others), and the words that are not in it."""
+
+    def __init__(self, text: pa.Array, v: Vocabulary):
+        words, owner = _words(text)
+        rank = pc.fill_null(pc.index_in(words, value_set=v.words.cast(words.type)), -1).to_numpy().astype(np.int64)
+        n = np.bincount(owner, minlength=len(text))
+        # The end, first of the hot words, closes each text.
+        self.rank, self.n = np.insert(rank, np.cumsum(n), 0), n + 1
+        self.starts = np.cumsum(self.n) - self.n
+        others = rank < 0
+        self.others, self.owner = words.filter(pa.array(others)).cast(pa.string()), owner[others]
+        # The last entry stands for -1.
+        self.ids = np.append(v.net, v.tail)[self.rank]
+
+    def docs(self) -> list[np.ndarray]:
+        """Network ids by text."""
+        return np.split(self.ids, self.starts[1:]) if len(self.n) else []
+
+    def sums(self, of_hot: np.ndarray) -> np.ndarray:
+        """Sum of a value of hot words over each text."""
+        return np.add.reduceat(np.append(of_hot, 0.0)[self.rank], self.starts) if len(self.n) else np.zeros(0)
+
+    def rest(self) -> pa.Array:
+        """(word, n) of the distinct words of each text that are not in the hot table."""
+        coded = self.others.dictionary_encode()
+        size = max(1, len(coded.dictionary))
+        keys, n = np.unique(self.owner * size + coded.indices.to_numpy(), return_counts=True)
+        cuts = np.searchsorted(keys, np.arange(len(self.n) + 1) * size)
+        items = pa.StructArray.from_arrays([coded.dictionary.take(pa.array(keys % size)), pa.array(n.astype(np.int64))],
+                                           names=["word", "n"])
+        return pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), items)
 
 
 def train(docs: DataFrame, v: Vocabulary) -> dict[str, np.ndarray]:
@@ -305,7 +376,7 @@ def train(docs: DataFrame, v: Vocabulary) -> dict[str, np.ndarray]:
     trainer = Trainer(start_weights(v))
     sample = docs.orderBy(F.xxhash64("id"), "id").select("id").limit(START_DOCS).collect()
     some = docs.filter(F.col("id").isin([r["id"] for r in sample])).limit(START_DOCS).select("text")
-    trainer.fit([_net_ids(r["text"], v) for r in some.toLocalIterator()])
+    trainer.fit(Tokens(pa.array([r["text"] for r in some.toLocalIterator()], pa.string()), v).docs())
     like = trainer.w
     sent = spark.sparkContext.broadcast((v, like))
 
@@ -313,7 +384,7 @@ def train(docs: DataFrame, v: Vocabulary) -> dict[str, np.ndarray]:
         vocabulary, start = sent.value
         own = Trainer(start)
         for part in parts:
-            own.fit([_net_ids(t, vocabulary) for t in part.column("text").to_pylist()])
+            own.fit(Tokens(part.column("text"), vocabulary).docs())
         flat = _pack(own.w)
         cuts = range(0, len(flat), CHUNK)
         yield pa.RecordBatch.from_arrays(
@@ -349,25 +420,13 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     def batches(parts):
         vocabulary, w = sent.value
-        get, log = vocabulary.rank.get, np.log10(vocabulary.count + 1)
         for part in parts:
-            ids, rest, rows = [], [], []
-            for text in part.column("text").to_pylist():
-                found = _words(text)
-                ranks = np.array([get(x, -1) for x in found])
-                hot = ranks[ranks >= 0]
-                ids.append(np.where(ranks >= 0, vocabulary.net[ranks], vocabulary.tail))
-                rest.append([(x.decode(), n) for x, n in Counter(
-                    [found[i] for i in np.flatnonzero(ranks < 0).tolist()]).items()])
-                rows.append((len(found), int((vocabulary.count[hot] > 0).sum()), float(log[hot].sum()),
-                             float(vocabulary.share[hot].sum())))
-            logs = score_docs(w, ids) / np.log(10)
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
-            columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
-            words = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())]))
+            tokens = Tokens(part.column("text"), vocabulary)
+            known = tokens.sums((vocabulary.count > 0).astype(float)).astype(np.int64)
+            logs, share = tokens.sums(np.log10(vocabulary.count + 1)), tokens.sums(vocabulary.share)
+            net = score_docs(w, tokens.docs()) / np.log(10)
             yield pa.RecordBatch.from_arrays(
-                [part.column("id"), part.column("row_key"), *columns, pa.array(logs, pa.float64()),
-                 pa.array([[{"word": a, "n": b} for a, b in r] for r in rest], words)],
+                [part.column("id"), part.column("row_key"), *map(pa.array, (tokens.n, known, logs, share, net)), tokens.rest()],
                 names=["id", "row_key", "n_tokens", "known", "logs", "share", "net", "rest"])
 
     kind = docs.schema["id"].dataType.simpleString()

@@ -38,6 +38,8 @@ RATE = 0.01
 # Documents that the common starting weights are fitted on.
 START_DOCS = 200
 CHUNK = 4096
+# Texts whose words are held at a time.
+SLICE = 2048
 
 END = ""
 
@@ -50,6 +52,13 @@ def _words(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return words.filter(full), owner.filter(full).to_numpy().astype(np.int64)
 
 
+def _slices(part: pa.RecordBatch):
+    """Parts of a batch; what Arrow has freed of one is given back before the next."""
+    for i in range(0, part.num_rows, SLICE):
+        yield part.slice(i, SLICE)
+        pa.default_memory_pool().release_unused()
+
+
 class Vocabulary:
     """Hot words by frequency with counts, and what the bands hold; made once, sent to tasks."""
 
@@ -183,9 +192,10 @@ class Trainer:
         if not docs:
             return
         y = np.concatenate(docs)
-        x = np.concatenate([np.concatenate([[0], d[:-1]]) for d in docs])  # the end stands before the first word
         first = np.zeros(len(y), dtype=bool)
         first[np.cumsum([0] + [len(d) for d in docs[:-1]])] = True
+        x = np.roll(y, 1)
+        x[first] = 0  # the end stands before the first word
         self.seen += len(y)
         lanes = max(1, min(LANES, len(y) // WINDOW))
         length = -(-len(y) // lanes)
@@ -271,8 +281,8 @@ def _score_block(w: dict, gates: list[np.ndarray], docs: list[np.ndarray]) -> np
     lengths = np.array([len(d) for d in docs])
     starts = np.cumsum(lengths) - lengths
     # All documents end to end, targets and the tokens before them; windows are cut out of these by place.
-    flat = np.concatenate([*docs, np.zeros(WINDOW, dtype=np.int64)])
-    before = np.concatenate([[0], flat[:-1]])
+    flat = np.concatenate([*docs, np.zeros(WINDOW, dtype=docs[0].dtype)])
+    before = np.roll(flat, 1)
     before[starts] = 0
     total, h = np.zeros(len(docs)), np.zeros((len(docs), HIDDEN), dtype=np.float32)
     for t in range(0, int(lengths[0]), WINDOW):
@@ -308,10 +318,10 @@ def _training(doc_id):
 
 
 def count_words(docs: DataFrame) -> DataFrame:
-    """(word, count) over the texts, the end included; summed per batch before the shuffle."""
+    """(word, count) over the texts, the end included; summed per slice, and by Spark before the shuffle."""
 
     def batches(parts):
-        for part in parts:
+        for part in (some for whole in parts for some in _slices(whole)):
             found = pc.value_counts(_words(part.column("text"))[0])
             words, counts = found.field("values").cast(pa.string()), found.field("counts").cast(pa.int64())
             yield pa.RecordBatch.from_arrays(
@@ -341,7 +351,7 @@ class Tokens:
 
     def __init__(self, text: pa.Array, v: Vocabulary):
         words, owner = _words(text)
-        rank = pc.fill_null(pc.index_in(words, value_set=v.words.cast(words.type)), -1).to_numpy().astype(np.int64)
+        rank = pc.fill_null(pc.index_in(words, value_set=v.words.cast(words.type)), -1).to_numpy()
         n = np.bincount(owner, minlength=len(text))
         # The end, first of the hot words, closes each text.
         self.rank, self.n = np.insert(rank, np.cumsum(n), 0), n + 1
@@ -349,7 +359,7 @@ class Tokens:
         others = rank < 0
         self.others, self.owner = words.filter(pa.array(others)).cast(pa.string()), owner[others]
         # The last entry stands for -1.
-        self.ids = np.append(v.net, v.tail)[self.rank]
+        self.ids = np.append(v.net, v.tail).astype(np.int16)[self.rank]
 
     def docs(self) -> list[np.ndarray]:
         """Network ids by text."""
@@ -384,7 +394,7 @@ def train(docs: DataFrame, v: Vocabulary) -> dict[str, np.ndarray]:
         vocabulary, start = sent.value
         own = Trainer(start)
         for part in parts:
-            own.fit(Tokens(part.column("text"), vocabulary).docs())
+            own.fit([d for some in _slices(part) for d in Tokens(some.column("text"), vocabulary).docs()])
         flat = _pack(own.w)
         cuts = range(0, len(flat), CHUNK)
         yield pa.RecordBatch.from_arrays(
@@ -420,7 +430,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     def batches(parts):
         vocabulary, w = sent.value
-        for part in parts:
+        for part in (some for whole in parts for some in _slices(whole)):
             tokens = Tokens(part.column("text"), vocabulary)
             known = tokens.sums((vocabulary.count > 0).astype(float)).astype(np.int64)
             logs, share = tokens.sums(np.log10(vocabulary.count + 1)), tokens.sums(vocabulary.share)

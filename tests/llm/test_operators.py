@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 from fractions import Fraction
 
@@ -57,6 +58,43 @@ def test_suffix_dedup(docs):
     assert sum(r[2] for r in want) > 1000
 
 
+def test_frequent_anchors_are_not_joined_in_one_task(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "OFTEN", 20)
+    rows = spark.range(4000, numPartitions=4).selectExpr("id", "IF(id % 2 = 0, -1, IF(id < 100, 1, IF(id < 200, id % 40, id))) AS h")
+    got = suffix_dedup._again(rows, "h").withColumn("task", F.spark_partition_id()).collect()
+    want = collections.Counter(r["h"] for r in rows.collect())
+    assert sorted((r["id"], r["h"]) for r in got) == sorted((r["id"], r["h"]) for r in rows.collect() if want[r["h"]] > 1)
+    assert max(collections.Counter(r["task"] for r in got if r["h"] == -1).values()) <= 500
+
+
+def test_frequent_line_in_texts(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "OFTEN", 20)
+    draw = np.random.default_rng(12)
+    text = lambda n: "".join(map(chr, draw.integers(97, 123, n)))
+    short, long, line, few = text(390), text(1000), text(150), text(500)
+    texts = [text(int(draw.integers(0, 500))) + (short, long, line, "is on. " * 90)[i % 4] + text(int(draw.integers(0, 500)))
+             for i in range(160)] + [few + text(300), text(200) + few, long[:430], long[30:], None, "", "é" * 450]
+    # Cut at places that share between 399 and 401 bytes around the same anchor.
+    texts += [text(250) + long[300 - k:700] + text(250) for k in (-1, 0, 1)]
+    docs = spark.createDataFrame(list(enumerate(texts + texts[:3])), "doc_id long, text string").repartition(3)
+    got = suffix_dedup.remove(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()
+    assert sorted(map(tuple, got)) == [(i, *r) for i, r in enumerate(brute_removed(texts + texts[:3]))]
+
+
+def test_members_of_a_group_take_little_memory():
+    draw = np.random.default_rng(13)
+    members = [(draw.bytes(400), draw.bytes(300), i, 300) for i in range(3000)]
+    members.append((*members[0][:2], -1, 300))
+    tracemalloc.start()
+    try:
+        out = suffix_dedup._stretches(members, np.zeros(len(members), dtype=np.uint64))
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sorted(out) == [(-1, 0, 700), (0, 0, 700)]
+    assert most < 3000 * len(members)
+
+
 def test_loser_tree_merges_runs():
     draw = np.random.default_rng(2)
     words = sorted(bytes(draw.integers(97, 99, draw.integers(0, 12))) for _ in range(300))
